@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality
+from . import decontaminate, language, quality, warc
 from .features import remainder
 
 
@@ -27,19 +27,35 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(labelled(docs, table(spark, sf_dir, "labels")))
+    model = quality.fit(docs, may_learn(table(spark, sf_dir, "labels")))
     return quality.score(docs, model).withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, quality) of the rows that may be learned from."""
-    known = labels.where((remainder(F.col("doc_id"), 5) != 0) & F.col("quality").isNotNull()).select("doc_id", "quality")
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def may_learn(labels: DataFrame) -> DataFrame:
+    """The labels that may be learned from."""
+    return labels.where(remainder(F.col("doc_id"), 5) != 0)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read(spark, warc.archive(table(spark, sf_dir, "pages")), verify="true", payload="false")
+    return back.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
+    "op9_warc": op9_warc,
 }
-ORACLES: dict[str, str] = {}
+#: SHA-1 in base32 has no DuckDB function; it is made from the digits' bits, five at a time.
+OP9_SQL = """
+with hashed as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
+firsts as (select body, min(page_id) as first_id from hashed group by body),
+five as (select page_id, body, hex, list_transform(range(0, 32), lambda i: ('0x' || substr(hex, 1 + 10 * (i // 8), 10))::ubigint >> (35 - 5 * (i % 8)) & 31) as parts from hashed)
+select page_id, strlen(five.body)::bigint as payload_bytes,
+       array_to_string(list_transform(parts, lambda p: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + p::bigint, 1)), '') as payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id = first_id then null else first_id end as refers_to
+from five join firsts on five.body = firsts.body
+"""
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
