@@ -81,15 +81,21 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
-    """Of (key, text, label) rows, those of `per_label` keys of each label, chosen by hash.
+def sample(texts: DataFrame, known: DataFrame, have: dict, per_label: int) -> DataFrame:
+    """(text, label) of `per_label` keys of each label, chosen by hash from known (key, label) rows.
 
-    Only keys and labels are ranked, and each task passes on per_label of each at
-    most; the chosen keys (a bounded table) then pick their texts.
+    have: rows of each label. A label's keys are first thinned by hash to about four
+    times what is wanted, so that what is ranked doesn't grow with the input; the
+    chosen keys (a bounded table) then pick their texts (key, text) by broadcast.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64("key"), "key")
-    ids = rows.select("key", label).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("key").distinct()
-    return rows.join(F.broadcast(ids), "key", "left_semi")
+    span = 1 << 32
+    limit = F.lit(0)
+    for value, n in have.items():
+        limit = F.when(F.col("label") == value, F.lit(min(span, 4 * per_label * span // max(n, 1) + 1))).otherwise(limit)
+    order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
+    thin = known.where(F.pmod(F.xxhash64("key"), F.lit(span)) < limit).select("key", "label")
+    ids = thin.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("key", "label").distinct()
+    return texts.select("key", "text").join(F.broadcast(ids), "key").select("text", "label")
 
 
 def collect(rows: DataFrame, vectors: Callable[[pa.Array], np.ndarray]) -> tuple[np.ndarray, list]:

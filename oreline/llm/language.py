@@ -57,8 +57,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS, dim: int = DIM, centroids: int = CENTROIDS, quantile: float = 0.005) -> Centroids:
     """Centroids of the labelled rows; the driver holds `sample_rows` vectors of `dim` at most (or 16 for each label)."""
     known = rows.select(rows[id_col].alias("key"), rows[text_col].alias("text"), rows[label_col].cast("string").alias("label")).where("label is not null and text is not null")
-    labels = max(1, known.select("label").distinct().count())
-    x, y = ft.collect(ft.sample(known, "label", max(16, sample_rows // labels)), lambda c: np.log1p(ft.counts(c, dim, True)))
+    have = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    x, y = ft.collect(ft.sample(known, known, have, max(16, sample_rows // max(1, len(have)))), lambda c: np.log1p(ft.counts(c, dim, True)))
     if not len(x):
         return Centroids([], np.ones(dim, np.float32), np.zeros((0, dim), np.float32), np.zeros(0, int), np.zeros(0))
     names = np.array(y)

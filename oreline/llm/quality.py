@@ -31,7 +31,7 @@ from . import text as tx
 DIM = 4096
 LATENT = 64
 MEASURES = 11
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2048
 NEIGHBOURS = 24
 ACCEPT = 0.3
 
@@ -84,13 +84,14 @@ def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.hstack([ft.unit(x[:, :dim] * idf), x[:, dim:]])
 
 
-def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, dim: int = DIM, latent: int = LATENT, neighbours: int = NEIGHBOURS) -> Voters:
-    """Voters from rows with an id, a text and a 0/1 label; the driver holds `sample_rows` vectors of `dim` at most."""
-    known = rows.select(rows[id_col].alias("key"), F.coalesce(rows[text_col], F.lit("")).alias("text"), rows[label_col].cast("int").alias("label")).where("label in (0, 1)")
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, dim: int = DIM, latent: int = LATENT, neighbours: int = NEIGHBOURS) -> Voters:
+    """Voters from documents and the 0/1 labels of some of their ids; the driver holds `sample_rows` vectors of `dim` at most."""
+    texts = docs.select(docs[id_col].alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    known = labels.select(labels[id_col].alias("key"), labels[label_col].cast("int").alias("label")).where("label in (0, 1)")
     have = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(have.values())
     share = have.get(1, 0) / total if total else 0.5
-    x, y = ft.collect(ft.sample(known, "label", sample_rows // 2), lambda c: vectors(c, dim))
+    x, y = ft.collect(ft.sample(texts, known, have, sample_rows // 2), lambda c: vectors(c, dim))
     votes = np.array(y, float)
     idf = np.log((1 + len(x)) / (1 + (x[:, :dim] > 0).sum(0))).astype(np.float32) + 1
     x = weighted(x.astype(np.float32), idf)

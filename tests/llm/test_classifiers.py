@@ -45,7 +45,7 @@ def test_quality_held_out(spark, sf_dir):
 def test_quality_edges(spark):
     rows = [(i, "good calm words here " * (i % 5 + 1) if i % 2 else "@@## !!%% BAD " * (i % 4 + 1), i % 2) for i in range(30)]
     train = spark.createDataFrame([*rows, (90, None, 1), (91, "zz", None)], "doc_id long, text string, quality int")
-    model = quality.fit(train)
+    model = quality.fit(train.drop("quality"), train.drop("text"))
     docs = spark.createDataFrame([(1, None, "a", "b"), (2, "", "a", "b"), (3, "calm good words", "a", "b"), (4, "@@## !!%% BAD " * 9000, "a", "b")], "doc_id long, text string, score string, predicted string")
     got = {r.doc_id: r for r in quality.score(docs, model).collect()}
     assert got[3].predicted == 1
@@ -54,4 +54,4 @@ def test_quality_edges(spark):
     assert [r.doc_id for r in quality.keep_accepted(docs, model).orderBy("doc_id").collect()] == [1, 2, 3]
     assert quality.keep_accepted(docs, model).columns == docs.columns
     assert quality.score(docs.limit(0), model).count() == 0
-    assert {r.score for r in quality.score(docs, quality.fit(train.limit(0))).collect()} == {0.5}
+    assert {r.score for r in quality.score(docs, quality.fit(train, train.limit(0))).collect()} == {0.5}
