@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality, sentencepiece_fst, warc
+from . import decontaminate, jaccard, language, quality, sentencepiece_fst, warc
 from .features import remainder
 
 
@@ -45,12 +45,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
     "op9_warc": op9_warc,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 #: SHA-1 in base32 has no DuckDB function; it is made from the digits' bits, five at a time.
 OP9_SQL = """
