@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, quality, sentencepiece_fst, warc
+from . import decontaminate, jaccard, language, quality, sentencepiece_fst, substrings, warc
 from .features import remainder
 
 
@@ -40,6 +40,10 @@ def may_learn(labels: DataFrame) -> DataFrame:
     return labels.where(remainder(F.col("doc_id"), 5) != 0)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.read(spark, warc.archive(table(spark, sf_dir, "pages")), verify="true", payload="false")
     return back.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
 }
