@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, quality, sentencepiece_fst, substrings, warc
+from . import decontaminate, jaccard, language, neighbours, quality, sentencepiece_fst, substrings, warc
 from .features import remainder
 
 
@@ -44,6 +44,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.read(spark, warc.archive(table(spark, sf_dir, "pages")), verify="true", payload="false")
     return back.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_neighbours": op8_neighbours,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
 }
