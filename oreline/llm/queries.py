@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, neighbours, quality, sentencepiece_fst, substrings, warc
+from . import decontaminate, jaccard, language, language_model, neighbours, quality, sentencepiece_fst, substrings, warc
 from .features import remainder
 
 
@@ -40,6 +40,12 @@ def may_learn(labels: DataFrame) -> DataFrame:
     return labels.where(remainder(F.col("doc_id"), 5) != 0)
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    return language_model.scores(docs, ~held_out).withColumn("held_out", held_out)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
+    "op5_language_model": op5_language_model,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_neighbours": op8_neighbours,
     "op9_warc": op9_warc,

@@ -474,41 +474,37 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """int64 -> int32 by open addressing, read for whole arrays."""
+    """int64 -> int32 from 0 by open addressing, read for whole arrays; -1 where a key is missing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(8, int(2 * len(keys) + 1).bit_length() + 1)
-        self.key = np.full(1 << self.bits, -1, np.int64)
+        self.key = np.zeros(1 << self.bits, np.int64)
         self.value = np.full(1 << self.bits, -1, np.int32)
-        self.probes = 1
         slot = self._slot(keys)
         todo = np.arange(len(keys))
         while len(todo):
-            free = self.key[slot[todo]] < 0
+            free = self.value[slot[todo]] < 0
             _, one = np.unique(slot[todo[free]], return_index=True)
             put = todo[free][one]
             self.key[slot[put]], self.value[slot[put]] = keys[put], values[put]
             todo = np.setdiff1d(todo, put)
-            if len(todo):
-                slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-                self.probes += 1
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slot(keys)
-        held = self.key[slot]
-        out = np.where(held == keys, self.value[slot], -1)
-        open_ = np.flatnonzero((held != keys) & (held >= 0))
-        for _ in range(self.probes):
-            if not len(open_):
-                break
-            slot = (slot[open_] if len(slot) != len(open_) else slot) + 1 & ((1 << self.bits) - 1)
-            held = self.key[slot]
-            hit = held == keys[open_]
-            out[open_[hit]] = self.value[slot[hit]]
-            more = ~hit & (held >= 0)
+        out = self.value[slot]
+        open_ = np.flatnonzero((self.key[slot] != keys) & (out >= 0))
+        out[(self.key[slot] != keys)] = -1
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            value = self.value[slot]
+            hit = (value >= 0) & (self.key[slot] == keys[open_])
+            out[open_[hit]] = value[hit]
+            more = ~hit & (value >= 0)
             open_, slot = open_[more], slot[more]
         return out
 
