@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, language_model, neighbours, quality, sentencepiece_fst, substrings, warc
+from . import decontaminate, jaccard, language, language_model, neighbours, pii, quality, sentencepiece_fst, substrings, warc
 from .features import remainder
 
 
@@ -46,6 +46,11 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(docs, ~held_out).withColumn("held_out", held_out)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.found(docs, pii.fit(docs))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
     "op5_language_model": op5_language_model,
+    "op6_pii": op6_pii,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_neighbours": op8_neighbours,
     "op9_warc": op9_warc,
