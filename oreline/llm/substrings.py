@@ -15,7 +15,7 @@ windows with one key form a segment. The steps:
    right to left, one step for each word (a matched window gives up its last word by
    a look at the next shorter group of suffixes), and the smallest document in the
    interval decides. Runs of windows with a smaller document are reported.
-5. keys with more than `hot` different segments would make an unbounded shard. Their
+5. keys whose different segments have more than `hot` words would make an unbounded shard. Their
    windows are hashed one by one and meet in a pre-aggregated minimum instead; that
    is exact as well, and covers what is left of skew.
 
@@ -42,7 +42,7 @@ from .shared import saved
 WINDOW = 50
 GRAM = 8
 LONGEST_RUN = 256
-HOT = 1000
+HOT = 1_000_000
 SHARD_WORDS = 400_000
 BATCH_BYTES = 6 << 20
 SALTS = 16
@@ -237,7 +237,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keys = every.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
     some = saved(every.join(keys, "key", "left_semi"), "substring-shared")
     groups = saved(some.groupBy("key", "sig").agg(F.min(F.struct("doc_id", "at", "n")).alias("m"), F.max("doc_id").alias("last")).select("key", "sig", F.col("m.doc_id").alias("first"), F.col("m.at").alias("at"), F.col("m.n").alias("n"), "last"), "substring-groups")
-    mixed = groups.groupBy("key").agg(F.count("*").alias("k"), F.min("first").alias("x"), F.max("first").alias("y")).where("x < y").select("key", (F.col("k") > hot).alias("hot"))
+    mixed = groups.groupBy("key").agg(F.sum(F.col("n") + (window - 1)).alias("k"), F.min("first").alias("x"), F.max("first").alias("y")).where("x < y").select("key", (F.col("k") > hot).alias("hot"))
     wanted = groups.join(mixed, "key").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("key", "sig", "at", "n", "hot")).alias("asks"))
     contents = saved(_contents(docs, wanted, **names), "substring-contents")
     partly = matched(contents, window, shard_words).unionByName(matched_hot(contents))

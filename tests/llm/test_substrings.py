@@ -64,7 +64,7 @@ def passages(seed):
     return list(zip(keys, docs, strict=True))
 
 
-@pytest.mark.parametrize(("seed", "hot", "shard"), [(0, 1000, 400_000), (1, 1, 400_000), (2, 3, 500), (3, 1000, 50)])
+@pytest.mark.parametrize(("seed", "hot", "shard"), [(0, 10**6, 400_000), (1, 1, 400_000), (2, 200, 500), (3, 10**6, 50)])
 def test_passages_equal_brute_force(spark, seed, hot, shard):
     docs = passages(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
