@@ -12,7 +12,13 @@ candidates are met in two ways:
 1. star rounds: in each token's group all members are paired with one pivot (a
    different one in each round), the best pivots are verified, and what links is
    united. A group of a million near copies makes a million pairs here.
-2. a closing join: all candidate pairs whose members are still in different
+2. around a pivot: of documents that have the same pivot, the differences D from the
+   pivot's set say everything, as |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|. Those that are
+   too far from the pivot to be united by it link only if their differences share
+   enough tokens, so they are joined on prefixes of D, rare first within the group,
+   with one prefix for each class of sizes of the other side. Edits are rare tokens, so
+   a crowd of copies that are all just below the threshold meets in few pairs.
+3. a closing join: all other candidate pairs whose members are still in different
    components are verified. Together with the lemma above this loses no link that
    would unite anything.
 
@@ -178,11 +184,51 @@ def verify(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return two.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, star_rounds: int = STAR_ROUNDS, enough: float = 0.02) -> DataFrame:
+def differences(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(g, x, component, n, d, tokens): what the set of x and that of its pivot g don't share."""
+    kinds = dict(members.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, out = [], []
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                sizes.append(len(x))
+                out.append(np.setxor1d(x, y, assume_unique=True))
+            ends = np.concatenate(([0], np.cumsum([len(d) for d in out]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.array(sizes, np.int64)), pa.array(np.diff(ends).astype(np.int64)), lists], names=["g", "x", "component", "n", "d", "tokens"])
+
+    one = members.join(known.select(F.col("rep").alias("x"), F.col("tokens").alias("own")), "x").join(known.select(F.col("rep").alias("g"), F.col("tokens").alias("centre")), "g")
+    return one.select("g", "x", "component", "own", "centre").mapInArrow(run, f"g {kinds['g']}, x {kinds['x']}, component {kinds['component']}, n long, d long, tokens array<bigint>")
+
+
+def around_pivots(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) among members (x, g, component) of one pivot and different components."""
+    apart = members.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
+    diff = saved(differences(members.join(apart, "g"), known), "jaccard-differences")
+    each = diff.select("g", "x", F.explode("tokens").alias("token"))
+    often = each.groupBy("g", "token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(often, ["g", "token"]).groupBy("g", "x").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    grow = 1.25
+    group = lambda d: F.floor(F.log(grow, F.greatest(d, F.lit(0)) + 1.0)).cast("int")
+    rows = diff.drop("tokens").join(ranked, ["g", "x"]).withColumn("reach", F.floor(F.col("n") * (100 - percent) / percent)).withColumn("own", group(F.col("d")))
+    rows = rows.withColumn("other", F.explode(F.sequence(group(F.col("d") - F.col("reach")), group(F.col("d") + F.col("reach")))))
+    least = F.greatest(F.floor(F.pow(F.lit(grow), F.col("other"))) - 2, F.lit(0))
+    need_ = F.greatest(F.ceil((F.col("d") + least - F.col("reach")) / 2), F.lit(1))
+    size = F.col("d") - need_ + 1 - (F.col("d") - F.size("shared"))  # tokens that no other member has come first
+    rows = rows.withColumn("take", F.slice("shared", 1, F.greatest(size, F.lit(0)).cast("int"))).where(F.size("take") > 0)
+    rows = rows.select("g", "x", "component", "n", "own", F.least("own", "other").alias("k1"), F.greatest("own", "other").alias("k2"), F.explode("take.token").alias("token"))
+    side = rows.select("g", "k1", "k2", "token", F.col("x").alias("y"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("own").alias("theirs"))
+    met = rows.join(side, ["g", "k1", "k2", "token"]).where((F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (F.col("own") + F.col("theirs") == F.col("k1") + F.col("k2")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, star_rounds: int = STAR_ROUNDS, enough: float = 0.5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     enough: star rounds stop when the closing join would meet fewer rows than this
-    share of the prefix rows, or after star_rounds.
+    multiple of the prefix rows, when they no longer halve them, or after star_rounds.
     """
     level = levels(sketch(docs, text_col, shingle, sketch_bits))
     names = {"id_col": id_col, "text_col": text_col, "shingle": shingle}
@@ -191,49 +237,64 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = saved(some.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "ell", "prefix")).alias("m"), F.count("*").alias("copies")).select(F.col("m.doc_id").alias("rep"), "n", "s1", "s2", F.col("m.ell").alias("ell"), F.col("m.prefix").alias("prefix"), "copies"), "jaccard-reps")
     prefix = reps.select(F.explode("prefix").alias("token"), "rep", "n", "ell")
     shared = prefix.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    rows = saved(prefix.join(shared, "token").withColumn("component", F.col("rep")), "jaccard-prefixes")
-    links = None
-    known = None
+    base = saved(prefix.join(shared, "token"), "jaccard-prefixes")
+    total = base.count()
+    rows = base.select("token", "rep", "n", "ell", F.col("rep").alias("component"), F.col("rep").alias("g"))
+    links, known, centres, before = None, None, None, None
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))  # noqa: UP034
-    total = rows.count()
-    seen = 0
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs; sets that were not yet read are read now."""
+        nonlocal known
+        pairs = saved(pairs, "jaccard-pairs")
+        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        if known is not None:
+            ids = ids.join(known.select("rep"), "rep", "left_anti")
+        ids = saved(ids, "jaccard-ids")
+        if known is None or ids.limit(1).count():
+            fresh = saved(sets(docs, ids, **names), "jaccard-sets")
+            known = fresh if known is None else known.unionByName(fresh)
+        return saved(verify(pairs, known, percent), "jaccard-links")
+
+    def united(pairs: DataFrame, key: str) -> DataFrame:
+        """pairs with the component of `key` by the links so far."""
+        joined = components(links, "a", "b", "jaccard-graph").withColumnRenamed("node", key)
+        return pairs.join(joined, key, "left").withColumn("component", F.coalesce("component", key))
+
     for turn in range(star_rounds + 1):
-        groups = rows.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")).where("parts > 1")
-        meet = groups.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-        closing = turn == star_rounds or meet <= max(enough * total, 1000)
+        counts = rows.groupBy("token", "component", "g").agg(F.count("*").alias("k"))
+        if turn:
+            counts = saved(counts, "jaccard-counts")
+        squares = lambda *by: (counts.groupBy("token", *by).agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0)  # noqa: B023, E731
+        meet = (squares() - squares("component") - squares("g") + squares("component", "g")) // 2 if turn else total
         if not meet:
             break
-        live = rows.join(groups.select("token"), "token", "left_semi")
+        closing = turn == star_rounds or turn > 0 and (meet <= max(enough * total, 1000) or before is not None and 2 * meet > before)
+        before = meet if turn else None
+        wide = counts.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("c1 < c2 and g1 < g2").select("token")
+        live = rows.join(wide, "token", "left_semi")
         if closing:
-            other = live.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("ell").alias("el"), F.col("component").alias("other"))
-            met = live.join(other, "token").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("other")) & fits)
+            other = live.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("ell").alias("el"), F.col("component").alias("other"), F.col("g").alias("h"))
+            met = live.join(other, "token").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("other")) & (F.col("g") != F.col("h")) & fits)
             pairs = met.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("hits"), F.first(F.least("ell", "el")).alias("least")).where("hits >= least").select("a", "b")
         else:
-            seat = F.min(F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long").alias("h"), F.col("rep"), F.col("n"), F.col("ell"), F.col("component")))
-            pivots = live.groupBy("token").agg(seat.alias("p")).select("token", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.ell").alias("el"), F.col("p.component").alias("other"))
-            met = live.join(pivots, "token").where((F.col("component") != F.col("other")) & fits)
+            seat = F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("h"), F.col("rep"), F.col("n"), F.col("ell"), F.col("component"), F.col("g")))
+            pivots = live.groupBy("token").agg(seat.alias("p")).select("token", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.ell").alias("el"), F.col("p.component").alias("other"), F.col("p.g").alias("h"))
+            met = live.join(pivots, "token").where((F.col("component") != F.col("other")) & ((F.col("g") != F.col("h")) | F.lit(turn == 0)) & fits)
             best = met.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("hits"), F.first(F.least("ell", "el")).alias("least")).where("hits >= least")
             pairs = best.groupBy("a").agg(F.max(F.struct("hits", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-        pairs = saved(pairs, "jaccard-pairs")
-        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        if known is not None:
-            ids = ids.join(known.select("rep"), "rep", "left_anti")
-        fresh = saved(sets(docs, saved(ids, "jaccard-ids"), **names), "jaccard-sets")
-        known = fresh if known is None else known.unionByName(fresh)
-        found = saved(verify(pairs, known, percent), "jaccard-links")
+            pairs = saved(pairs, "jaccard-best")
+        found = checked(pairs)
         links = found if links is None else links.unionByName(found)
+        if turn == 0 and not closing:
+            centres = pairs.select(F.col("a").alias("rep"), F.col("b").alias("g"))
+            members = saved(united(pairs.select(F.col("a").alias("x"), F.col("b").alias("g")), "x"), "jaccard-members")
+            links = links.unionByName(checked(around_pivots(members, known, percent)))
         if closing:
             break
-        n_links = links.count()
-        if n_links > seen:
-            joined = saved(components(links, "a", "b", "jaccard-graph"), "jaccard-components")
-            rows = saved(rows.drop("component").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "jaccard-prefixes")
-        seen = n_links
-    if links is not None:
-        joined = components(links, "a", "b", "jaccard-graph").withColumnRenamed("node", "rep")
-        reps = reps.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    else:
-        reps = reps.withColumn("component", F.col("rep"))
+        placed = united(reps.select("rep"), "rep").join(centres, "rep", "left").withColumn("g", F.coalesce("g", "rep"))
+        rows = saved(base.join(placed, "rep").select("token", "rep", "n", "ell", "component", "g"), "jaccard-placed")
+    reps = united(reps, "rep") if links is not None else reps.withColumn("component", F.col("rep"))
     salts = 32
     moved = reps.where("copies > 1 or component <> rep").select("n", "s1", "s2", "component").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     out = all_marks.select("doc_id", "n", "s1", "s2", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).join(moved, ["n", "s1", "s2", "salt"], "left")
