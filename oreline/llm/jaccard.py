@@ -4,7 +4,10 @@ Sets are ordered by one global order, rare first (levels of a counting sketch ov
 the whole corpus, then the hash). Two sets with Jaccard t or more share at least l
 tokens among their first n - ceil(t*n) + l ones, for any l. Every document picks its
 own l where the estimated cost (rows to shuffle, and candidates to verify) is least,
-and a pair is a candidate if its prefixes share min(l, l') tokens.
+from a least one that its size sets, and a pair is a candidate if its prefixes share
+min(l, l') tokens. As so many must be shared, the same argument holds once more
+within the prefixes: ordered by how many prefixes hold a token (exact counts), a pair
+meets before the last l-1 tokens of either, so the most frequent ones needn't be met.
 
 Components are wanted, not all pairs, so equal sets are one representative, and
 candidates are met in two ways:
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -51,7 +54,7 @@ CHUNK = 4096
 BATCH_BYTES = 6 << 20
 MAX_DOCS = 4000
 STAR_ROUNDS = 6
-LEVELS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
+EXTRA = np.array([0, 1, 2, 4, 8, 16, 32])
 TOKEN = np.uint64((1 << 47) - 1)
 
 
@@ -114,6 +117,11 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
+def least_matches(n: np.ndarray) -> np.ndarray:
+    """The least l of a set of n tokens."""
+    return np.clip(n // 16, 1, 24)
+
+
 def marks(docs: DataFrame, level: np.ndarray, *, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """(doc_id, n, s1, s2, ell, prefix): the size and signature of each set, its chosen l and its prefix."""
     held = docs.sparkSession.sparkContext.broadcast(level.astype(np.uint8))
@@ -135,10 +143,11 @@ def marks(docs: DataFrame, level: np.ndarray, *, id_col: str, text_col: str, shi
             weight = np.concatenate(([0.0], np.cumsum(np.exp2(lev) - 0.95)))
             base = n - need(n, percent)
             best, ell = np.full(len(n), np.inf), np.ones(len(n), np.int64)
-            for l in LEVELS:  # noqa: E741
+            for extra in EXTRA:
+                l = least_matches(n) + extra  # noqa: E741
                 size = np.minimum(base + l, n)
                 load = weight[first + size] - weight[first]
-                cost = np.where((l == 1) | (l <= n // 8), size + load * (1 + n / (16 * l)), np.inf)
+                cost = np.where((extra == 0) | (l <= n // 8), size + load * (1 + n / (16 * l)), np.inf)
                 ell = np.where(cost < best, l, ell)
                 best = np.minimum(cost, best)
             size = np.where(n > 0, np.minimum(base + ell, n), 0)
@@ -235,11 +244,15 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     all_marks = saved(marks(docs, level, percent=percent, **names), "jaccard-marks")
     some = all_marks.where("n > 0 and doc_id is not null")
     reps = saved(some.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "ell", "prefix")).alias("m"), F.count("*").alias("copies")).select(F.col("m.doc_id").alias("rep"), "n", "s1", "s2", F.col("m.ell").alias("ell"), F.col("m.prefix").alias("prefix"), "copies"), "jaccard-reps")
-    prefix = reps.select(F.explode("prefix").alias("token"), "rep", "n", "ell")
-    shared = prefix.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    base = saved(prefix.join(shared, "token"), "jaccard-prefixes")
+    prefix = reps.select(F.explode("prefix").alias("token"), "rep", "n")
+    shared = prefix.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    smallest = F.floor((percent * F.col("n") + 99) / 100)  # of sets that may be near
+    safe = F.greatest(F.lit(1), F.least(F.lit(24), F.floor(smallest / 16)))
+    own = Window.partitionBy("rep")
+    base = prefix.join(shared, "token").select("*", F.row_number().over(own.orderBy("df", "token")).alias("place"), F.count("*").over(own).alias("k"))
+    base = saved(base.where(F.col("place") <= F.col("k") - safe + 1).select("token", "rep", "n"), "jaccard-prefixes")
     total = base.count()
-    rows = base.select("token", "rep", "n", "ell", F.col("rep").alias("component"), F.col("rep").alias("g"))
+    rows = base.select("token", "rep", "n", F.col("rep").alias("component"), F.col("rep").alias("g"))
     links, known, centres, before = None, None, None, None
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))  # noqa: UP034
 
@@ -256,6 +269,12 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             known = fresh if known is None else known.unionByName(fresh)
         return saved(verify(pairs, known, percent), "jaccard-links")
 
+    def matched(pairs: DataFrame) -> DataFrame:
+        """The pairs whose prefixes share as many tokens as the smaller l asks for."""
+        one = pairs.join(reps.select(F.col("rep").alias("a"), F.col("prefix").alias("x"), F.col("ell").alias("lx")), "a")
+        two = one.join(reps.select(F.col("rep").alias("b"), F.col("prefix").alias("y"), F.col("ell").alias("ly")), "b")
+        return two.where(F.size(F.array_intersect("x", "y")) >= F.least("lx", "ly")).select("a", "b")
+
     def united(pairs: DataFrame, key: str) -> DataFrame:
         """pairs with the component of `key` by the links so far."""
         joined = components(links, "a", "b", "jaccard-graph").withColumnRenamed("node", key)
@@ -274,16 +293,15 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         wide = counts.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("c1 < c2 and g1 < g2").select("token")
         live = rows.join(wide, "token", "left_semi")
         if closing:
-            other = live.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("ell").alias("el"), F.col("component").alias("other"), F.col("g").alias("h"))
+            other = live.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("g").alias("h"))
             met = live.join(other, "token").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("other")) & (F.col("g") != F.col("h")) & fits)
-            pairs = met.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("hits"), F.first(F.least("ell", "el")).alias("least")).where("hits >= least").select("a", "b")
+            pairs = matched(met.select(F.col("rep").alias("a"), "b").distinct())
         else:
-            seat = F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("h"), F.col("rep"), F.col("n"), F.col("ell"), F.col("component"), F.col("g")))
-            pivots = live.groupBy("token").agg(seat.alias("p")).select("token", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.ell").alias("el"), F.col("p.component").alias("other"), F.col("p.g").alias("h"))
+            seat = F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long")).alias("h"), F.col("rep"), F.col("n"), F.col("component"), F.col("g")))
+            pivots = live.groupBy("token").agg(seat.alias("p")).select("token", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("other"), F.col("p.g").alias("h"))
             met = live.join(pivots, "token").where((F.col("component") != F.col("other")) & ((F.col("g") != F.col("h")) | F.lit(turn == 0)) & fits)
-            best = met.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("hits"), F.first(F.least("ell", "el")).alias("least")).where("hits >= least")
-            pairs = best.groupBy("a").agg(F.max(F.struct("hits", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-            pairs = saved(pairs, "jaccard-best")
+            best = met.groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("hits")).groupBy("a").agg(F.max(F.struct("hits", "b")).alias("p"))
+            pairs = saved(matched(best.select("a", F.col("p.b").alias("b"))), "jaccard-best")
         found = checked(pairs)
         links = found if links is None else links.unionByName(found)
         if turn == 0 and not closing:
@@ -293,7 +311,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if closing:
             break
         placed = united(reps.select("rep"), "rep").join(centres, "rep", "left").withColumn("g", F.coalesce("g", "rep"))
-        rows = saved(base.join(placed, "rep").select("token", "rep", "n", "ell", "component", "g"), "jaccard-placed")
+        rows = saved(base.join(placed, "rep").select("token", "rep", "n", "component", "g"), "jaccard-placed")
     reps = united(reps, "rep") if links is not None else reps.withColumn("component", F.col("rep"))
     salts = 32
     moved = reps.where("copies > 1 or component <> rep").select("n", "s1", "s2", "component").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
