@@ -7,6 +7,7 @@ import tomllib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths
 from ..functions import static as st
@@ -82,7 +83,7 @@ def package_facts(texts: DataFrame) -> DataFrame:
     )
 
 
-PYPROJECT = "parsed boolean, entry boolean, test boolean, check boolean, coverage boolean, version boolean"
+PYPROJECT = T.StructType([T.StructField(n, T.BooleanType()) for n in ("parsed", "entry", "test", "check", "coverage", "version")])
 
 
 @F.pandas_udf(PYPROJECT)
@@ -100,7 +101,7 @@ def _pyproject(text: pd.Series) -> pd.DataFrame:
         fine = isinstance(version, str) and version.strip().lower() not in NO_VERSION
         return True, any(isinstance(e, dict) and e for e in entries), "pytest" in tool or "tox" in tool, any(k in tool for k in ("ruff", "mypy", "pyright", "pylint", "flake8", "black")), "coverage" in tool, fine
 
-    return pd.DataFrame([one(t) for t in text], columns=["parsed", "entry", "test", "check", "coverage", "version"])
+    return pd.DataFrame([one(t) for t in text], columns=PYPROJECT.names)
 
 
 def pyproject_facts(texts: DataFrame) -> DataFrame:

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import paths
 from ..functions import static as st
 
-REPOSITORY = T.StructType.fromDDL(
+REPOSITORY = (
     "id long, name string, full_name string, html_url string, description string, default_branch string, archived boolean, created_at string, updated_at string, pushed_at string, size long, open_issues_count long, topics array<string>, license struct<spdx_id: string>, owner struct<login: string>"
 )
-TREE = T.StructType.fromDDL("repo_id string, truncated boolean, path string, mode string, type string, sha string, size long")
+TREE = ("repo_id string, truncated boolean, path string, mode string, type string, sha string, size long")
 CONTROL = r"[\x00-\x1F\x7F-\x9F]"
 SHA = r"^[0-9a-f]{40}(?:[0-9a-f]{24})?$"
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,3})?Z$"
@@ -43,10 +42,10 @@ def is_component(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[A-Za-z0-9._-]{1,100}$") & ~c.isin(".", ".."), F.lit(False))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, corrupt lines) of newline-delimited JSON under a fixed schema."""
     corrupt = "_corrupt_record"
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).json(path)
+    rows = spark.read.schema(f"{schema}, {corrupt} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).json(path)
     return rows.where(F.col(corrupt).isNull()).drop(corrupt), rows.where(F.col(corrupt).isNotNull()).select(corrupt)
 
 
