@@ -40,7 +40,7 @@ def tree_facts(tree: DataFrame) -> DataFrame:
         doc("readme").alias("has_readme"), doc("contribution").alias("has_contributing"), doc("license").alias("has_license_file"), doc("architecture").alias("has_architecture_file"), doc("security").alias("has_security"),
         doc("code_of_conduct").alias("has_code_of_conduct"), any_(paths.is_ci(p)).alias("has_ci"), any_(paths.is_dependency_update(p)).alias("has_dependency_updates"), any_(paths.is_template(p)).alias("has_templates"),
         any_(paths.is_coverage_config(p)).alias("has_coverage"), any_(paths.is_environment_example(p)).alias("has_configuration"), any_(paths.is_manifest(p)).alias("has_manifest"), any_(paths.is_lockfile(p)).alias("has_lockfile"),
-        any_(base.isin("pytest.ini", "tox.ini", "noxfile.py") | base.rlike(r"^(?:vitest|jest|karma|ava)\.config\.")).alias("test_configuration"), any_(base.isin("mypy.ini", ".flake8", "ruff.toml", ".ruff.toml", "pyrightconfig.json")).alias("check_structured"),
+        any_(base.isin("pytest.ini", "tox.ini", "noxfile.py") | base.rlike(r"^(?:vitest|jest|karma|ava)\.config\.")).alias("test_configuration"), any_(base.isin("mypy.ini", ".flake8", "ruff.toml", ".ruff.toml", "pyrightconfig.json")).alias("check_configured"),
         F.count_if(counted & paths.is_test(p)).alias("test_files"), F.count_if(counted & ~paths.is_test(p)).alias("source_count"),
     )
 

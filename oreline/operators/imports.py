@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -49,6 +51,14 @@ def edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     return first.where((F.col("src") != F.col("dst")) & (family(F.col("src")) == family(F.col("dst")))).select("repo_id", "src", "dst").distinct()
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints need a folder that all executors share; local runs get one of this machine."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+
+
 def cycles(graph: DataFrame, rounds: int = 60) -> DataFrame:
     """(repo_id, component, members, size) of strongly connected components of two or more.
 
@@ -57,13 +67,7 @@ def cycles(graph: DataFrame, rounds: int = 60) -> DataFrame:
     checkpointed, so lineage doesn't grow.
     """
     core = graph.select("repo_id", "src", "dst").where("src <> dst").distinct()
-    spark = graph.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    ensure_checkpoints(graph.sparkSession)
     size = core.count()
     for _ in range(rounds):
         heads, tails = core.select("repo_id", F.col("dst").alias("src")).distinct(), core.select("repo_id", F.col("src").alias("dst")).distinct()
