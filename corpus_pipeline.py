@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from oreline.llm import decontaminate, jaccard, pii, quality, sentencepiece_fst
 from oreline.llm.queries import may_learn, table
-from oreline.llm.shared import saved
+from oreline.llm.shared import saved, small_batches
 
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -38,6 +39,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document."""
+    small_batches(spark)
     return sentencepiece_fst.encode_column(docs)
 
 
