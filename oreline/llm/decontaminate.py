@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from . import text as tx
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, language, language_model, neighbours, pii, quality, sentencepiece_fst, substrings, warc
 from .features import remainder
+from .shared import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -40,8 +40,9 @@ SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-BATCH_BYTES = 4 << 20
-KEPT_CHUNKS = 300_000
+BATCH_BYTES = 1 << 20
+KEPT_CHUNKS = 100_000
+KEPT_PAIRS = 100_000
 LONG = 400
 MAX_MODEL_BYTES = 64 << 20
 
@@ -110,8 +111,8 @@ class Model:
         self._lexicon()
         self._events: dict[int, tuple] = {}
         self._pairs: dict[int, bool] = {}
-        self.seen_key = np.full(1 << 21, -1, np.int64)
-        self.seen = np.zeros(1 << 21, bool)
+        self.seen_key = np.full(1 << 20, -1, np.int64)
+        self.seen = np.zeros(1 << 20, bool)
         self.kept: pa.Array | None = None
         self.kept_ids, self.kept_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         raw_pieces = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else t.replace(SPACE, " ").encode() for t, _, k in pieces]
@@ -119,10 +120,7 @@ class Model:
         self.out_data = np.frombuffer(b"".join(raw_pieces), np.uint8)
 
     def _lexicon(self) -> None:
-        """The trie over character classes: class of a code point, moves, and the piece of a node."""
-        letters = sorted({c for t in self.id for c in t})
-        self.klass = np.zeros(0x110001, np.int32)
-        self.klass[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        """The trie of the pieces: moves by code point, and the piece of a node."""
         inner = {""} | {t[:k] for t in self.id for k in range(1, len(t))}
         ordered = sorted(inner, key=lambda t: (len(t), t))
         number = {t: i for i, t in enumerate(ordered)}
@@ -180,7 +178,7 @@ class Model:
         got = self._pairs.get(key)
         if got is None:
             got = self._neighbours(a, b)
-            if len(self._pairs) < 2_000_000:
+            if len(self._pairs) < KEPT_PAIRS:
                 self._pairs[key] = got
         return got
 
@@ -436,7 +434,7 @@ class Model:
         step = 1 << 16
         at = 0
         while at < len(by):  # blocks of like lengths, so that the tables of a block stay small
-            width = max(1, min(step, (1 << 22) // int(size[by[min(at + step, len(by)) - 1]] + 1)))
+            width = max(1, min(step, (1 << 19) // int(size[by[min(at + step, len(by)) - 1]] + 1)))
             block = by[at : at + width]
             ids, ends = self.paths(codes, first[block], size[block])
             parts.append((block, ids, ends))

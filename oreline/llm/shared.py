@@ -18,6 +18,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows for each Arrow batch, as whole texts are long: JVM and Python both hold a batch, for every task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: later plans start here, and a lost executor loses nothing."""
     path = folder(df.sparkSession, name)

@@ -7,6 +7,8 @@ batch, so no per-word Python code runs.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,8 +47,22 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers are reused, and what one task needed shouldn't stay with the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str | int, limit: int) -> Iterator[pa.RecordBatch]:
     """Splits batches so that the text of each holds `limit` bytes at most, or one row."""
+    try:
+        yield from _slices(batches, column, limit)
+    finally:
+        release()
+
+
+def _slices(batches: Iterable[pa.RecordBatch], column: str | int, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column)
         _, offsets = utf8(col)
