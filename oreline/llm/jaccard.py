@@ -51,8 +51,9 @@ SHINGLE = 3
 PERCENT = 90
 SKETCH_BITS = 18
 CHUNK = 4096
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 MAX_DOCS = 4000
+FILTER_BITS = 23
 STAR_ROUNDS = 6
 EXTRA = np.array([0, 1, 2, 4, 8, 16, 32])
 TOKEN = np.uint64((1 << 47) - 1)
@@ -160,19 +161,65 @@ def marks(docs: DataFrame, level: np.ndarray, *, id_col: str, text_col: str, shi
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, s1 long, s2 long, ell int, prefix array<bigint>")
 
 
-def sets(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(rep, tokens): the sorted set of each wanted document, as bytes."""
-    rows = docs.select(docs[id_col].alias("rep"), docs[text_col].alias("text")).join(ids, "rep", "left_semi")
+def id_filter(ids: DataFrame, bits: int) -> np.ndarray | None:
+    """A Bloom filter of 2**bits bits (three of them for an id) over the column rep; None if more than half of it is set.
+
+    The driver and every task hold 2**bits / 8 bytes, whatever the number of ids.
+    """
+    size = 1 << bits
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, bool)
+        for b in batches:
+            total[id_bits(b.column(0), bits).ravel()] = True
+        if total.any():
+            packed = np.packbits(total)
+            yield pa.RecordBatch.from_arrays([pa.array(range(0, len(packed), CHUNK), pa.int32()), pa.array([packed[i : i + CHUNK].tobytes() for i in range(0, len(packed), CHUNK)], pa.binary())], names=["at", "bits"])
+
+    def both(table: pa.Table) -> pa.Table:
+        total = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
+        return pa.table({"at": table.column("at").slice(0, 1), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    rows = ids.select(F.xxhash64("rep")).mapInArrow(mark, "at int, bits binary").withColumn("part", F.spark_partition_id() % 64)
+    first = rows.groupBy("at", "part").applyInArrow(lambda t: both(t.select(["at", "bits"])), "at int, bits binary")
+    out = np.zeros(size // 8, np.uint8)
+    for r in first.groupBy("at").applyInArrow(both, "at int, bits binary").collect():
+        piece = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[r["at"] : r["at"] + len(piece)] = piece
+    return out if np.bitwise_count(out).sum() * 2 <= size else None
+
+
+def id_bits(hashes: pa.Array, bits: int) -> np.ndarray:
+    h = hashes.to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.stack([tx.mix(h + np.uint64(k * 0x9E3779B9)) >> np.uint64(64 - bits) for k in range(3)])
+
+
+def sets(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, shingle: int, bits: int = FILTER_BITS) -> DataFrame:
+    """(rep, tokens): the sorted set of each wanted document, as bytes.
+
+    A filter of bounded size picks the documents where they are read, so texts aren't
+    shuffled; where ids are too many for it, texts are joined with them first.
+    """
+    rows = docs.select(docs[id_col].alias("rep"), docs[text_col].alias("text"))
+    chosen = id_filter(ids, bits)
+    if chosen is None:
+        rows = rows.join(ids, "rep", "left_semi")
+    held = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            doc, token = shingles(part.column(1), shingle)
-            key = np.unique(doc.astype(np.uint64) << np.uint64(47) | token)
-            at = np.searchsorted(key >> np.uint64(47), np.arange(part.num_rows + 1))
-            token = (key & TOKEN).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([token[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["rep", "tokens"])
+        chosen = None if held.value is None else np.unpackbits(held.value).view(bool)
+        for whole in batches:
+            if chosen is not None:
+                whole = whole.filter(pa.array(chosen[id_bits(whole.column(2), bits)].all(0)))
+            for part in slices(iter([whole]), 1):
+                doc, token = shingles(part.column(1), shingle)
+                key = np.unique(doc.astype(np.uint64) << np.uint64(47) | token)
+                at = np.searchsorted(key >> np.uint64(47), np.arange(part.num_rows + 1))
+                token = (key & TOKEN).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([token[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["rep", "tokens"])
 
-    return rows.mapInArrow(run, f"rep {dict(rows.dtypes)['rep']}, tokens binary").dropDuplicates(["rep"])
+    found = rows.withColumn("h", F.xxhash64("rep")).mapInArrow(run, f"rep {dict(rows.dtypes)['rep']}, tokens binary")
+    return found.join(ids, "rep", "left_semi").dropDuplicates(["rep"])
 
 
 def verify(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -322,9 +369,10 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns; of repeated ids one row."""
     id_col = options.get("id_col", "doc_id")
-    found = near_components(docs, **options)
-    roots = saved(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "jaccard-roots")
-    kept = docs.join(roots.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
-    if roots.where("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    found = saved(near_components(docs, **options), "jaccard-found")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if repeated.limit(1).count():
+        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(docs[id_col].isNull()))
+    return kept

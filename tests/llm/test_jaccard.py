@@ -85,3 +85,11 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(5, 5), (200, 201), (200, 201)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("bits", [6, 23])
+def test_sets_with_and_without_the_filter(spark, bits):
+    docs = spark.createDataFrame(near_copies(5), "rep long, text string")
+    ids = docs.select("rep").where("rep % 3 = 0")
+    got = {r.rep for r in jaccard.sets(docs, ids, id_col="rep", text_col="text", shingle=3, bits=bits).collect()}
+    assert got == {r.rep for r in ids.collect()}
