@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, urls
+from ..functions import credentials, paths, urls
 from ..functions import static as st
-from ..operators import duplicates, findings, imports, rules, select, tree
+from ..functions.markdown import markdown_evidence
+from ..operators import duplicates, findings, imports, python_code, report, rules, script_code, select, tree
 from . import surrogates as su
 from .surrogates import table
 
@@ -441,3 +442,116 @@ def report_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rule_rows(spark, sf_dir)
     broken = rows.withColumn("earned", F.when(F.col("repo_id") % 9 == 0, F.col("earned") + 1).otherwise(F.col("earned"))).withColumn("state", F.when((F.col("repo_id") % 14 == 1) & (F.col("state") == "passed"), "odd").otherwise(F.col("state")))
     return rule_problems(broken).groupBy("repo_id", "problem").agg(F.count("*").alias("rows"))
+
+
+ASSIGNED_SQL = credentials.ASSIGNED.replace("'", "''")
+PLACEHOLDER_SQL = credentials.PLACEHOLDER.replace("'", "''")
+
+
+@query(f"""select doc_id, len(list_filter(regexp_extract_all(text, '{ASSIGNED_SQL}', 1), lambda v: length(v) >= 8 and not regexp_matches(v, '{PLACEHOLDER_SQL}') and (regexp_matches(v, '[0-9]') or (regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]'))))) as assigned,
+  regexp_matches(text, '{credentials.PEM}') or regexp_matches(text, '{credentials.SERVICE.replace("(?=$|", "(?:$|")}') or regexp_matches(text, '{credentials.COMMON}') as service from documents""")
+def credential_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(credentials.assigned_values(t)).cast("long").alias("assigned"), credentials.has_service_token(t).alias("service"))
+
+
+@query(r"""select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as visible from pages""")
+def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(h, "<[^>]*>", " "), r"\s+", " ")).alias("visible"))
+
+
+@query("select p_partkey::varchar as repo_id, 'f' || p_partkey as name, (1 + p_partkey % 7)::bigint as cyclomatic, (case when p_partkey % 7 > 0 then 1 else 0 end)::bigint as max_nesting, (2 + 2 * (p_partkey % 7))::bigint as logical_lines from part")
+def py_function_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("def f"), k, F.lit("(a):\n"), F.repeat(F.lit("    if a:\n        a += 1\n"), (k % 7).cast("int")), F.lit("    # end\n\n    return a\n"))
+    files = table(spark, sf_dir, "part").select(k.cast("string").alias("repo_id"), F.lit("m.py").alias("path"), text.alias("text"))
+    return python_code.function_rows(python_code.analyze_files(files)).select("repo_id", "name", "cyclomatic", "max_nesting", "logical_lines")
+
+
+@query("select p_partkey::varchar as repo_id, 'f' || p_partkey as name, (1 + p_partkey % 5 + p_partkey % 3)::bigint as cyclomatic, (case when p_partkey % 5 > 0 then 1 else 0 end)::bigint as max_nesting, (2 + p_partkey % 5 + 1)::bigint as logical_lines, './x' || p_partkey as imported from part")
+def script_function_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.concat(F.lit('import "./x'), k, F.lit('"; export function f'), k, F.lit("(a) {\n"), F.repeat(F.lit("  if (a) { a++; }\n"), (k % 5).cast("int")), F.lit("  return a"), F.repeat(F.lit(" && a"), (k % 3).cast("int")), F.lit(";\n}\n"))
+    files = table(spark, sf_dir, "part").select(k.cast("string").alias("repo_id"), F.lit("m.ts").alias("path"), text.alias("text"))
+    out = script_code.analyze_files(files)
+    return python_code.function_rows(out).join(out.select("repo_id", F.col("imports")[0].alias("imported")), "repo_id").select("repo_id", "name", "cyclomatic", "max_nesting", "logical_lines", "imported")
+
+
+@query("select s_suppkey as repo_id, s_suppkey % 2 = 0 as install_heading, s_suppkey % 2 = 0 and s_suppkey % 3 = 0 as install_command, s_suppkey % 5 <> 0 as usage_heading, s_suppkey % 5 <> 0 and s_suppkey % 7 = 0 as usage_concrete, s_suppkey % 5 <> 0 as usage_prose from supplier")
+def markdown_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.concat(
+        F.lit("# Tool\n"), F.when(k % 2 == 0, "## Getting started\n").otherwise("## Notes\n"), F.when(k % 3 == 0, "```sh\n$ npm ci\n```\n").otherwise("```\nplain words\n```\n"), F.when(k % 5 != 0, "## 使用\n").otherwise("## Other\n"),
+        F.lit("Point it at any folder you like.\n"), F.when(k % 7 == 0, "```js\nconst a = b(1)\n```\n").otherwise(""),
+    )
+    rows = table(spark, sf_dir, "supplier").select(k.alias("repo_id"), markdown_evidence(text).alias("m"))
+    return rows.select("repo_id", "m.install_heading", "m.install_command", "m.usage_heading", "m.usage_concrete", "m.usage_prose")
+
+
+@query("select s_suppkey as repo_id, s_suppkey % 6 <> 0 as parsed, s_suppkey % 6 <> 0 and s_suppkey % 2 = 0 as entry, s_suppkey % 6 <> 0 and s_suppkey % 3 = 0 as check, s_suppkey % 6 <> 0 and s_suppkey % 4 <> 0 as version from supplier")
+def toml_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.general import pyproject_facts
+
+    k = F.col("s_suppkey")
+    text = F.concat(
+        F.lit('[project]\nname = "x"\n'), F.when(k % 4 == 0, 'version = "0.0.0"\n').otherwise('version = "1.2"\n'), F.when(k % 2 == 0, '[project.scripts]\na = "b:c"\n').otherwise(""), F.when(k % 3 == 0, "[tool.ruff]\n").otherwise(""), F.when(k % 6 == 0, "= broken").otherwise("")
+    )
+    texts = table(spark, sf_dir, "supplier").select(k.alias("repo_id"), F.lit("pyproject.toml").alias("path"), text.alias("text"))
+    return pyproject_facts(texts).select("repo_id", "parsed", "entry", "check", "version")
+
+
+@query(f"""{SEVERITY_SQL}, ranked as (select repo_id, rule_id, severity, lost, row_number() over (partition by repo_id order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, lost desc, {RANK_SQL}) as rank from severe where state in ('failed', 'partial')),
+items as (select repo_id, string_agg('- [ ] **' || severity || '** ' || replace(replace(rule_id, '.', '\\.'), '-', '\\-') || ' (−' || lost || ')', chr(10) order by rank) as lines from ranked group by repo_id),
+dims as (select repo_id, dimension, sum(earned) as earned, sum(available) as available from rules group by all),
+totals as (select repo_id, 100.0::double * sum({WEIGHT_SQL} * (earned::double / available)) filter (where available > 0) / sum({WEIGHT_SQL}) filter (where available > 0) as raw from dims group by repo_id)
+select repo_id, '# Score ' || floor(raw + 0.5)::bigint || ' / 100' || chr(10) || chr(10) || '- Label: ' || case when raw >= 85 then 'strong' when raw >= 70 then 'solid' when raw >= 50 then 'needs-attention' else 'limited' end || chr(10) || chr(10) || coalesce(lines, '') as markdown
+from totals left join items using (repo_id)""")
+def markdown_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_rows(spark, sf_dir)
+    return report.checklist(findings.weaknesses(found), rules.overall(rules.dimensions(found)))
+
+
+@query("select n_nationkey as key_id, case when n_nationkey % 2 = 0 then replace(replace('{count} files in {name}', '{count}', n_regionkey::varchar), '{name}', n_name) else 'absent.key' end as message from nation")
+def message_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key_id"), F.when(F.col("n_nationkey") % 2 == 0, "files.in").otherwise("absent.key").alias("key"), F.create_map(F.lit("count"), F.col("n_regionkey").cast("string"), F.lit("name"), F.col("n_name")).alias("args"))
+    return report.localized(rows, report.messages(spark, {"en": {"files.in": "{count} files in {name}"}}), F.lit("en")).select("key_id", "message")
+
+
+@query("select doc_id, case when size < 1024 then size || ' B' when size < 1048576 then regexp_replace(printf('%.1f', size / 1024.0::double), '\\.0$', '') || ' KB' else regexp_replace(printf('%.1f', size / 1048576.0::double), '\\.0$', '') || ' MB' end as shown from (select doc_id, (strlen(text) * 4)::bigint as size from documents)")
+def byte_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length("text") * 4).cast("long").alias("size"))
+    return rows.select("doc_id", F.replace(report.byte_count(F.col("size")), F.lit(","), F.lit("")).alias("shown"))
+
+
+@query("select o_custkey as repo_id, min(o_shippriority) as remaining, max(reset_at) as reset_at from (select o_custkey, (o_orderkey % 60)::bigint as o_shippriority, o_orderdate as reset_at from orders) group by o_custkey")
+def rate_limit_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.snapshot import rate_limit
+
+    return rate_limit(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo_id"), (F.col("o_orderkey") % 60).alias("remaining"), F.col("o_orderdate").alias("reset_at")))
+
+
+@query("""with s as (select event_id, 200 + (event_id * 7) % 330 as status from events)
+select event_id, status, case when status between 200 and 299 then 'ok' when status = 404 then 'not-found' when status = 409 then 'empty' when status in (403, 429) then 'rate-limit' else 'network' end as kind,
+  case when status between 200 and 299 or status in (404, 409) then false when status in (403, 429) then event_id % 2 = 0 else true end as retry from s""")
+def status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", (200 + (F.col("event_id") * 7) % 330).alias("status")).withColumn("kind", urls.status_class(F.col("status")))
+    return rows.withColumn("retry", urls.may_retry(F.col("kind"), F.col("event_id") % 2, F.lit(0)))
+
+
+@query(ORACLES["latest_run_wins"])
+def latest_run_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stream over the table's files, in micro-batches that are merged at the end."""
+    from ..sources.folders import scratch
+    from ..streaming.runs import latest
+
+    columns = [F.col("user_id").alias("repo_id"), F.col("event_id").alias("request_id"), F.col("event_type").alias("event"), "value"]
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").select(*columns)
+    out = scratch(spark, "runs")
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest(batch).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return latest(spark.read.parquet(f"{out}/rows").drop("batch")).select("repo_id", "request_id", "event", "value")
