@@ -555,3 +555,87 @@ def latest_run_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return latest(spark.read.parquet(f"{out}/rows").drop("batch")).select("repo_id", "request_id", "event", "value")
+
+
+@query("""with p as (select doc_id, case doc_id % 7 when 0 then '/' when 1 then '../' when 2 then './' when 3 then '' when 4 then 'a//' when 5 then 'a\\' else 'x/../' end || 'f' || doc_id || repeat('y', (doc_id % 1200)::int) as path from documents)
+select doc_id, doc_id % 7 = 3 as safe, doc_id % 7 = 3 and length(path) <= 1024 as brief_safe from p""")
+def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    odd = F.element_at(F.array(*map(F.lit, ("/", "../", "./", "", "a//", "a\\", "x/../"))), (i % 7).cast("int") + 1)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(odd, F.lit("f"), i, F.repeat(F.lit("y"), (i % 1200).cast("int"))).alias("path"))
+    return rows.select("doc_id", paths.is_safe(F.col("path")).alias("safe"), paths.is_brief_safe(F.col("path")).alias("brief_safe"))
+
+
+@query("""select p_partkey as id, case p_partkey % 4 when 0 then 'a/b/x' || p_partkey when 1 then 'a/x' || p_partkey when 2 then 'x' || p_partkey end as target from part""")
+def posix_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    relative = F.concat(F.element_at(F.array(*map(F.lit, ("./", "../", "./.././../", "../../../"))), (k % 4).cast("int") + 1), F.lit("x"), k)
+    return table(spark, sf_dir, "part").select(k.alias("id"), imports.join_path(F.lit("a/b"), relative).alias("target"))
+
+
+@query(f"""with {PARTS_SQL}, own as (select * from parts where not excluded)
+select t.repo_id, coalesce(bool_or({_scoped('readme')}), false) as has_readme, coalesce(bool_or({_scoped('license')}), false) as has_license_file, coalesce(bool_or(manifest), false) as has_manifest, coalesce(bool_or(lockfile), false) as has_lockfile,
+  count(*) filter (where lang <> 'none' and test and not regexp_matches(low, '(\\.d\\.ts|\\.pyi)$')) as test_files, count(*) filter (where lang <> 'none' and not test and not regexp_matches(low, '(\\.d\\.ts|\\.pyi)$')) as source_count
+from (select distinct repo_id from tree) t left join own on own.repo_id = t.repo_id group by t.repo_id""")
+def general_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.general import tree_facts
+
+    return tree_facts(su.tree(spark, sf_dir)).select("repo_id", "has_readme", "has_license_file", "has_manifest", "has_lockfile", "test_files", "source_count")
+
+
+@query("""with f as (select l_orderkey as repo_id, l_linenumber, (l_partkey * 7 % 1400)::bigint as lines from lineitem)
+select repo_id, count(*) as source_files, sum(lines)::bigint as parsed_lines, count(*) filter (where lines > 500) as over_500, count(*) filter (where lines > 1000) as over_1000, count(*) >= 5 or sum(lines) >= 2000 as deep_applicable from f where l_linenumber <> 2 group by repo_id""")
+def deep_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.when(F.col("l_linenumber") == 2, "types.D.TS").otherwise(F.concat(F.lit("f"), F.col("l_linenumber"), F.lit(".ts")))
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("repo_id"), path.alias("path"), (F.col("l_partkey") * 7 % 1400).alias("logical_lines"))
+    return rules.file_metrics(files).drop("lines_valid")
+
+
+@query("select p_partkey as id, case when p_size % 7 = 0 or p_size - 20 < 0 then 0.0::double else least(1.0::double, (p_size - 20)::double / (p_size % 7)) end as ratio from part")
+def safe_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), rules.safe_ratio(F.col("p_size") - 20, F.col("p_size") % 7).alias("ratio"))
+
+
+@query(f"{DIMENSIONS_SQL}, fixed as (select unnest({items(st.WEIGHTS)}) as dimension) select s_suppkey as repo_id, f.dimension, coalesce(d.score::varchar, 'unavailable') as shown from supplier cross join fixed f left join dims d on d.repo_id = s_suppkey and d.dimension = f.dimension and d.dimension <> 'testing'")
+def dimension_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.dimensions(rule_rows(spark, sf_dir)).where("dimension <> 'testing'").select("repo_id", "dimension", "score")
+    fixed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("repo_id"), F.explode(F.array(*map(F.lit, st.WEIGHTS))).alias("dimension"))
+    return fixed.join(found, ["repo_id", "dimension"], "left").select("repo_id", "dimension", F.coalesce(F.col("score").cast("string"), F.lit("unavailable")).alias("shown"))
+
+
+@query("select a.c_custkey as id, b.s_suppkey as other from customer a join supplier b on lower('Own/R' || a.c_custkey % 50) = lower('own/r' || b.s_suppkey)")
+def same_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lower(F.concat(F.lit("Own/R"), F.col("c_custkey") % 50)).alias("k"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("other"), F.lower(F.concat(F.lit("own/r"), F.col("s_suppkey"))).alias("k"))
+    return a.join(b, "k").select("id", "other")
+
+
+@query("""with e as (select user_id as repo_id, event_id // 1000 as request_id, event_id as seq, 1 + (event_id * 3 % 10) as step from events),
+newest as (select *, max(request_id) over (partition by repo_id) as top from e), own as (select * from newest where request_id = top),
+seen as (select *, max(step) over (partition by repo_id, request_id order by seq rows between unbounded preceding and 1 preceding) as before from own)
+select repo_id, request_id, seq from seen where before is null or step >= before""")
+def monotone_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.runs import PHASES, monotone
+
+    e = F.col("event_id")
+    phase = F.element_at(F.array(*map(F.lit, PHASES)), (e * 3 % 10).cast("int") + 1)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo_id"), F.floor(e / 1000).alias("request_id"), e.alias("seq"), phase.alias("phase"))
+    return monotone(rows).select("repo_id", "request_id", "seq")
+
+
+@query("""with new as (select o_custkey as repo_id, arg_max(o_orderstatus, o_orderkey) as status, max(o_orderkey) as report from orders where o_orderkey % 2 = 1 group by o_custkey), old as (select o_custkey as repo_id, max(o_orderkey) as report from orders where o_orderkey % 2 = 0 group by o_custkey)
+select repo_id, report from new where status = 'F' union all select repo_id, report from old where repo_id not in (select repo_id from new where status = 'F')""")
+def keep_last_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.runs import merge_good
+
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    new = o.where(key % 2 == 1).groupBy(F.col("o_custkey").alias("repo_id")).agg(F.max_by(F.when(F.col("o_orderstatus") == "F", "complete").otherwise("failed"), key).alias("status"), F.max(key).alias("report"))
+    old = o.where(key % 2 == 0).groupBy(F.col("o_custkey").alias("repo_id")).agg(F.lit("complete").alias("status"), F.max(key).alias("report"))
+    return merge_good(old, new).select("repo_id", "report")
+
+
+@query()
+def duplicate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokens(spark, sf_dir)
+    return duplicates.ratio(files, duplicates.greedy(duplicates.spans(files)))
