@@ -1,7 +1,7 @@
 """Clones of token windows between the files of a repository.
 
-Windows meet by hash and are compared by tokens; matches are grown to maximal spans
-per pair and diagonal (islands); the greedy choice of non-overlapping spans folds over
+Windows meet by two hashes; matches are grown to maximal spans
+per pair and diagonal (islands) and compared by tokens; the greedy choice of non-overlapping spans folds over
 the spans of one repository, which are far fewer than its windows.
 """
 
@@ -14,38 +14,49 @@ from pyspark.sql import functions as F
 from ..functions import static as st
 
 
+HASHES = ["repo_id", "h1", "h2"]
+
+
 def windows(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
-    """(repo_id, path, pos, hash, w) of every window of `tokens`."""
+    """(repo_id, path, pos, h1, h2) of every window of `tokens`: two hashes stand for its tokens, which stay where they are."""
     rows = files.where(F.size("tokens") >= window)
-    at = F.explode(F.sequence(F.lit(1), F.size("tokens") - (window - 1)))
-    rows = rows.select("repo_id", "path", "tokens", at.alias("pos"))
+    rows = rows.select("repo_id", "path", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - (window - 1))).alias("pos"))
     w = F.slice("tokens", F.col("pos"), window)
-    return rows.select("repo_id", "path", "pos", w.alias("w")).withColumn("hash", F.xxhash64("w"))
+    return rows.select("repo_id", "path", "pos", F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2"))
 
 
 def shared(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
-    """windows whose hash occurs in more than one file of the repository; counts are pre-aggregated."""
+    """windows that occur in more than one file of the repository; counts are pre-aggregated."""
     all_ = windows(files, window)
-    often = all_.groupBy("repo_id", "hash").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a <> b").select("repo_id", "hash")
-    return all_.join(often, ["repo_id", "hash"], "left_semi")
+    often = all_.groupBy(*HASHES).agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a <> b").select(*HASHES)
+    return all_.join(often, HASHES, "left_semi")
 
 
 def matches(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
-    """(repo_id, left, right, lpos, rpos): equal windows of two files."""
+    """(repo_id, left, right, lpos, rpos): windows of two files with equal hashes."""
     one = shared(files, window)
-    left = one.select("repo_id", "hash", F.col("path").alias("left"), F.col("pos").alias("lpos"), F.col("w").alias("lw"))
-    right = one.select("repo_id", "hash", F.col("path").alias("right"), F.col("pos").alias("rpos"), F.col("w").alias("rw"))
-    both = left.join(right, ["repo_id", "hash"]).where((F.col("left") < F.col("right")) & (F.col("lw") == F.col("rw")))
-    return both.select("repo_id", "left", "right", "lpos", "rpos")
+    left = one.select(*HASHES, F.col("path").alias("left"), F.col("pos").alias("lpos"))
+    right = one.select(*HASHES, F.col("path").alias("right"), F.col("pos").alias("rpos"))
+    return left.join(right, HASHES).where(F.col("left") < F.col("right")).select("repo_id", "left", "right", "lpos", "rpos")
 
 
 def spans(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
-    """(repo_id, left, right, lstart, rstart, length): maximal matches, as islands of consecutive windows on a diagonal."""
+    """(repo_id, left, right, lstart, rstart, length): maximal matches, as islands of consecutive windows on a diagonal, compared token by token at the end."""
     rows = matches(files, window).withColumn("diagonal", F.col("rpos") - F.col("lpos"))
     on = Window.partitionBy("repo_id", "left", "right", "diagonal").orderBy("lpos")
     rows = rows.withColumn("island", F.col("lpos") - F.row_number().over(on))
     out = rows.groupBy("repo_id", "left", "right", "diagonal", "island").agg(F.min("lpos").alias("lstart"), F.min("rpos").alias("rstart"), (F.count("*") + window - 1).alias("length"))
-    return out.select("repo_id", "left", "right", "lstart", "rstart", "length")
+    own = out.join(files.select("repo_id", F.col("path").alias("left"), F.col("tokens").alias("lt")), ["repo_id", "left"]).join(files.select("repo_id", F.col("path").alias("right"), F.col("tokens").alias("rt")), ["repo_id", "right"])
+    size = F.col("length").cast("int")
+    fine = own.where(F.slice("lt", F.col("lstart"), size) == F.slice("rt", F.col("rstart"), size))
+    return fine.select("repo_id", "left", "right", "lstart", "rstart", "length")
+
+
+def repeated(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
+    """(repo_id, tokens, occurrences, files): each window that several files have."""
+    g = shared(files, window).groupBy(*HASHES).agg(F.count("*").alias("occurrences"), F.countDistinct("path").alias("files"), F.min(F.struct("path", "pos")).alias("at"))
+    g = g.select("repo_id", F.col("at.path").alias("path"), F.col("at.pos").alias("pos"), "occurrences", F.col("files").alias("n"))
+    return g.join(files.select("repo_id", "path", "tokens"), ["repo_id", "path"]).select("repo_id", F.slice("tokens", F.col("pos"), window).alias("tokens"), "occurrences", F.col("n").alias("files"))
 
 
 def greedy(found: DataFrame) -> DataFrame:

@@ -351,9 +351,8 @@ wins as (select repo_id, path, pos, array_to_string(tokens[pos:pos + 49], ' ') a
 
 @query(f"with {TOKENS_SQL}, g as (select repo_id, w, count(*) as occurrences, count(distinct path) as files from wins group by all having count(distinct path) > 1) select repo_id, md5(w) as digest, occurrences, files from g")
 def window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = duplicates.shared(tokens(spark, sf_dir))
-    g = rows.groupBy("repo_id", "w").agg(F.count("*").alias("occurrences"), F.countDistinct("path").alias("files")).where("files > 1")
-    return g.select("repo_id", F.md5(F.array_join("w", " ").cast("binary")).alias("digest"), "occurrences", "files")
+    g = duplicates.repeated(tokens(spark, sf_dir))
+    return g.select("repo_id", F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"), "occurrences", "files")
 
 
 SPANS_SQL = f"""{TOKENS_SQL},
