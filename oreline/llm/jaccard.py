@@ -15,9 +15,10 @@ candidates are met in two ways:
 1. star rounds: in each token's group all members are paired with one pivot (a
    different one in each round), the best pivots are verified, and what links is
    united. A group of a million near copies makes a million pairs here.
-2. around a pivot: of documents that have the same pivot, the differences D from the
-   pivot's set say everything, as |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|. Those that are
-   too far from the pivot to be united by it link only if their differences share
+2. around a centre: documents that the first round paired, directly or over others,
+   are a group with its smallest member as centre. Within it the differences D from
+   the centre's set say everything, as |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|. Those near
+   the centre are linked with it; the others link only if their differences share
    enough tokens, so they are joined on prefixes of D, rare first within the group,
    with one prefix for each class of sizes of the other side. Edits are rare tokens, so
    a crowd of copies that are all just below the threshold meets in few pairs.
@@ -241,34 +242,36 @@ def verify(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def differences(members: DataFrame, known: DataFrame) -> DataFrame:
-    """(g, x, component, n, d, tokens): what the set of x and that of its pivot g don't share."""
+    """(g, x, component, n, m, d, tokens): what the set of x (size n) and that of its centre g (size m) don't share."""
     kinds = dict(members.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, out = [], []
+            sizes, centres, out = [], [], []
             for x, y in zip(batch.column(3), batch.column(4), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
                 sizes.append(len(x))
+                centres.append(len(y))
                 out.append(np.setxor1d(x, y, assume_unique=True))
             ends = np.concatenate(([0], np.cumsum([len(d) for d in out]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.array(sizes, np.int64)), pa.array(np.diff(ends).astype(np.int64)), lists], names=["g", "x", "component", "n", "d", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.array(sizes, np.int64)), pa.array(np.array(centres, np.int64)), pa.array(np.diff(ends).astype(np.int64)), lists], names=["g", "x", "component", "n", "m", "d", "tokens"])
 
     one = members.join(known.select(F.col("rep").alias("x"), F.col("tokens").alias("own")), "x").join(known.select(F.col("rep").alias("g"), F.col("tokens").alias("centre")), "g")
-    return one.select("g", "x", "component", "own", "centre").mapInArrow(run, f"g {kinds['g']}, x {kinds['x']}, component {kinds['component']}, n long, d long, tokens array<bigint>")
+    return one.select("g", "x", "component", "own", "centre").mapInArrow(run, f"g {kinds['g']}, x {kinds['x']}, component {kinds['component']}, n long, m long, d long, tokens array<bigint>")
 
 
-def around_pivots(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) among members (x, g, component) of one pivot and different components."""
+def around_centres(members: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of members (x, g, component; the centre is one) with their centre, and candidate pairs among members of different components."""
     apart = members.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
     diff = saved(differences(members.join(apart, "g"), known), "jaccard-differences")
+    to_centre = diff.where(F.col("x") != F.col("g")).where(100 * (F.col("n") + F.col("m") - F.col("d")) >= percent * (F.col("n") + F.col("m") + F.col("d"))).select(F.col("x").alias("a"), F.col("g").alias("b"))
     each = diff.select("g", "x", F.explode("tokens").alias("token"))
     often = each.groupBy("g", "token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(often, ["g", "token"]).groupBy("g", "x").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     grow = 1.25
     group = lambda d: F.floor(F.log(grow, F.greatest(d, F.lit(0)) + 1.0)).cast("int")
-    rows = diff.drop("tokens").join(ranked, ["g", "x"]).withColumn("reach", F.floor(F.col("n") * (100 - percent) / percent)).withColumn("own", group(F.col("d")))
+    rows = diff.drop("tokens", "m").join(ranked, ["g", "x"]).withColumn("reach", F.floor(F.col("n") * (100 - percent) / percent)).withColumn("own", group(F.col("d")))
     rows = rows.withColumn("other", F.explode(F.sequence(group(F.col("d") - F.col("reach")), group(F.col("d") + F.col("reach")))))
     least = F.greatest(F.floor(F.pow(F.lit(grow), F.col("other"))) - 2, F.lit(0))
     need_ = F.greatest(F.ceil((F.col("d") + least - F.col("reach")) / 2), F.lit(1))
@@ -277,7 +280,7 @@ def around_pivots(members: DataFrame, known: DataFrame, percent: int) -> DataFra
     rows = rows.select("g", "x", "component", "n", "own", F.least("own", "other").alias("k1"), F.greatest("own", "other").alias("k2"), F.explode("take.token").alias("token"))
     side = rows.select("g", "k1", "k2", "token", F.col("x").alias("y"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("own").alias("theirs"))
     met = rows.join(side, ["g", "k1", "k2", "token"]).where((F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & (F.col("own") + F.col("theirs") == F.col("k1") + F.col("k2")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return to_centre, met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, star_rounds: int = STAR_ROUNDS, enough: float = 0.5) -> DataFrame:
@@ -352,9 +355,10 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = checked(pairs)
         links = found if links is None else links.unionByName(found)
         if turn == 0 and not closing:
-            centres = pairs.select(F.col("a").alias("rep"), F.col("b").alias("g"))
-            members = saved(united(pairs.select(F.col("a").alias("x"), F.col("b").alias("g")), "x"), "jaccard-members")
-            links = links.unionByName(checked(around_pivots(members, known, percent)))
+            centres = saved(components(pairs, "a", "b", "jaccard-graph"), "jaccard-centres").select(F.col("node").alias("rep"), F.col("component").alias("g"))
+            members = saved(united(centres.withColumnRenamed("rep", "x"), "x"), "jaccard-members")
+            to_centre, crossing = around_centres(members, known, percent)
+            links = links.unionByName(saved(to_centre, "jaccard-links")).unionByName(checked(crossing))
         if closing:
             break
         placed = united(reps.select("rep"), "rep").join(centres, "rep", "left").withColumn("g", F.coalesce("g", "rep"))
@@ -370,7 +374,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns; of repeated ids one row."""
     id_col = options.get("id_col", "doc_id")
     found = saved(near_components(docs, **options), "jaccard-found")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "jaccard-gone")
     kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
     if repeated.limit(1).count():
