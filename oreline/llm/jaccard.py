@@ -235,6 +235,7 @@ def verify(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(ok))
+        tx.release()
 
     one = pairs.join(known.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a")
     two = one.join(known.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
@@ -256,6 +257,7 @@ def differences(members: DataFrame, known: DataFrame) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum([len(d) for d in out]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.array(sizes, np.int64)), pa.array(np.array(centres, np.int64)), pa.array(np.diff(ends).astype(np.int64)), lists], names=["g", "x", "component", "n", "m", "d", "tokens"])
+        tx.release()
 
     one = members.join(known.select(F.col("rep").alias("x"), F.col("tokens").alias("own")), "x").join(known.select(F.col("rep").alias("g"), F.col("tokens").alias("centre")), "g")
     return one.select("g", "x", "component", "own", "centre").mapInArrow(run, f"g {kinds['g']}, x {kinds['x']}, component {kinds['component']}, n long, m long, d long, tokens array<bigint>")

@@ -49,6 +49,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def release() -> None:
     """Gives freed memory back to the system: workers are reused, and what one task needed shouldn't stay with the next."""
+    _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
         ctypes.CDLL(None).malloc_trim(0)
