@@ -13,6 +13,9 @@ from oreline.llm import decontaminate, jaccard, pii, quality, sentencepiece_fst
 from oreline.llm.queries import may_learn, table
 from oreline.llm.shared import saved, small_batches
 
+NEAR_SHINGLE = 5
+NEAR_PERCENT = 80
+
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -21,9 +24,9 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: texts that share 80 % of their runs of five words."""
     small_batches(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
+import random
 import re
 
 import sentencepiece
 from test_decontaminate import brute as brute_contamination
 from test_jaccard import brute as brute_near
+from test_jaccard import grams
 from test_pii import base, pii
 
 import corpus_pipeline
@@ -57,3 +59,46 @@ def test_stages_on_odd_rows(spark, sf_dir):
             out = stage(spark, out, sf_dir)
         assert out.count() == (4 if some is docs else 0)
     assert pii.KINDS == ("email", "ip", "card", "phone")
+
+
+def five_word_components(docs):
+    """Smallest id of each component of texts whose sets of five words have a Jaccard similarity of 0.8 or more."""
+    sets = {k: grams(t, 5) for k, t in docs}
+    root = {k: k for k in sets}
+    pairs = {}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                pairs[a, b] = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for _ in sets:
+        for (a, b), s in pairs.items():
+            if s >= 0.8:
+                root[a] = root[b] = min(root[a], root[b])
+    return root, pairs
+
+
+def test_near_copies_are_of_five_words_and_four_fifths(spark, sf_dir):
+    rng = random.Random(3)
+    docs = []
+    for base in range(24):
+        n = rng.choice([3, 5, 40, 200, 600])
+        text = [f"b{base}w{rng.randint(0, 5000)}" for _ in range(n)]
+        docs.append(text)
+        for _ in range(3):
+            copy = list(text)
+            share = rng.choice([0.06, 0.08, 0.095, 0.105, 0.12, 0.15])
+            for at in rng.sample(range(n), int(share * n / 5)):
+                copy[at] = f"z{rng.random()}"
+            docs.append(copy)
+        copy = list(text)
+        size = int(rng.choice([0.085, 0.1, 0.13]) * n)
+        copy[:size] = [f"y{rng.random()}" for _ in range(size)]  # one contiguous edit
+        docs.append(copy)
+    rng.shuffle(docs)
+    docs = [(k, " ".join(t)) for k, t in enumerate(docs, 7)]
+    root, pairs = five_word_components(docs)
+    assert sum(0.8 <= s < 0.89 for s in pairs.values()) >= 10
+    assert sum(0.7 <= s < 0.8 for s in pairs.values()) >= 3
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.distinct(spark, df, sf_dir).collect())
+    assert kept == sorted(k for k, r in root.items() if r == k)
