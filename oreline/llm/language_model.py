@@ -41,9 +41,9 @@ from .shared import saved
 FREQUENT = 1 << 18
 UNITS = 1 << 13
 SIDES = 32
-CLASSES = 16
+CLASSES = 32
 PAIR_BITS = 13
-FEATURES = 3 << 13
+FEATURES = 4 << 13
 ROUNDS = 2
 RATE = 0.3
 STEP = 1 << 14
@@ -86,10 +86,10 @@ class Tokens:
         return out
 
     def features(self) -> np.ndarray:
-        """(3, tokens) rows of the weight table, as int16 for the sort that grouping needs."""
-        one, two = self.back(1), self.back(2)
+        """(4, tokens) rows of the weight table, as int16 for the sort that grouping needs."""
+        one, two, three = self.back(1), self.back(2), self.back(3)
         pair = ((one.astype(np.uint32) * np.uint32(UNITS) + two.astype(np.uint32)) * np.uint32(2654435761)) >> np.uint32(32 - PAIR_BITS)
-        return np.stack([one.astype(np.int16), (UNITS + two).astype(np.int16), (2 * UNITS + pair).astype(np.int16)])
+        return np.stack([one.astype(np.int16), (UNITS + two).astype(np.int16), (2 * UNITS + pair).astype(np.int16), (3 * UNITS + three).astype(np.int16)])
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:

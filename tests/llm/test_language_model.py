@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -69,3 +70,17 @@ def test_class_probabilities_sum_to_one():
         total += 10 ** lm.gains(model, t)
     assert total == pytest.approx(np.ones(len(total)), abs=1e-5)
     assert t.n.tolist() == [4, 1, 5]
+
+
+def test_the_unit_three_back_is_a_feature(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
+    docs = []
+    for i in range(400):
+        start = [rng.randrange(30) for _ in range(3)]
+        docs.append((i, " ".join(words[(start[j % 3] + j // 3) % 30] for j in range(90))))  # each word follows from the third before it only
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    held = [r for r in lm.scores(df, F.col("doc_id") % 4 != 0).collect() if r.doc_id % 4 == 0]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert gain > 0.5
+    assert len(set(lm.classes(np.random.default_rng(1).random((lm.UNITS, 2 * lm.SIDES)), lm.CLASSES))) == 32
