@@ -16,10 +16,20 @@ FENCES = frozenset(
     "javascript js jsx mjs cjs typescript ts tsx mts cts python py go golang rust rs c h cpp c++ cc cxx hpp java kotlin kt kts csharp cs fsharp fs fsx ruby rb php swift dart scala sc shell sh bash zsh fish lua r rscript elixir ex exs erlang erl hrl clojure clj cljs haskell hs lhs vue svelte astro".split()
 )
 #: What shows code inside a fence.
-CODE = re.compile(
-    r"""\bimport\s+(?:[\w$*{},\s]+\s+from\s+)?["'][^"'\n]+["']|(?:^|\n)\s*import\s+[A-Za-z_][\w.]*(?:\s+as\s+[A-Za-z_]\w*)?\s*(?:,|;|$)|(?:^|\n)\s*from\s+[\w.]+\s+import\s+[\w*{}, ]+\s*(?:;|$)"""
-    r"""|\b(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=|\b(?:function|def|fn)\s+[A-Za-z_$][\w$]*\s*\(|\bclass\s+[A-Za-z_$][\w$]*(?:\s*[:({]|\s+extends\s+)|\b[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\s*\("""
-    r"""|(?:^|[;\n])\s*[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\s*=(?!=)|\([A-Za-z_+*/!?-][\w+*/!?-]*(?:\s|\))|=>"""
+CODE = tuple(
+    re.compile(p)
+    for p in (
+        r"""\bimport\s+(?:[\w$*{},\s]+\s+from\s+)?["'][^"'\n]+["']""",
+        r"""(?:^|\n)\s*import\s+[A-Za-z_][\w.]*(?:\s+as\s+[A-Za-z_]\w*)?(?:\s*(?:,|;|$))""",
+        r"""(?:^|\n)\s*from\s+[\w.]+\s+import\s+[\w*{}, ]+(?:\s*(?:;|$))""",
+        r"""\b(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=""",
+        r"""\b(?:function|def|fn)\s+[A-Za-z_$][\w$]*\s*\(""",
+        r"""\bclass\s+[A-Za-z_$][\w$]*(?:\s*[:({]|\s+extends\s+)""",
+        r"""\b[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\s*\(""",
+        r"""(?:^|[;\n])\s*[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\s*=(?!=)""",
+        r"""\([A-Za-z_+*/!?-][\w+*/!?-]*(?:\s|\))""",
+        r"""=>""",
+    )
 )
 FLAGS = ("install_heading", "install_command", "usage_heading", "usage_command", "usage_example", "usage_prose", "architecture_heading", "configuration_heading")
 RESULT = T.StructType([*(T.StructField(f, T.BooleanType()) for f in (*FLAGS, "usage_concrete")), T.StructField("invocations", T.ArrayType(T.StringType()))])
@@ -50,9 +60,15 @@ def executable(word: str) -> str:
 def _is_code(lines: list[str], language: str) -> bool:
     if language and language not in FENCES:
         return False
-    body = re.sub(r"(?s)/\*.*?\*/", "", "\n".join(lines))
-    kept = [x for x in body.split("\n") if x.strip() and not x.strip().startswith(("//", "#", "*"))]
-    return bool(kept) and bool(CODE.search("\n".join(kept)))
+    kept, comment = [], False
+    for line in lines:
+        bare = line.strip()
+        if comment or bare.startswith("/*"):
+            comment = "*/" not in bare
+        elif bare and not bare.startswith(("//", "#", "*")):
+            kept.append(line)
+    code = "\n".join(kept)
+    return bool(kept) and any(p.search(code) for p in CODE)
 
 
 def _commands(lines: list[str]) -> list[list[str]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -52,11 +53,16 @@ def is_brief_safe(path: Column) -> Column:
     return is_safe(path) & (F.length(F.encode(path, "UTF-16BE")) / 2 <= 1024)
 
 
+def _ends(names: tuple[str, ...]) -> str:
+    """Pattern of lower-case paths whose extension is one of names."""
+    return r"[^/](?:" + "|".join(re.escape(n) for n in names) + ")$"
+
+
 def language(path: Column) -> Column:
-    low, ext = key(path), extension(path)
+    low = key(path)
     return (
-        F.when(low.endswith(".pyi") | (ext == ".py"), "python").when(ext.isin(*st.TYPESCRIPT), "typescript").when(ext.isin(*st.JAVASCRIPT), "javascript")
-        .when(ext.isin(*st.RECOGNIZED), "recognized-unsupported").otherwise("none")
+        F.when(low.rlike(r"\.pyi$|" + _ends((".py",))), "python").when(low.rlike(_ends(st.TYPESCRIPT)), "typescript").when(low.rlike(_ends(st.JAVASCRIPT)), "javascript")
+        .when(low.rlike(_ends(st.RECOGNIZED)), "recognized-unsupported").otherwise("none")
     )
 
 
@@ -114,24 +120,21 @@ def is_configuration(path: Column) -> Column:
     return is_ci(path) | is_dependency_update(path) | is_template(path) | is_coverage_config(path) | is_environment_example(path) | tools
 
 
-def document_stem(path: Column) -> Column:
-    """Base name without a document extension; null if it has another one."""
-    base = key(basename(path))
-    cut = F.lit(None).cast("string")
-    for ext in reversed(st.DOCUMENTS):
-        cut = F.when(base.endswith(ext), F.left(base, F.length(base) - len(ext))).otherwise(cut)
-    return F.coalesce(cut, F.when(~base.contains("."), base))
+def _scoped_pattern(name: str) -> str:
+    """Pattern of lower-case paths of one kind of document: its folders, then its stems with a document extension or with none."""
+    scopes, stems, whole = st.PRIORITY_DOCUMENTS[name]
+    folder = "(?:" + "|".join(re.escape(f"{x}/") if x else "" for x in sorted(scopes, reverse=True)) + ")"
+    ends = "(?:" + "|".join(map(re.escape, st.DOCUMENTS)) + ")"
+    rest = f"{ends}?" if whole else rf"(?:[^/]*{ends}|[^/.]*)"
+    return rf"{folder}(?:{'|'.join(map(re.escape, stems))}){rest}"
 
 
 def is_scoped_document(path: Column, name: str) -> Column:
-    scopes, stems, whole = st.PRIORITY_DOCUMENTS[name]
-    stem = document_stem(path)
-    named = stem.isin(*stems) if whole else reduce(or_, (stem.startswith(s) for s in stems))
-    return F.coalesce(key(directory(path)).isin(*scopes) & named, F.lit(False))
+    return F.coalesce(key(path).rlike(f"^(?:{_scoped_pattern(name)})$"), F.lit(False))
 
 
 def is_priority_document(path: Column) -> Column:
-    return reduce(or_, (is_scoped_document(path, name) for name in st.PRIORITY_DOCUMENTS))
+    return F.coalesce(key(path).rlike("^(?:" + "|".join(map(_scoped_pattern, st.PRIORITY_DOCUMENTS)) + ")$"), F.lit(False))
 
 
 def is_declaration(path: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OWNER = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,38})"
-NAME = r"[A-Za-z0-9._-]{1,100}"
-ODD = r"[\x00-\x20\x7F-\x9F\\@?#]"
+SPACES = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+CONTROLS = r"[\x00-\x1F\x7F-\x9F]"
+BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
+LOST = "\ufffd"
 
 
 def encode_component(text: Column) -> Column:
@@ -18,35 +19,61 @@ def encode_component(text: Column) -> Column:
     return out
 
 
+def _decoded(text: Column) -> Column:
+    """Percent decoding in UTF-8; null for broken escapes and for bytes that aren't UTF-8."""
+    out = F.try_url_decode(text)
+    odd = F.contains(out, F.lit(LOST)) & ~F.contains(text, F.lit(LOST)) & ~text.rlike("(?i)%EF%BF%BD")
+    return F.when(~text.rlike(BAD_ESCAPE) & ~odd, out)
+
+
 def decode_component(text: Column) -> Column:
     """Percent decoding; null if it fails. A plus stays a plus."""
-    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    return _decoded(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def is_reference_part(text: Column) -> Column:
+    """Whether a decoded owner or name is one: not empty, no dot segment, separator, control character or white space."""
+    return F.coalesce((text != "") & ~text.isin(".", "..") & ~text.rlike(r"[/\\]") & ~text.rlike(CONTROLS) & ~text.rlike(f"[{SPACES}]"), F.lit(False))
+
+
+def is_reference(owner: Column, repo: Column) -> Column:
+    return is_reference_part(owner) & is_reference_part(repo) & ~repo.rlike(r"(?i)\.git$")
 
 
 def parse_repository(url: Column, host: str = "github.com") -> Column:
-    """struct(owner, repo), or null: optional scheme, default port, '.git' and a trailing slash are taken; credentials, queries and fragments aren't."""
+    """struct(owner, repo), or null.
+
+    An HTTPS scheme or none, the default port, one '.git' and a trailing slash are
+    taken; other schemes and hosts, credentials, queries and fragments aren't. Parts
+    are percent-decoded, then checked.
+    """
     name = host.replace(".", r"\.")
-    trimmed = F.trim(url)
-    pattern = rf"^(?i:(?:https?://)?(?:www\.)?{name}(?::443)?)/({OWNER})/({NAME}?)(?:\.git)?/?$"
-    owner, repo = F.regexp_extract(trimmed, pattern, 1), F.regexp_extract(trimmed, pattern, 2)
-    fine = (owner != "") & (repo != "") & ~trimmed.rlike(ODD) & ~repo.isin(".", "..") & ~owner.endswith("-")
-    return F.when(fine, F.struct(owner.alias("owner"), repo.alias("repo")))
+    trimmed = F.regexp_replace(url, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    pattern = rf"^(?i)(?:https://)?{name}(?::443)?/([^/?#\\]+)/([^/?#\\]+?)(?:\.git)?/?$"
+    found = ~url.rlike(CONTROLS) & trimmed.rlike(pattern)
+    owner, repo = (F.when(found, decode_component(F.regexp_extract(trimmed, pattern, k))) for k in (1, 2))
+    return F.when(is_reference(owner, repo), F.struct(owner.alias("owner"), repo.alias("repo")))
 
 
 def canonical(owner: Column, repo: Column, host: str = "github.com") -> Column:
-    return F.concat(F.lit(f"https://{host}/"), owner, F.lit("/"), repo)
+    """The HTTPS URL of a repository; null for parts that no reference has."""
+    return F.when(is_reference(owner, repo), F.concat(F.lit(f"https://{host}/"), encode_component(owner), F.lit("/"), encode_component(repo)))
 
 
 def share_query(owner: Column, repo: Column) -> Column:
-    return F.concat(F.lit("?repo="), encode_component(F.concat(owner, F.lit("/"), repo)))
+    """?repo=owner%2Frepo in form encoding; null for parts that no reference has."""
+    return F.when(is_reference(owner, repo), F.concat(F.lit("?repo="), F.url_encode(F.concat(owner, F.lit("/"), repo))))
 
 
 def parse_share(query: Column) -> Column:
     """struct(owner, repo) of exactly one repo=owner/name pair, else null."""
-    pairs = F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda p: p.startswith("repo="))
-    value = decode_component(F.substring(F.try_element_at(pairs, F.lit(1)), 6, 1_000_000))
-    owner, repo = F.regexp_extract(value, rf"^({OWNER})/({NAME})$", 1), F.regexp_extract(value, rf"^({OWNER})/({NAME})$", 2)
-    return F.when((F.size(pairs) == 1) & (owner != "") & ~repo.isin(".", ".."), F.struct(owner.alias("owner"), repo.alias("repo")))
+    pairs = F.split(F.regexp_replace(query, r"^\?", ""), "&")
+    names = lambda p: F.coalesce(_decoded(F.substring_index(p, "=", 1)), F.lit("")) == "repo"
+    own = F.filter(pairs, names)
+    value = _decoded(F.regexp_replace(F.get(own, F.lit(0)), r"^[^=]*=?", ""))
+    owner, repo = F.substring_index(value, "/", 1), F.substring_index(value, "/", -1)
+    fine = ~query.rlike(CONTROLS) & decode_component(query).isNotNull() & (F.size(own) == 1) & value.rlike(r"^[^/]+/[^/]+$") & is_reference(owner, repo)
+    return F.when(fine, F.struct(owner.alias("owner"), repo.alias("repo")))
 
 
 def evidence_link(owner: Column, repo: Column, sha: Column, path: Column, start: Column, end: Column, host: str = "github.com") -> Column:
@@ -59,10 +86,15 @@ def evidence_link(owner: Column, repo: Column, sha: Column, path: Column, start:
 def status_class(status: Column) -> Column:
     """What an HTTP status means for a request."""
     return (
-        F.when(status.between(200, 299), "ok").when(status == 404, "not-found").when(status == 409, "empty").when(status.isin(403, 429), "rate-limit").otherwise("network")
+        F.when(status.between(200, 299), "ok").when(status == 404, "not-found").when(status == 409, "empty").when(status.isin(403, 429), "rate-limit").otherwise("api")
     )
 
 
 def may_retry(kind: Column, reset_at: Column, now: Column) -> Column:
     """Whether a failed run may be tried again: recoverable kinds, or a rate limit whose reset has passed."""
-    return kind.isin("network", "timeout") | ((kind == "rate-limit") & F.coalesce(reset_at <= now, F.lit(False)))
+    return kind.isin("network", "api", "invalid-response", "worker") | ((kind == "rate-limit") & F.coalesce(reset_at <= now, F.lit(False)))
+
+
+def repository_key(owner: Column, repo: Column) -> Column:
+    """What repositories are the same by."""
+    return F.lower(F.concat(owner, F.lit("/"), repo))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import credentials, paths
-from ..functions.markdown import normalized, plain
+from ..functions import paths
+from ..functions.credentials import looks_secret, text_has_secret
+from ..functions.prose import paragraphs
 
 #: Kinds and cautions in report order, topics, limits.
 KINDS = ("application", "command-line-tool", "library", "plugin", "template", "documentation")
@@ -23,7 +24,6 @@ PLUGIN_TOPICS = ("plugin", "extension")
 TEMPLATE_TOPICS = ("repository-template", "template", "starter", "boilerplate", "scaffold")
 MAX_KINDS, MAX_EXCERPTS, EXCERPT_POINTS, TOTAL_POINTS = 3, 2, 480, 800
 MAX_BYTES, MAX_NODES, MAX_DEPTH = 256 * 1024, 4096, 128
-OVERVIEW = ("overview", "about", "introduction", "what is", "description", "概述", "简介", "介绍")
 
 
 def has_target(value: object, depth: int = 0, count: list[int] | None = None) -> bool:
@@ -99,37 +99,13 @@ def kinds(texts: DataFrame, tree: DataFrame, repositories: DataFrame, general: D
 
 
 def prose(text: str | None) -> list[str]:
-    """Paragraphs of a README that explain it: those under an overview heading, else those that lead."""
-    text = re.sub(r"\A---\n[\s\S]*?\n---\n", "", (text or "").replace("\r\n", "\n"))
-    text = re.sub(r"<!--[\s\S]*?-->", "", text)
-    text = re.sub(r"(?m)^ {0,3}(`{3,}|~{3,})[^\n]*\n[\s\S]*?(?:^ {0,3}\1[`~]*\s*$|\Z)", "\n", text)
-    text = re.sub(r"-----BEGIN [\s\S]*?(?:-----END [^\n]*|\Z)", "", text)
-    lead, overview, section, held = [], [], None, []
-    lines = [*text.split("\n"), ""]
-
-    def flush() -> None:
-        clean = re.sub(r"\s+", " ", plain(re.sub(r"`[^`]*`|https?://\S+", " ", " ".join(held)))).strip(" *_>")
-        held.clear()
-        if len(re.findall(r"\w+", clean)) >= 3 or len(re.findall("[一-鿿]", clean)) >= 4:
-            (overview if section == "overview" else lead if section in (None, "title") else []).append(clean)
-
-    for i, line in enumerate(lines):
-        under = lines[i + 1] if i + 1 < len(lines) else ""
-        head = re.match(r"^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$", line) or (re.match(r"^\s*(?:)(\S.*)$", line) if line.strip() and re.match(r"^ {0,3}(?:=+|-{2,})\s*$", under) else None)
-        if head or not line.strip() or re.match(r"^\s*(?:[|<!]|\[!|[-*+] |\d+[.)] |=+\s*$|-{2,}\s*$)", line):
-            flush()
-            if head:
-                name = normalized(head[head.lastindex])
-                section = "overview" if any(f" {normalized(w)} " in f" {name} " for w in OVERVIEW) else "title" if section is None else "other"
-            continue
-        held.append(line.strip())
-    flush()
-    return overview or lead
+    """Paragraphs of a README that explain it: those under an overview heading, else those that lead; none with a credential."""
+    return paragraphs(text, refuse=looks_secret)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def readme_prose(text: pd.Series) -> pd.Series:
-    return pd.Series([prose(t)[:8] for t in text])
+    return pd.Series([prose(t) for t in text])
 
 
 @F.pandas_udf(T.StringType())
@@ -143,7 +119,7 @@ def excerpts(repositories: DataFrame, readmes: DataFrame) -> DataFrame:
     first = repositories.select("repo_id", F.lit(0).alias("at"), F.lit("github-description").alias("source"), F.col("description").alias("text"), F.lit(None).cast("string").alias("path"))
     rest = readmes.select("repo_id", "path", F.posexplode(readme_prose("text")).alias("i", "text")).select("repo_id", (F.col("i") + 1).alias("at"), F.lit("readme").alias("source"), "text", "path")
     rows = first.unionByName(rest).withColumn("text", F.left(F.trim("text"), F.lit(EXCERPT_POINTS))).where("text <> ''")
-    rows = rows.where(~credentials.has_credential(F.col("text")) & ~F.col("text").rlike(r"[\x00-\x08\x0B-\x1F\x7F-\x9F‪-‮⁦-⁩]"))
+    rows = rows.where(~text_has_secret("text") & ~F.col("text").rlike(r"[\x00-\x08\x0B-\x1F\x7F-\x9F‪-‮⁦-⁩]"))
     same = Window.partitionBy("repo_id", "key").orderBy("at")
     rows = rows.withColumn("key", purpose_key("text")).withColumn("copy", F.row_number().over(same)).where("copy = 1")
     order = Window.partitionBy("repo_id").orderBy("at")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tomllib
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +15,10 @@ from pyspark.sql import types as T
 from ..functions import paths
 from ..functions import static as st
 
-VERSION_LINE = r"^\s*(?:#{1,6}\s*)?\[?[vV]?\d+\.\d+"
+#: A line that starts with a version, versions that say nothing, limits of structured targets.
+VERSION_LINE = re.compile(r"^\s{0,3}(?:#{1,6}\s*)?[vV]?[0-9]+\.[0-9]+(?:\.[0-9]+)?(?![A-Za-z0-9_])")
 NO_VERSION = ("", "0.0.0", "0.0.0-development", "private", "workspace")
+MAX_BYTES, MAX_NODES, MAX_DEPTH = 256 * 1024, 4096, 128
 
 
 def generated_directories(tree: DataFrame) -> DataFrame:
@@ -40,20 +45,41 @@ def tree_facts(tree: DataFrame) -> DataFrame:
         doc("readme").alias("has_readme"), doc("contribution").alias("has_contributing"), doc("license").alias("has_license_file"), doc("architecture").alias("has_architecture_file"), doc("security").alias("has_security"),
         doc("code_of_conduct").alias("has_code_of_conduct"), any_(paths.is_ci(p)).alias("has_ci"), any_(paths.is_dependency_update(p)).alias("has_dependency_updates"), any_(paths.is_template(p)).alias("has_templates"),
         any_(paths.is_coverage_config(p)).alias("has_coverage"), any_(paths.is_environment_example(p)).alias("has_configuration"), any_(paths.is_manifest(p)).alias("has_manifest"), any_(paths.is_lockfile(p)).alias("has_lockfile"),
-        any_(base.isin("pytest.ini", "tox.ini", "noxfile.py") | base.rlike(r"^(?:vitest|jest|karma|ava)\.config\.")).alias("test_configuration"), any_(base.isin("mypy.ini", ".flake8", "ruff.toml", ".ruff.toml", "pyrightconfig.json")).alias("check_configured"),
+        any_(base.isin("pytest.ini", "tox.ini", "noxfile.py") | base.rlike(r"^(?:vitest|jest)\.config\.")).alias("test_configuration"), any_(base.isin("mypy.ini", ".flake8", "ruff.toml", ".ruff.toml", "pyrightconfig.json")).alias("check_configured"),
         F.count_if(counted & paths.is_test(p)).alias("test_files"), F.count_if(counted & ~paths.is_test(p)).alias("source_count"),
     )
 
 
+@F.pandas_udf(T.LongType())
+def version_lines(text: pd.Series) -> pd.Series:
+    """Number of lines that start with a version, as a heading or not, in normal form."""
+    count = lambda t: sum(bool(VERSION_LINE.match(unicodedata.normalize("NFKC", line))) for line in re.split(r"\r?\n", t or ""))
+    return pd.Series([count(t) for t in text], dtype="int64")
+
+
 def text_facts(texts: DataFrame) -> DataFrame:
-    """Facts of fetched files (repo_id, path, text)."""
+    """Facts of fetched files (repo_id, path, text); only version histories are read by Python."""
     p = F.col("path")
-    versions = F.exists(F.split("text", r"\r?\n"), lambda line: line.rlike(VERSION_LINE))
     example = paths.has_segment(paths.folders(p), ("example", "examples", "demo", "sample", "samples"))
     entry = paths.is_entry_point(p) & ~paths.is_declaration(p) & (paths.language(p) != "none")
-    return texts.groupBy("repo_id").agg(
-        F.bool_or(paths.is_scoped_document(p, "version_history") & versions).alias("version_history"), F.bool_or(example).alias("has_example_file"), F.bool_or(entry).alias("entry_conventional"),
-    )
+    facts = texts.groupBy("repo_id").agg(F.bool_or(example).alias("has_example_file"), F.bool_or(entry).alias("entry_conventional"))
+    history = texts.where(paths.is_scoped_document(p, "version_history")).select("repo_id", (version_lines("text") > 0).alias("found"))
+    history = history.groupBy("repo_id").agg(F.bool_or("found").alias("version_history"))
+    return facts.join(history, "repo_id", "left").withColumn("version_history", F.coalesce("version_history", F.lit(False)))
+
+
+@F.pandas_udf(T.StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Normal form in lower case."""
+    return pd.Series([None if t is None else unicodedata.normalize("NFKC", t).lower() for t in text])
+
+
+def mentioned_areas(areas: DataFrame, readmes: DataFrame) -> DataFrame:
+    """(repo_id, area_count): top-level folders (repo_id, folder) that a README (repo_id, text) names as whole words."""
+    border = r"[\p{L}\p{N}_]"
+    pattern = F.concat(F.lit(f"(?<!{border})\\Q"), F.replace(F.col("folder"), F.lit("\\E"), F.lit("")), F.lit(f"\\E(?!{border})"))
+    rows = areas.select("repo_id", folded("folder").alias("folder")).distinct().join(readmes.select("repo_id", folded("text").alias("text")), "repo_id")
+    return rows.where(F.regexp_like(F.col("text"), pattern)).groupBy("repo_id").agg(F.count("*").alias("area_count"))
 
 
 def preferred_readme(texts: DataFrame) -> DataFrame:
@@ -67,53 +93,100 @@ def valid_version(version: Column) -> Column:
     return F.coalesce(~F.lower(F.trim(version)).isin(*NO_VERSION), F.lit(False))
 
 
-def package_facts(texts: DataFrame) -> DataFrame:
-    """Facts of package.json files by file; `parsed` is false where the JSON is broken or no object."""
-    own = texts.where(paths.key(paths.basename(F.col("path"))) == "package.json").select("repo_id", "path", F.try_parse_json("text").alias("v"))
-    own = own.withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
-    scripts = F.coalesce(F.map_keys(F.try_variant_get("v", "$.scripts", "map<string,variant>")), F.array().cast("array<string>"))
-    has = lambda *n: F.arrays_overlap(scripts, F.array(*map(F.lit, n)))
-    some = lambda test: F.exists(scripts, test)
-    entry = F.coalesce(*(F.try_variant_get("v", f"$.{k}", "variant").isNotNull() | F.lit(None).cast("boolean") for k in ("main",)), F.lit(False))
-    for k in ("module", "browser", "bin", "exports"):
-        entry = entry | F.coalesce(F.try_variant_get("v", f"$.{k}", "variant").isNotNull(), F.lit(False))
-    return own.select(
-        "repo_id", "path", F.col("v").isNotNull().alias("parsed"), entry.alias("entry"), has("start", "dev", "serve").alias("run"), has("build").alias("build"), (has("test") | some(lambda s: s.startswith("test:"))).alias("test"),
-        some(lambda s: s.rlike(r"^(?:lint|typecheck|type-check|check|format)(?::|$)")).alias("check"), some(lambda s: s.rlike(r"(?:^|[:_-])coverage(?:$|[:_-])")).alias("coverage"), valid_version(F.try_variant_get("v", "$.version", "string")).alias("version"),
+class Unreadable(ValueError):
+    """A manifest that is too large, broken, no table, or too complex."""
+
+
+def direct_target(value: object) -> bool:
+    """A non-empty string, or a table with one in it."""
+    if isinstance(value, dict):
+        if len(value) > MAX_NODES:
+            raise Unreadable
+        return any(isinstance(v, str) and v.strip() for v in value.values())
+    return isinstance(value, str) and bool(value.strip())
+
+
+def nested_target(value: object) -> bool:
+    """A non-empty string anywhere in lists and tables of bounded size and depth."""
+    level, seen, found = [value], 0, False
+    for _ in range(MAX_DEPTH + 1):
+        seen += len(level)
+        if seen > MAX_NODES:
+            raise Unreadable
+        found |= any(isinstance(v, str) and v.strip() for v in level)
+        level = [c for v in level for c in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())]
+        if not level:
+            return bool(found)
+    raise Unreadable
+
+
+def _version(value: object) -> bool:
+    return isinstance(value, str) and value.strip().lower() not in NO_VERSION
+
+
+def _table(value: object, *keys: str) -> dict:
+    for k in keys:
+        value = value.get(k) if isinstance(value, dict) else None
+    return value if isinstance(value, dict) else {}
+
+
+MANIFEST = T.StructType([T.StructField(n, T.BooleanType()) for n in ("parsed", "entry", "run", "build", "test", "check", "coverage", "version", "configuration")])
+CHECK_SCRIPTS = ("lint", "typecheck", "type-check", "check", "format:check")
+CHECK_TOOLS = ("ruff", "mypy", "pyright", "flake8", "pylint", "black")
+TEST_TOOLS = ("pytest", "unittest", "tox", "nox")
+
+
+def _no_constant(name: str) -> None:
+    raise Unreadable(name)
+
+
+def _package(text: str) -> tuple:
+    d = json.loads(text, parse_constant=_no_constant)
+    if not isinstance(d, dict):
+        raise Unreadable
+    scripts = {k: v for k, v in _table(d, "scripts").items() if isinstance(v, str) and v.strip()}
+    targets = [direct_target(d.get("browser")), direct_target(d.get("bin")), nested_target(d.get("exports"))]
+    entry = any(targets) or any(isinstance(d.get(k), str) and d[k].strip() for k in ("main", "module"))
+    return (
+        True, entry, any(k in scripts for k in ("start", "dev", "serve")), "build" in scripts, any(k == "test" or k.startswith("test:") for k in scripts), any(k.startswith(CHECK_SCRIPTS) for k in scripts),
+        any(re.search(r"(?i)(?<!\w)coverage(?!\w)", v) for v in scripts.values()), _version(d.get("version")), False,
     )
 
 
-PYPROJECT = T.StructType([T.StructField(n, T.BooleanType()) for n in ("parsed", "entry", "test", "check", "coverage", "version")])
+def _pyproject(text: str) -> tuple:
+    d = tomllib.loads(text)
+    tool = _table(d, "tool")
+    tables = (_table(d, "project", "scripts"), _table(d, "project", "gui-scripts"), _table(d, "project", "entry-points", "console_scripts"), _table(tool, "poetry", "scripts"))
+    entry = any([direct_target(t) for t in tables])
+    named = lambda names: any(isinstance(tool.get(n), dict) for n in names)
+    version = _version(_table(d, "project").get("version")) or _version(_table(tool, "poetry").get("version"))
+    return True, entry, False, False, False, named(CHECK_TOOLS), named(("coverage",)), version, named(TEST_TOOLS)
 
 
-@F.pandas_udf(PYPROJECT)
-def _pyproject(text: pd.Series) -> pd.DataFrame:
-    def one(t: str | None) -> tuple:
+@F.pandas_udf(MANIFEST)
+def _manifest(name: pd.Series, text: pd.Series) -> pd.DataFrame:
+    def one(n: str, t: str | None) -> tuple:
         try:
-            d = tomllib.loads(t or "")
-        except (tomllib.TOMLDecodeError, RecursionError):
-            return (False,) * 6
-        table = lambda v: v if isinstance(v, dict) else {}
-        project, tool = table(d.get("project")), table(d.get("tool"))
-        poetry = table(tool.get("poetry"))
-        entries = [project.get("scripts"), project.get("gui-scripts"), table(project.get("entry-points")).get("console_scripts"), poetry.get("scripts")]
-        version = project.get("version", poetry.get("version"))
-        fine = isinstance(version, str) and version.strip().lower() not in NO_VERSION
-        return True, any(isinstance(e, dict) and e for e in entries), "pytest" in tool or "tox" in tool, any(k in tool for k in ("ruff", "mypy", "pyright", "pylint", "flake8", "black")), "coverage" in tool, fine
+            if len((t or "").encode("utf-8", "replace")) > MAX_BYTES:
+                raise Unreadable
+            return _package(t or "") if n == "package.json" else _pyproject(t or "")
+        except (ValueError, RecursionError):
+            return (False,) * len(MANIFEST)
 
-    return pd.DataFrame([one(t) for t in text], columns=PYPROJECT.names)
+    return pd.DataFrame([one(*row) for row in zip(name, text, strict=True)], columns=MANIFEST.names)
 
 
-def pyproject_facts(texts: DataFrame) -> DataFrame:
-    """Facts of pyproject.toml files by file."""
-    own = texts.where(paths.key(paths.basename(F.col("path"))) == "pyproject.toml")
-    return own.select("repo_id", "path", _pyproject("text").alias("f")).select("repo_id", "path", "f.*").withColumn("run", F.lit(False)).withColumn("build", F.lit(False))
+def structured_facts(texts: DataFrame) -> DataFrame:
+    """Facts of package.json and pyproject.toml files by file; `parsed` is false where one is broken, no table, too large or too complex."""
+    name = paths.key(paths.basename(F.col("path")))
+    own = texts.where(name.isin("package.json", "pyproject.toml"))
+    return own.select("repo_id", "path", _manifest(name, F.col("text")).alias("f")).select("repo_id", "path", "f.*")
 
 
 def manifest_facts(texts: DataFrame) -> DataFrame:
     """All manifests of a repository by 'or', and the list of those that failed to parse."""
-    rows = package_facts(texts).unionByName(pyproject_facts(texts))
-    names = {"entry": "entry_structured", "run": "run_command", "build": "build_command", "test": "test_structured", "check": "check_structured", "coverage": "coverage_structured", "version": "manifest_version"}
+    rows = structured_facts(texts)
+    names = {"entry": "entry_structured", "run": "run_command", "build": "build_command", "test": "test_structured", "check": "check_structured", "coverage": "coverage_structured", "version": "manifest_version", "configuration": "test_configuration_structured"}
     return rows.groupBy("repo_id").agg(*(F.bool_or(c).alias(n) for c, n in names.items()), F.array_sort(F.collect_list(F.when(~F.col("parsed"), F.col("path")))).alias("parse_failures"))
 
 
@@ -121,15 +194,45 @@ def license_detected(spdx: Column) -> Column:
     return F.coalesce((F.trim(spdx) != "") & ~F.lower(F.trim(spdx)).isin("noassertion", "other"), F.lit(False))
 
 
-COMMANDS = (
-    ("run", r"^(?:(?:npm|pnpm|yarn|bun)(?: run)? (?:start|dev|serve)|npm start|node |deno run|python3? (?!-m (?:pip|pytest|build))|uv run|poetry run|go run|cargo run|dotnet run|swift run|docker(?:-compose)? (?:run|up|compose up)|make (?:run|start|serve))"),
-    ("build", r"^(?:(?:npm|pnpm|yarn|bun)(?: run)? build|python3? -m build|uv build|poetry build|go build|cargo build|mvn .*(?:package|install)|(?:\./)?gradlew? .*build|dotnet build|swift build|docker build|make(?: build| all)?$)"),
-    ("test", r"^(?:(?:npm|pnpm|yarn|bun)(?: run)? test|pytest|tox|python3? -m (?:pytest|unittest)|(?:uv|poetry) run pytest|go test|cargo test|mvn .*test|(?:\./)?gradlew? .*test|dotnet test|swift test|deno test|make (?:test|check))"),
-    ("check", r"^(?:(?:npm|pnpm|yarn|bun)(?: run)? (?:lint|typecheck|check)|(?:uv run |poetry run )?(?:ruff|mypy|flake8|pyright)|cargo clippy|go vet|make lint)"),
-)
+#: What the first plain arguments of a program do.
+PACKAGE_MANAGERS = ("npm", "pnpm", "yarn", "bun")
+TOOLCHAINS = ("go", "cargo", "dotnet", "swift")
+RUNNERS = ("make", "just", "task")
+CHECKERS = ("ruff", "mypy", "pyright", "flake8", "pylint")
+
+
+def _word(word: Column) -> Column:
+    """One word of a command without './', quotes and a comma, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(word, r"^\./", ""), r"""^["']|["'],?$""", ""))
+
+
+def command_kinds(commands: DataFrame) -> DataFrame:
+    """commands (…, command) with booleans run, build, test and check: what the program and its arguments do."""
+    names = [n for n in commands.columns]
+    rows = commands.withColumn("_w", F.transform(F.split(F.trim("command"), r"\s+"), _word))
+    rows = rows.withColumn("_e", F.substring_index(F.get("_w", F.lit(0)), "/", -1)).withColumn("_a", F.slice("_w", 2, F.size("_w")))
+    rows = rows.withColumn("_p", F.filter("_a", lambda w: ~w.startswith("-"))).withColumn("_f", F.coalesce(F.get("_a", F.lit(0)), F.lit("")))
+    rows = rows.withColumn("_x", F.coalesce(F.when(F.col("_e").isin(*PACKAGE_MANAGERS) & (F.get("_p", F.lit(0)) == "run"), F.get("_p", F.lit(1))).when((F.col("_e") == "docker") & (F.get("_p", F.lit(0)) == "compose"), F.get("_p", F.lit(1))).otherwise(F.get("_p", F.lit(0))), F.lit("")))
+    exe, first, act, plain = F.col("_e"), F.col("_f"), F.col("_x"), F.col("_p")
+    python = exe.isin("python", "python3")
+    module = F.when(python & (first == "-m"), F.coalesce(F.get("_a", F.lit(1)), F.lit(""))).otherwise("")
+    script = (first != "") & ~first.startswith("-")
+    manager, docker = exe.isin(*PACKAGE_MANAGERS), exe.isin("docker", "docker-compose")
+    chain, maven, gradle, make = exe.isin(*TOOLCHAINS), exe == "mvn", exe.isin("gradle", "gradlew"), exe.isin(*RUNNERS)
+    of = lambda *w: F.arrays_overlap(plain, F.array(*map(F.lit, w)))
+    begins = lambda *w: act.rlike("^(?:" + "|".join(w) + ")")
+    formatted = F.array_contains("_a", "--check")
+    kinds = {
+        "run": (python & script & ~first.isin("pip", "pip3")) | ((exe == "node") & script) | ((exe == "deno") & (act == "run")) | (manager & act.isin("start", "dev", "serve")) | (chain & (act == "run"))
+        | (maven & of("exec:java", "spring-boot:run")) | (gradle & of("run", "bootrun")) | (docker & act.isin("run", "up", "start")) | (make & act.isin("run", "start", "serve")),
+        "build": (manager & (act == "build")) | (chain & (act == "build")) | (maven & of("compile", "package", "install")) | (gradle & of("build", "assemble", "compile")) | (docker & (act == "build")) | (make & act.isin("", "build", "all", "install")),
+        "test": exe.isin(*TEST_TOOLS) | module.isin(*TEST_TOOLS) | ((exe == "node") & (first == "--test")) | ((exe == "deno") & (act == "test")) | (manager & ((act == "test") | act.startswith("test:"))) | (chain & (act == "test"))
+        | (maven & of("test")) | (gradle & of("test")) | (make & (act == "test")),
+        "check": exe.isin(*CHECKERS) | module.isin(*CHECKERS) | ((module == "black") & formatted) | ((exe == "black") & formatted) | (manager & begins(*CHECK_SCRIPTS)) | (gradle & of("lint", "check")) | (make & act.isin("lint", "check", "typecheck")),
+    }
+    return rows.select(*names, *(F.coalesce(c, F.lit(False)).alias(k) for k, c in kinds.items()))
 
 
 def command_facts(invocations: DataFrame) -> DataFrame:
     """What documented commands (repo_id, command) do."""
-    c = F.regexp_replace(F.trim("command"), r"\s+", " ")
-    return invocations.groupBy("repo_id").agg(*(F.coalesce(F.bool_or(c.rlike(p)), F.lit(False)).alias(f"{n}_documented") for n, p in COMMANDS))
+    return command_kinds(invocations).groupBy("repo_id").agg(*(F.bool_or(n).alias(f"{n}_documented") for n in ("run", "build", "test", "check")))

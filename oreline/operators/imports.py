@@ -12,7 +12,7 @@ from ..functions import static as st
 
 
 def join_path(folder: Column, relative: Column) -> Column:
-    """folder/relative with '.' and '..' resolved; null if it leaves the root."""
+    """folder/relative with '.' and '..' resolved; null if it leaves the root or ends there, is absolute or holds a backslash."""
     parts = F.filter(F.concat(F.split(folder, "/"), F.split(relative, "/")), lambda p: ~p.isin("", "."))
 
     def step(state: Column, p: Column) -> Column:
@@ -21,34 +21,60 @@ def join_path(folder: Column, relative: Column) -> Column:
         return F.struct(stack.alias("stack"), (state["lost"] | (up & (F.size(state["stack"]) == 0))).alias("lost"))
 
     start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(False).alias("lost"))
-    return F.aggregate(parts, start, step, lambda s: F.when(~s["lost"], F.array_join(s["stack"], "/")))
+    return F.aggregate(parts, start, step, lambda s: F.when(~s["lost"] & (F.size(s["stack"]) > 0) & ~relative.startswith("/") & ~F.contains(relative, F.lit("\\")), F.array_join(s["stack"], "/")))
 
 
-def candidates(target: Column, language: Column) -> Column:
-    """Files that a resolved specifier may mean, in order of preference."""
-    ext = paths.extension(target)
-    bare = F.regexp_replace(target, r"\.[^./]+$", "")
-    source = F.array(*(F.concat(target, F.lit(e)) for e in (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".d.ts")))
-    index = F.array(*(F.concat(target, F.lit("/index"), F.lit(e)) for e in (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".d.ts")))
-    swapped = F.when(ext.isin(*st.JAVASCRIPT), F.array(F.concat(bare, F.lit(".ts")), F.concat(bare, F.lit(".tsx")), F.concat(bare, F.lit(".mts")), F.concat(bare, F.lit(".cts")))).otherwise(F.array().cast("array<string>"))
-    script = F.concat(F.array(target), swapped, source, index)
-    python = F.array(*(F.concat(target, F.lit(e)) for e in (".py", ".pyi", "/__init__.py", "/__init__.pyi")))
-    return F.when(language == "python", python).otherwise(script)
+#: What may follow a specifier, in order of preference.
+SCRIPT_ENDS = (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts", ".d.ts")
+MODULE_ENDS = (".py", ".pyi")
+PACKAGE_ENDS = ("/__init__.py", "/__init__.pyi")
+BARE = r"^(?:\.|(?:\.\./)*\.\./?)$"
+
+
+def candidates(target: Column, kind: Column, bare: Column) -> Column:
+    """Files that a resolved specifier may mean, in order of preference; an import of bare dots means a package's own file."""
+    ends = lambda e: F.array(*(F.concat(target, F.lit(x)) for x in e))
+    script = F.concat(F.array(target), ends(SCRIPT_ENDS), ends(tuple(f"/index{e}" for e in SCRIPT_ENDS)))
+    return F.when(kind == "script", script).when(bare, ends(PACKAGE_ENDS)).otherwise(ends(MODULE_ENDS + PACKAGE_ENDS))
 
 
 def family(path: Column) -> Column:
     return F.when(paths.language(path) == "python", "python").when(paths.language(path).isin("typescript", "javascript"), "script")
 
 
-def edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo_id, src, dst) of imports (repo_id, path, specifier) over files (repo_id, path): first candidate that exists, no self edges, one language family."""
-    folder = paths.directory(F.col("path"))
-    rows = imports.select("repo_id", F.col("path").alias("src"), "specifier", join_path(folder, F.col("specifier")).alias("target")).where("target is not null")
-    rows = rows.select("repo_id", "src", "specifier", F.posexplode(candidates(F.col("target"), paths.language(F.col("src")))).alias("place", "candidate"))
-    known = files.select("repo_id", F.col("path").alias("dst"), F.lower("path").alias("low")).groupBy("repo_id", "low").agg(F.min("dst").alias("dst"))
-    hit = rows.join(known, (rows.repo_id == known.repo_id) & (F.lower("candidate") == F.col("low"))).drop(known.repo_id)
-    first = hit.groupBy("repo_id", "src", "specifier").agg(F.min_by("dst", "place").alias("dst"))
-    return first.where((F.col("src") != F.col("dst")) & (family(F.col("src")) == family(F.col("dst")))).select("repo_id", "src", "dst").distinct()
+def resolved(imports: DataFrame, known: DataFrame) -> DataFrame:
+    """imports (repo_id, src, kind, target, bare) with dst, the first candidate that is a known file (repo_id, low, kind, dst) of the same family."""
+    rows = imports.select("*", F.posexplode(candidates(F.col("target"), F.col("kind"), F.col("bare"))).alias("place", "low"))
+    hit = rows.withColumn("low", F.lower("low")).join(known, ["repo_id", "low", "kind"])
+    return hit.groupBy(*imports.columns).agg(F.min_by("dst", "place").alias("dst"))
+
+
+def edges(imports: DataFrame, files: DataFrame, submodules: DataFrame | None = None) -> DataFrame:
+    """(repo_id, src, dst) of imports (repo_id, path, specifier) over files (repo_id, path, and the package's defined names where submodules are given): first candidate that exists, no self edges, one language family.
+
+    submodules (repo_id, path, specifier) are names imported from bare dots: one is an
+    edge to the module of that name, unless the package's own file, other than the
+    importing one, defines the name.
+    """
+    first = F.min(F.struct(*(c for c in ("path", "defined") if c in files.columns)))
+    known = files.withColumn("low", F.lower("path")).groupBy("repo_id", "low").agg(first.alias("f"))
+    known = known.select("repo_id", "low", family(F.col("f.path")).alias("kind"), F.col("f.path").alias("dst"), *(["f.defined"] if "defined" in files.columns else []))
+
+    def asked(rows: DataFrame) -> DataFrame:
+        rows = rows.select("repo_id", F.col("path").alias("src"), "specifier", family(F.col("path")).alias("kind")).where(F.col("kind").isNotNull() & ((F.col("kind") == "python") | F.col("specifier").rlike(r"^\.\.?/")))
+        return rows.withColumn("target", join_path(paths.directory(F.col("src")), F.col("specifier"))).withColumn("bare", F.col("specifier").rlike(BARE)).where("target is not null")
+
+    names = known.drop("defined")
+    out = resolved(asked(imports), names)
+    if submodules is not None:
+        rows = asked(submodules).where("kind = 'python'").withColumn("name", paths.basename(F.col("target"))).withColumn("package", paths.directory(F.col("target"))).where("package <> ''")
+        package = resolved(rows.select("repo_id", "src", "kind", F.col("package").alias("target"), F.lit(True).alias("bare")).distinct(), names)
+        own = package.select("repo_id", "src", F.col("target").alias("package"), F.col("dst").alias("init")).join(known.select("repo_id", F.col("dst").alias("init"), "defined"), ["repo_id", "init"])
+        rows = rows.join(own, ["repo_id", "src", "package"], "left")
+        shadowed = (F.lower("init") != F.lower("src")) & F.array_contains("defined", F.col("name"))
+        free = rows.where(~F.coalesce(shadowed, F.lit(False))).select("repo_id", "src", "specifier", "kind", "target", F.lit(False).alias("bare"))
+        out = out.unionByName(resolved(free, names))
+    return out.where("lower(src) <> lower(dst)").select("repo_id", "src", "dst").distinct()
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:

@@ -123,6 +123,14 @@ class Bindings(ast.NodeVisitor):
         if isinstance(node.ctx, ast.Store) and self.inside and node.id not in self.outer[-1]:
             self.names.append(node.id)
 
+    def visit_MatchAs(self, node) -> None:
+        name = node.rest if isinstance(node, ast.MatchMapping) else node.name
+        if name and self.inside and name not in self.outer[-1]:
+            self.names.append(name)
+        self.generic_visit(node)
+
+    visit_MatchStar = visit_MatchMapping = visit_MatchAs
+
     def visit_ExceptHandler(self, node) -> None:
         if node.name:
             self.names.append(node.name)
@@ -134,39 +142,115 @@ class Bindings(ast.NodeVisitor):
     visit_ImportFrom = visit_Import
 
 
-def defined_names(body: list[ast.stmt]) -> set[str]:
-    """Names that are bound on every way through top-level statements (joined by intersection at branches)."""
-    have: set[str] = set()
-    for s in body:
+class Flow:
+    """Names that are bound on every way through the top level of a module; joins are intersections, a way that ends is None.
+
+    In a package's own file a bare-dot import of a name doesn't bind that name; where
+    the name is bound already, the import finds it and is no import of a submodule:
+    such (statement, name) pairs are in `found`.
+    """
+
+    def __init__(self, package: bool) -> None:
+        self.package = package
+        self.found: set[tuple[int, str]] = set()
+        self.left: list[list[set[str] | None]] = []
+
+    @staticmethod
+    def meet(ways) -> set[str] | None:
+        open_ = [w for w in ways if w is not None]
+        return set.intersection(*open_) if open_ else None
+
+    @staticmethod
+    def bound(node: ast.AST) -> set[str]:
+        """Names that an expression or target binds; scopes of their own are left out."""
+        names, todo = set(), [node]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
+                names.add(n.id)
+            if isinstance(n, (ast.MatchAs, ast.MatchStar)) and n.name:
+                names.add(n.name)
+            if isinstance(n, ast.MatchMapping) and n.rest:
+                names.add(n.rest)
+            if not isinstance(n, (ast.Lambda, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)):
+                todo += ast.iter_child_nodes(n)
+        return names
+
+    def body(self, statements: list[ast.stmt], have: set[str] | None, points: list | None = None) -> set[str] | None:
+        for s in statements:
+            if have is None:
+                break
+            have = self.step(s, have)
+            if points is not None and have is not None:
+                points.append(have)
+        return have
+
+    def loop(self, s, have: set[str], first: set[str], endless: bool) -> set[str] | None:
+        self.left.append([])
+        once = self.body(s.body, first)
+        none = None if endless else self.body(s.orelse, self.meet([have, once]) if once is not None else set(have))
+        return self.meet([none, *self.left.pop()])
+
+    def step(self, s: ast.stmt, have: set[str]) -> set[str] | None:
         if isinstance(s, (*FUNCTIONS, ast.ClassDef)):
-            have.add(s.name)
-        elif isinstance(s, (ast.Import, ast.ImportFrom)):
-            have |= {a.asname or a.name.split(".")[0] for a in s.names if a.name != "*"}
-        elif isinstance(s, (ast.Assign, ast.AugAssign, ast.AnnAssign)):
-            if not (isinstance(s, ast.AnnAssign) and s.value is None):
-                targets = s.targets if isinstance(s, ast.Assign) else [s.target]
-                have |= {n.id for t in targets for n in ast.walk(t) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
-        elif isinstance(s, ast.Delete):
-            have -= {t.id for t in s.targets if isinstance(t, ast.Name)}
-        elif isinstance(s, ast.If):
-            have |= defined_names(s.body) & defined_names(s.orelse)
-        elif isinstance(s, (ast.With, ast.AsyncWith)):
-            have |= {n.id for i in s.items if i.optional_vars for n in ast.walk(i.optional_vars) if isinstance(n, ast.Name)} | defined_names(s.body)
-        elif isinstance(s, (ast.Try, ast.TryStar)):
-            ways = [defined_names([*s.body, *s.orelse]), *(defined_names(h.body) for h in s.handlers)]
-            have |= set.intersection(*ways) | defined_names(s.finalbody)
-        elif isinstance(s, (ast.Return, ast.Raise)):
-            break
-    return have
-
-
-def relative_imports(tree: ast.Module) -> tuple[list[str], list[str]]:
-    """(definite, candidates): './x' for each relative import outside type-checking blocks; bare-dot imports name candidate submodules."""
+            return have | {s.name}
+        if isinstance(s, (ast.Import, ast.ImportFrom)):
+            own = self.package and isinstance(s, ast.ImportFrom) and s.level == 1 and not s.module
+            if own:
+                self.found |= {(id(s), a.name) for a in s.names if a.name in have}
+            return have | {a.asname or a.name.split(".")[0] for a in s.names if a.name != "*" and not (own and a.asname in (None, a.name))}
+        if isinstance(s, ast.Delete):
+            return have - {t.id for t in s.targets if isinstance(t, ast.Name)}
+        if isinstance(s, ast.AnnAssign) and s.value is None:
+            return have
+        if isinstance(s, (ast.Return, ast.Raise)):
+            return None
+        if isinstance(s, (ast.Break, ast.Continue)):
+            if self.left:
+                self.left[-1].append(have)
+            return None
+        if isinstance(s, (ast.If, ast.While)):
+            have = have | self.bound(s.test)
+            known = bool(s.test.value) if isinstance(s.test, ast.Constant) else None
+            if isinstance(s, ast.While):
+                return self.body(s.orelse, have) if known is False else self.loop(s, have, have, known is True)
+            ways = ([] if known is False else [self.body(s.body, have)]) + ([] if known is True else [self.body(s.orelse, have)])
+            return self.meet(ways)
+        if isinstance(s, (ast.For, ast.AsyncFor)):
+            have = have | self.bound(s.iter)
+            return self.loop(s, have, have | self.bound(s.target), False)
+        if isinstance(s, (ast.With, ast.AsyncWith)):
+            return self.body(s.body, have.union(*(self.bound(i) for i in s.items)))
+        if isinstance(s, (ast.Try, ast.TryStar)):
+            points = [have]
+            done = self.body(s.orelse, self.body(s.body, have, points))
+            failed = self.meet(points)
+            handled = [self.body(h.body, failed | ({h.name} if h.name else set())) for h in s.handlers]
+            handled = [w - ({h.name} if h.name else set()) if w is not None else None for w, h in zip(handled, s.handlers, strict=True)]
+            out = self.meet([done, *handled])
+            ended = self.body(s.finalbody, out if out is not None else failed)
+            return ended if out is not None else None
+        if isinstance(s, ast.Match):
+            have = have | self.bound(s.subject)
+            ways, whole = [], False
+            for c in s.cases:
+                whole |= c.guard is None and isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None
+                ways.append(self.body(c.body, have | self.bound(c.pattern)))
+            return self.meet(ways if whole else [*ways, have])
+        return have | self.bound(s)
+
+
+def is_type_checking(node: ast.AST) -> bool:
+    return isinstance(node, ast.If) and (isinstance(node.test, ast.Name) and node.test.id == "TYPE_CHECKING" or isinstance(node.test, ast.Attribute) and node.test.attr == "TYPE_CHECKING")
+
+
+def relative_imports(tree: ast.Module, found: set[tuple[int, str]]) -> tuple[list[str], list[str]]:
+    """(definite, candidates): './x' for each relative import outside type-checking blocks; bare-dot imports name candidate submodules, but for names that are found bound."""
     definite, candidates = [], []
     todo: list[ast.AST] = [tree]
     while todo:
         node = todo.pop()
-        if isinstance(node, ast.If) and (isinstance(node.test, ast.Name) and node.test.id == "TYPE_CHECKING" or isinstance(node.test, ast.Attribute) and node.test.attr == "TYPE_CHECKING"):
+        if is_type_checking(node):
             todo += node.orelse
             continue
         if isinstance(node, ast.ImportFrom) and node.level:
@@ -175,7 +259,7 @@ def relative_imports(tree: ast.Module) -> tuple[list[str], list[str]]:
                 definite.append(up + node.module.replace(".", "/"))
             else:
                 definite.append(up.rstrip("/") or ".")
-                candidates += [up + a.name for a in node.names if a.name != "*"]
+                candidates += [up + a.name for a in node.names if a.name != "*" and (id(node), a.name) not in found]
         todo += list(ast.iter_child_nodes(node))
     return sorted(set(definite)), sorted(set(candidates))
 
@@ -183,14 +267,18 @@ def relative_imports(tree: ast.Module) -> tuple[list[str], list[str]]:
 NOTHING = {"problem": None, "imports": [], "candidates": [], "defined": [], "tokens": [], "functions": [], "logical_lines": 0, "identifiers": 0, "ambiguous": 0, "exported": 0, "documented": 0}
 
 
-def analyze(text: str, stub: bool) -> dict:
+def analyze(text: str, path: str) -> dict:
+    name = path.rpartition("/")[2].lower()
+    stub, package = name.endswith(".pyi"), name in ("__init__.py", "__init__.pyi")
     try:
         tree = ast.parse(text)
         tokens, lines = tokens_of(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError, tokenize.TokenError) as e:
         return NOTHING | {"parsed": False, "problem": type(e).__name__}
-    imports, candidates = relative_imports(tree)
-    out = NOTHING | {"parsed": True, "imports": imports, "candidates": candidates, "defined": sorted(defined_names(tree.body))}
+    flow = Flow(package)
+    defined = flow.body(tree.body, set()) or set()
+    imports, candidates = relative_imports(tree, flow.found)
+    out = NOTHING | {"parsed": True, "imports": imports, "candidates": candidates, "defined": sorted(defined)}
     if stub:
         return out
     ordered = sorted(lines)
@@ -209,7 +297,7 @@ def analyze(text: str, stub: bool) -> dict:
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     for b in batches:
-        rows = [{"repo_id": r.repo_id, "path": r.path} | analyze(r.text or "", r.path.lower().endswith(".pyi")) for r in b.itertuples()]
+        rows = [{"repo_id": r.repo_id, "path": r.path} | analyze(r.text or "", r.path) for r in b.itertuples()]
         yield pd.DataFrame(rows, columns=columns)
 
 

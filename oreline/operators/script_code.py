@@ -297,7 +297,7 @@ class Script:
                     if self.at(j) == "from" and j + 1 < len(self.t) and self.t[j + 1][0] == "string":
                         target = j + 1
                     j += 1
-            elif word == "require" and self.at(i + 1) == "(" and i + 2 < len(self.t) and self.t[i + 2][0] == "string":
+            elif word == "require" and self.at(i + 1) == "(" and self.at(i + 3) == ")" and self.t[i + 2][0] == "string" and not (self.at(i - 1) == "=" and self.at(i - 3) == "type" and self.at(i - 4) == "import"):
                 target = i + 2
             if target is not None and (path := self.t[target][1][1:-1]).startswith(("./", "../")):
                 found.add(path)

@@ -83,3 +83,16 @@ def stop_at_budget(bodies: DataFrame, max_bytes: int = st.MAX_BYTES, max_files:
     """Fetched bodies (repo_id, place, bytes) that are kept: the first that would cross the limit is dropped and ends the list."""
     so_far = F.sum("bytes").over(Window.partitionBy("repo_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return bodies.withColumn("so_far", so_far).where((F.col("so_far") <= max_bytes) & (F.col("place") <= max_files)).drop("so_far")
+
+
+def unscheduled(chosen: DataFrame, fetched: DataFrame, failed: DataFrame) -> DataFrame:
+    """Chosen files (repo_id, path, …) that were neither fetched nor failed."""
+    keys = ["repo_id", "path"]
+    return chosen.join(fetched.select(*keys), keys, "left_anti").join(failed.select(*keys), keys, "left_anti")
+
+
+def supported_tests(rows: DataFrame) -> DataFrame:
+    """Eligible test files whose area has eligible source."""
+    own = rows.where("eligible")
+    supported = own.where("not is_test and language <> 'none'").select("repo_id", "area")
+    return own.where("is_test").join(supported, ["repo_id", "area"], "left_semi")

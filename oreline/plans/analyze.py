@@ -58,7 +58,8 @@ def analyze(repositories: DataFrame, files: DataFrame, texts: DataFrame, analyze
     counted = code.groupBy("repo_id").agg(*(F.sum(c).alias(n) for c, n in (("identifiers", "identifiers"), ("ambiguous", "ambiguous"), ("exported", "exported"), ("documented", "documented"))))
     plain = code.where("not is_test").select("repo_id", "path", "tokens")
     copied = duplicates.ratio(plain, duplicates.greedy(duplicates.spans(plain)))
-    graph = imports.edges(code.select("repo_id", "path", F.explode("imports").alias("specifier")), code.select("repo_id", "path"))
+    asked = lambda c: code.select("repo_id", "path", F.explode(c).alias("specifier"))
+    graph = imports.edges(asked("imports"), code.select("repo_id", "path", "defined"), asked("candidates"))
     loops = imports.cycles(graph).groupBy("repo_id").agg(F.count("*").alias("cycle_components"), F.max("size").cast("long").alias("cycle_largest"))
 
     paths_ = general.tree_facts(listed)
@@ -69,8 +70,7 @@ def analyze(repositories: DataFrame, files: DataFrame, texts: DataFrame, analyze
     marks = readmes.select("repo_id", markdown_evidence("text").alias("m")).select("repo_id", "m.*")
     commands = general.command_facts(marks.select("repo_id", F.explode("invocations").alias("command")))
     areas = selection.where("eligible and language <> 'none' and path like '%/%'").select("repo_id", F.lower(F.split("path", "/")[0]).alias("folder")).distinct()
-    words = readmes.select("repo_id", F.split(F.lower("text"), r"[^\p{L}\p{N}_.-]+").alias("words"))
-    named = areas.join(words, "repo_id").where(F.array_contains("words", F.col("folder"))).groupBy("repo_id").agg(F.count("*").alias("area_count"))
+    named = general.mentioned_areas(areas, readmes)
 
     wide = repositories.select("repo_id", "archived", rules.elapsed_days(analyzed_at, F.col("pushed_at")).alias("elapsed_days"), general.license_detected(F.col("license")).alias("license_metadata"))
     for part in (paths_, generated, bodies, manifests, marks.drop("invocations"), commands, named, per_file, per_function, counted, copied, loops):
@@ -89,7 +89,7 @@ def analyze(repositories: DataFrame, files: DataFrame, texts: DataFrame, analyze
         metrics.withColumn("run_command", either("run_command", "run_documented")).withColumn("build_command", either("build_command", "build_documented")).withColumn("has_configuration", either("has_configuration", "configuration_heading"))
         .withColumn("has_coverage", either("has_coverage", "coverage_structured")).withColumn("duplicate_ratio", F.coalesce("duplicate_ratio", F.lit(0.0)))
     )
-    metrics = metrics.withColumn("check_structured", either("check_structured", "check_configured"))
+    metrics = metrics.withColumn("check_structured", either("check_structured", "check_configured")).withColumn("test_configuration", either("test_configuration", "test_configuration_structured"))
     metrics = metrics.checkpoint()
     results = rules.rule_results(metrics).checkpoint()
     dims = rules.dimensions(results).checkpoint()

@@ -192,22 +192,19 @@ where w.selected and o.doc_id % 3 <> 0 and o.doc_id % 5 <> 0""")
 def unscheduled_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = select.within_budget(select.ordered(select.candidates(classes(spark, sf_dir))), FILES_CAP, BYTES_CAP).where("selected")
     fetched, failed = su.tree(spark, sf_dir).where("doc_id % 3 = 0"), su.tree(spark, sf_dir).where("doc_id % 5 = 0")
-    return chosen.join(fetched, ["repo_id", "path"], "left_anti").join(failed, ["repo_id", "path"], "left_anti").select("repo_id", "path")
+    return select.unscheduled(chosen, fetched, failed).select("repo_id", "path")
 
 
 @query(f"with {CLASSES_SQL} select repo_id, path from classes c where eligible and is_test and (repo_id, area) in (select (repo_id, area) from classes where eligible and not is_test and language <> 'none')")
 def supported_area_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = classes(spark, sf_dir).where("eligible")
-    supported = rows.where("not is_test and language <> 'none'").select("repo_id", "area")
-    return rows.where("is_test").join(supported, ["repo_id", "area"], "left_semi").select("repo_id", "path")
+    return select.supported_tests(classes(spark, sf_dir)).select("repo_id", "path")
 
 
-@query(f"""with {PARTS_SQL} select repo_id, path from (select repo_id, path, row_number() over (partition by repo_id order by folder <> '', low, path) as n from parts where starts_with(base, 'readme')) where n = 1""")
+@query(f"""with {PARTS_SQL} select repo_id, path from (select repo_id, path, row_number() over (partition by repo_id order by folder <> '', low, path) as n from parts where {_scoped('readme')}) where n = 1""")
 def preferred_doc_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("path")
-    rows = su.tree(spark, sf_dir).where(F.startswith(paths.key(paths.basename(p)), F.lit("readme")))
-    order = Window.partitionBy("repo_id").orderBy(paths.directory(p) != "", F.lower("path"), "path")
-    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("repo_id", "path")
+    from ..operators.general import preferred_readme
+
+    return preferred_readme(su.tree(spark, sf_dir).withColumn("text", F.lit(""))).select("repo_id", "path")
 
 
 @query(f"""with {PARTS_SQL}, prefixes as (select repo_id, unnest(list_transform(range(1, len(dirs) + 1), lambda i: array_to_string(dirs[1:i], '/'))) as prefix from parts)
@@ -218,11 +215,11 @@ def generated_dir_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated_directories(su.tree(spark, sf_dir))
 
 
-@query(r"""select doc_id, source as repo_id, len(list_filter(string_split_regex(text, '\r?\n'), lambda l: regexp_matches(l, '^\s*(#{1,6}\s*)?\[?[vV]?\d+\.\d+'))) as version_lines, list_bool_or(list_transform(string_split_regex(text, '\r?\n'), lambda l: regexp_matches(l, '(?i)(license|copyright)'))) as has_license_line from documents""")
+@query(r"""select doc_id, source as repo_id, len(list_filter(string_split_regex(nfc_normalize(text), '\r?\n'), lambda l: regexp_matches(l, '^[ \t\x0B\f\r]{0,3}(#{1,6}\s*)?[vV]?[0-9]+[.][0-9]+([.][0-9]+)?([^A-Za-z0-9_]|$)'))) as version_lines from documents""")
 def version_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split("text", r"\r?\n")
-    count = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(#{1,6}\s*)?\[?[vV]?\d+\.\d+"))).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo_id"), count.alias("version_lines"), F.exists(lines, lambda x: x.rlike("(?i)(license|copyright)")).alias("has_license_line"))
+    from ..operators.general import version_lines
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo_id"), version_lines("text").alias("version_lines"))
 
 
 @query("select user_id as repo_id, event_type as kind, count(*) as manifests, count(*) filter (where json_valid(props)) as parsed, sum(try_cast(props->>'$.k' as bigint))::bigint as total, max(try_cast(props->>'$.k' as bigint)) as largest from events group by all")
@@ -235,16 +232,16 @@ def json_manifest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, left(text, 480) as excerpt, case when length(text) > 480 then left(text, 479) || '…' else text end as shown, length(text) as points, strlen(text) as bytes from documents")
 def code_point_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.left(t, F.lit(480)).alias("excerpt"), F.when(F.length(t) > 480, F.concat(F.left(t, F.lit(479)), F.lit("…"))).otherwise(t).alias("shown"), F.length(t).cast("long").alias("points"), F.octet_length(t).cast("long").alias("bytes"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.left(t, F.lit(480)).alias("excerpt"), report.shortened(t, 480).alias("shown"), F.length(t).cast("long").alias("points"), F.octet_length(t).cast("long").alias("bytes"))
 
 
-@query(r"""with links as (select page_id, case page_id % 6 when 0 then 'https://github.com/own' || page_id || '/repo.js.git' when 1 then 'github.com:443/o-' || page_id || '/r_' || page_id || '/' when 2 then 'http://user@github.com/a/b'
+@query(r"""with links as (select page_id, case page_id % 6 when 0 then 'https://github.com/own' || page_id || '/repo.js.git' when 1 then 'github.com:443/o-' || page_id || '/r_' || page_id || '/' when 2 then 'http://github.com/a/b' || page_id
   when 3 then 'https://github.com/a/b?x=' || page_id when 4 then 'https://www.github.com/A' || page_id || '/..' else url end as link from pages)
 select page_id, link, case page_id % 6 when 0 then 'own' || page_id when 1 then 'o-' || page_id end as owner, case page_id % 6 when 0 then 'repo.js' when 1 then 'r_' || page_id end as repo from links""")
 def url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     link = (
-        F.when(i % 6 == 0, F.concat(F.lit("https://github.com/own"), i, F.lit("/repo.js.git"))).when(i % 6 == 1, F.concat(F.lit("github.com:443/o-"), i, F.lit("/r_"), i, F.lit("/"))).when(i % 6 == 2, "http://user@github.com/a/b")
+        F.when(i % 6 == 0, F.concat(F.lit("https://github.com/own"), i, F.lit("/repo.js.git"))).when(i % 6 == 1, F.concat(F.lit("github.com:443/o-"), i, F.lit("/r_"), i, F.lit("/"))).when(i % 6 == 2, F.concat(F.lit("http://github.com/a/b"), i))
         .when(i % 6 == 3, F.concat(F.lit("https://github.com/a/b?x="), i)).when(i % 6 == 4, F.concat(F.lit("https://www.github.com/A"), i, F.lit("/.."))).otherwise(F.col("url"))
     )
     rows = table(spark, sf_dir, "pages").select("page_id", link.alias("link")).withColumn("ref", urls.parse_repository(F.col("link")))
@@ -383,7 +380,7 @@ def import_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     name = lambda i: F.when(i % 4 == 0, F.concat(F.lit("pkg"), i, F.lit("/index.ts"))).otherwise(F.concat(F.lit("src/a"), i, F.lit(".ts")))
     files = parts.select("repo_id", name(k).alias("path"))
     other = F.when(k % 3 == 0, k - 11).otherwise(k + 11)
-    spec = F.when(other % 4 == 0, F.concat(F.lit("../pkg"), other)).otherwise(F.concat(F.when(k % 4 == 0, "../src/./a").otherwise("./a"), other, F.when(k % 5 == 0, ".js").otherwise("")))
+    spec = F.when(other % 4 == 0, F.concat(F.lit("../pkg"), other)).otherwise(F.concat(F.when(k % 4 == 0, "../src/./a").otherwise("./a"), other, F.when(k % 5 == 0, ".ts").otherwise("")))
     return parts.select("repo_id", name(k).alias("path"), spec.alias("specifier")), files
 
 
@@ -490,25 +487,33 @@ def markdown_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select s_suppkey as repo_id, s_suppkey % 6 <> 0 as parsed, s_suppkey % 6 <> 0 and s_suppkey % 2 = 0 as entry, s_suppkey % 6 <> 0 and s_suppkey % 3 = 0 as check, s_suppkey % 6 <> 0 and s_suppkey % 4 <> 0 as version from supplier")
 def toml_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.general import pyproject_facts
+    from ..operators.general import structured_facts
 
     k = F.col("s_suppkey")
     text = F.concat(
         F.lit('[project]\nname = "x"\n'), F.when(k % 4 == 0, 'version = "0.0.0"\n').otherwise('version = "1.2"\n'), F.when(k % 2 == 0, '[project.scripts]\na = "b:c"\n').otherwise(""), F.when(k % 3 == 0, "[tool.ruff]\n").otherwise(""), F.when(k % 6 == 0, "= broken").otherwise("")
     )
     texts = table(spark, sf_dir, "supplier").select(k.alias("repo_id"), F.lit("pyproject.toml").alias("path"), text.alias("text"))
-    return pyproject_facts(texts).select("repo_id", "parsed", "entry", "check", "version")
+    return structured_facts(texts).select("repo_id", "parsed", "entry", "check", "version")
 
 
 @query(f"""{SEVERITY_SQL}, ranked as (select repo_id, rule_id, severity, lost, row_number() over (partition by repo_id order by case severity when 'high' then 0 when 'medium' then 1 else 2 end, lost desc, {RANK_SQL}) as rank from severe where state in ('failed', 'partial')),
-items as (select repo_id, string_agg('- [ ] **' || severity || '** ' || replace(replace(rule_id, '.', '\\.'), '-', '\\-') || ' (−' || lost || ')', chr(10) order by rank) as lines from ranked group by repo_id),
-dims as (select repo_id, dimension, sum(earned) as earned, sum(available) as available from rules group by all),
-totals as (select repo_id, 100.0::double * sum({WEIGHT_SQL} * (earned::double / available)) filter (where available > 0) / sum({WEIGHT_SQL}) filter (where available > 0) as raw from dims group by repo_id)
-select repo_id, '# Score ' || floor(raw + 0.5)::bigint || ' / 100' || chr(10) || chr(10) || '- Label: ' || case when raw >= 85 then 'strong' when raw >= 70 then 'solid' when raw >= 50 then 'needs-attention' else 'limited' end || chr(10) || chr(10) || coalesce(lines, '') as markdown
-from totals left join items using (repo_id)""")
+items as (select repo_id, string_agg(rank || '. **' || case severity when 'high' then 'High' when 'medium' then 'Medium' else 'Low' end || ' priority** `' || rule_id || '`' || chr(10) || '   - Evidence: lost\\_' || lost || chr(10) || '   - Action: do \\#' || rank
+  || case when rank % 3 = 0 then '' when rank % 3 = 1 then chr(10) || '   - References: `a\\_b.ts:L' || rank || '`' else chr(10) || '   - References: `a\\_b.ts:L' || rank || '-L' || (rank + 2) || '`, `c.ts`' end, chr(10) order by rank) as lines from ranked where rank <= 39 group by repo_id)
+select s_suppkey as repo_id, '# Improvement checklist' || chr(10) || chr(10) || '- Repository: own/r\\_' || s_suppkey || chr(10) || '- Commit: abc' || chr(10) || '- Ruleset: 1.0.0' || chr(10) || '- Confidence: ' || (s_suppkey % 101) || '% (' || case when s_suppkey % 101 >= 80 then 'High' when s_suppkey % 101 >= 60 then 'Medium' else 'Low' end || ' confidence)' || chr(10)
+  || '- Scope: ' || case when s_suppkey % 2 = 0 then 'general-only' else 'complete dimensions' end || ', ' || case when s_suppkey % 3 = 0 then 'preliminary' else 'not preliminary' end || '; ' || (s_suppkey + 2) || ' selected · ' || (s_suppkey + 1) || ' fetched · ' || s_suppkey || ' parsed' || chr(10) || chr(10) || '## Ordered improvements' || chr(10) || chr(10)
+  || coalesce(lines, 'No prioritized improvements were detected.') || chr(10) as markdown from supplier left join items on repo_id = s_suppkey""")
 def markdown_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rule_rows(spark, sf_dir)
-    return report.checklist(findings.weaknesses(found), rules.overall(rules.dimensions(found)))
+    r, k = F.col("rank"), F.col("repo_id")
+    place = lambda path, start, end: F.struct(F.lit(path).alias("path"), start.cast("long").alias("start_line"), end.cast("long").alias("end_line"))
+    none = F.lit(None).cast("long")
+    refs = F.when(r % 3 == 0, F.array().cast("array<struct<path:string,start_line:long,end_line:long>>")).when(r % 3 == 1, F.array(place("a_b.ts", r, none))).otherwise(F.array(place("a_b.ts", r, r + 2), place("c.ts", none, none)))
+    found = findings.weaknesses(rule_rows(spark, sf_dir)).select("repo_id", "rank", "rule_id", "severity", F.concat(F.lit("lost_"), F.col("lost")).alias("evidence"), F.concat(F.lit("do #"), r).alias("action"), refs.alias("refs"))
+    top = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("repo_id")).select(
+        "repo_id", F.concat(F.lit("own/r_"), k).alias("full_name"), F.lit("abc").alias("commit_sha"), F.lit(st.RULESET_VERSION).alias("ruleset"), (k % 101).alias("percent"), F.when(k % 101 >= 80, "high").when(k % 101 >= 60, "medium").otherwise("low").alias("confidence"),
+        (k % 2 == 0).alias("general_only"), (k % 3 == 0).alias("preliminary"), (k + 2).alias("selected"), (k + 1).alias("fetched"), k.alias("parsed"),
+    )
+    return report.checklist(found, top)
 
 
 @query("select n_nationkey as key_id, case when n_nationkey % 2 = 0 then replace(replace('{count} files in {name}', '{count}', n_regionkey::varchar), '{name}', n_name) else 'absent.key' end as message from nation")
@@ -531,7 +536,7 @@ def rate_limit_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with s as (select event_id, 200 + (event_id * 7) % 330 as status from events)
-select event_id, status, case when status between 200 and 299 then 'ok' when status = 404 then 'not-found' when status = 409 then 'empty' when status in (403, 429) then 'rate-limit' else 'network' end as kind,
+select event_id, status, case when status between 200 and 299 then 'ok' when status = 404 then 'not-found' when status = 409 then 'empty' when status in (403, 429) then 'rate-limit' else 'api' end as kind,
   case when status between 200 and 299 or status in (404, 409) then false when status in (403, 429) then event_id % 2 = 0 else true end as retry from s""")
 def status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", (200 + (F.col("event_id") * 7) % 330).alias("status")).withColumn("kind", urls.status_class(F.col("status")))
@@ -597,15 +602,14 @@ def safe_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DIMENSIONS_SQL}, fixed as (select unnest({items(st.WEIGHTS)}) as dimension) select s_suppkey as repo_id, f.dimension, coalesce(d.score::varchar, 'unavailable') as shown from supplier cross join fixed f left join dims d on d.repo_id = s_suppkey and d.dimension = f.dimension and d.dimension <> 'testing'")
 def dimension_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.dimensions(rule_rows(spark, sf_dir)).where("dimension <> 'testing'").select("repo_id", "dimension", "score")
-    fixed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("repo_id"), F.explode(F.array(*map(F.lit, st.WEIGHTS))).alias("dimension"))
-    return fixed.join(found, ["repo_id", "dimension"], "left").select("repo_id", "dimension", F.coalesce(F.col("score").cast("string"), F.lit("unavailable")).alias("shown"))
+    found = rules.dimensions(rule_rows(spark, sf_dir)).where("dimension <> 'testing'")
+    return report.dimension_rows(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("repo_id")), found, tuple(st.WEIGHTS))
 
 
 @query("select a.c_custkey as id, b.s_suppkey as other from customer a join supplier b on lower('Own/R' || a.c_custkey % 50) = lower('own/r' || b.s_suppkey)")
 def same_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lower(F.concat(F.lit("Own/R"), F.col("c_custkey") % 50)).alias("k"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("other"), F.lower(F.concat(F.lit("own/r"), F.col("s_suppkey"))).alias("k"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), urls.repository_key(F.lit("Own"), F.concat(F.lit("R"), F.col("c_custkey") % 50)).alias("k"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("other"), urls.repository_key(F.lit("own"), F.concat(F.lit("r"), F.col("s_suppkey"))).alias("k"))
     return a.join(b, "k").select("id", "other")
 
 

@@ -28,7 +28,8 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, name, end = pick(FOLDERS, i), pick(NAMES, F.floor(i / 13)), pick(ENDS, F.floor(i / 7))
     path = F.when(i % 2 == 0, F.concat(folder, F.lit("p"), i, F.lit("/"), name, end)).otherwise(F.concat(folder, name, F.lit("_"), i, end))
     path = F.when(i % 29 == 3, F.concat(name, F.lit("."), end, i)).otherwise(path)
-    return docs.select("repo_id", "doc_id", path.alias("path"), F.md5(i.cast("string").cast("binary")).alias("sha"), (F.col("bytes") * 40).cast("long").alias("size"))
+    # a generator of one row keeps the expression from being copied into each predicate on the path
+    return docs.select("repo_id", "doc_id", F.explode(F.array(path)).alias("path"), F.md5(i.cast("string").cast("binary")).alias("sha"), (F.col("bytes") * 40).cast("long").alias("size"))
 
 
 def _list(values: tuple[str, ...]) -> str:

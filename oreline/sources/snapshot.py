@@ -13,7 +13,7 @@ REPOSITORY = (
 )
 TREE = ("repo_id string, truncated boolean, path string, mode string, type string, sha string, size long")
 CONTROL = r"[\x00-\x1F\x7F-\x9F]"
-SHA = r"^[0-9a-f]{40}(?:[0-9a-f]{24})?$"
+SHA = r"^[0-9A-Fa-f]{40}(?:[0-9A-Fa-f]{24})?$"
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,3})?Z$"
 
 

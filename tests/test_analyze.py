@@ -49,6 +49,6 @@ def test_snapshot_to_report(spark):
 
 
 def test_prose():
-    assert brief.prose(README) == ["Tool turns raw logs into tidy tables for later study."]
+    assert brief.prose(README) == ["Tool turns raw logs into tidy tables for later study.", "Run it on a folder of logs."]
     assert brief.prose("# A\nlead text goes here\n## Overview\nthe real words are here\n## Other\nnot this text either") == ["the real words are here"]
     assert brief.prose(None) == brief.prose("```\ncode only here\n```") == []

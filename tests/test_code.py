@@ -35,7 +35,7 @@ class Public:
 
 
 def test_python_metrics():
-    out = python_code.analyze(SOURCE, False)
+    out = python_code.analyze(SOURCE, "m.py")
     metrics = {m[0]: m for m in out["functions"]}
     assert metrics["choose"][4:] == (8, 2, True)
     assert metrics["method"][5] == 1
@@ -44,8 +44,8 @@ def test_python_metrics():
     assert (out["exported"], out["documented"]) == (3, 1)
     assert {"choose", "Public", "sibling", "thing"} <= set(out["defined"])
     assert "TEMPLATE" in out["tokens"]
-    assert python_code.analyze("def (:", False)["parsed"] is False
-    assert python_code.analyze(SOURCE, True)["functions"] == []
+    assert python_code.analyze("def (:", "m.py")["parsed"] is False
+    assert python_code.analyze(SOURCE, "m.pyi")["functions"] == []
 
 
 def test_python_files(spark):
@@ -100,8 +100,8 @@ def test_manifests(spark):
 
 
 def test_imports_resolve_and_cycles(spark):
-    files = spark.createDataFrame([("r", p) for p in ("a.ts", "b/index.ts", "c.js", "d.py", "pkg/__init__.py", "e.ts")], "repo_id string, path string")
-    wants = spark.createDataFrame([("r", "a.ts", "./b"), ("r", "b/index.ts", "../c"), ("r", "c.js", "./a.js"), ("r", "d.py", "./pkg"), ("r", "e.ts", "../../x"), ("r", "e.ts", "./e")], "repo_id string, path string, specifier string")
+    files = spark.createDataFrame([("r", p) for p in ("a.ts", "b/index.ts", "c.js", "d.py", "pkg/__init__.py", "e.ts", "f.js")], "repo_id string, path string")
+    wants = spark.createDataFrame([("r", "a.ts", "./b"), ("r", "b/index.ts", "../c"), ("r", "c.js", "./a"), ("r", "f.js", "./a.js"), ("r", "d.py", "./pkg"), ("r", "e.ts", "../../x"), ("r", "e.ts", "./e")], "repo_id string, path string, specifier string")
     edges = imports.edges(wants, files)
     assert {(r.src, r.dst) for r in edges.collect()} == {("a.ts", "b/index.ts"), ("b/index.ts", "c.js"), ("c.js", "a.ts"), ("d.py", "pkg/__init__.py")}
     assert [r.members for r in imports.cycles(edges).collect()] == [["a.ts", "b/index.ts", "c.js"]]
