@@ -1,7 +1,10 @@
 import hashlib
 import re
+import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +61,10 @@ def test_edges(spark):
     want = brute([x[:2] for x in docs], [x for x in items if x[0] is not None])
     for size in (1 << 20, 64):
         assert rows(dc.contamination(d, b, shard_bytes=size, block_bytes=size)) == want
+    in_groups = dc.contamination(d, b, block_bytes=64, group_bytes=64)
+    assert rows(in_groups) == want
+    assert in_groups.count() == len(docs)
+    assert {r.doc_id for r in dc.remove_contaminated(d, b, block_bytes=64, group_bytes=64).collect()} == {k for k, v in want.items() if not v[4]}
     assert dc.contamination(d, b).count() == len(docs)
     kept = dc.remove_contaminated(d, b)
     assert kept.columns == d.columns
@@ -73,6 +80,23 @@ def test_random_small_alphabet(spark, seed):
     items = [(i, " ".join(rng.choice(list("ab"), rng.integers(0, 18)))) for i in range(30)]
     got = dc.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
     assert rows(got) == brute(docs, items)
+    grouped = dc.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), block_bytes=100, group_bytes=200)
+    assert rows(grouped) == brute(docs, items)
+
+
+def test_repetitive_texts_need_bounded_memory(spark):
+    """60,000 times one word against an item of 1,000 of them, and a window that many items hold."""
+    block = dc.Block(["1", *(f"b{i}" for i in range(300))], ["la " * 1000, *(f"x{i} " + " ".join(f"w{j}" for j in range(40)) for i in range(300))], 13)
+    column = pa.array(["la " * 60000, " ".join(f"w{j}" for j in range(40)), "", "la " * 12])
+    tracemalloc.start()
+    start = time.time()
+    got = dc._judge(column, [block])
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert time.time() - start < 20
+    assert got["n_hit"].tolist() == [60000, 40, 0, 0]
+    assert got["n_items"].tolist() == [1, 300, 0, 0]
+    assert got["longest_match"].tolist() == [1000, 40, 0, 0]
 
 
 def test_longest_matches(spark):
