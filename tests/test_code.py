@@ -125,7 +125,7 @@ def test_report(spark):
 
 
 def test_urls(spark):
-    cases = {"https://github.com/a/b": ("a", "b"), "github.com/a/b.git": ("a", "b"), "http://github.com:443/a/b/": ("a", "b"), "https://u@github.com/a/b": None, "https://github.com/a": None, "https://github.com/a/..": None, "https://github.com/a/b#c": None}
+    cases = {"https://github.com/a/b": ("a", "b"), "github.com/a/b.git": ("a", "b"), "https://github.com:443/a/b/": ("a", "b"), "http://github.com/a/b": None, "https://u@github.com/a/b": None, "https://github.com/a": None, "https://github.com/a/..": None, "https://github.com/a/b#c": None}
     df = spark.createDataFrame([(u,) for u in cases], "u string")
     got = [r[0] and tuple(r[0]) for r in df.select(urls.parse_repository(F.col("u"))).collect()]
     assert got == list(cases.values())
