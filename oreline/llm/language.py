@@ -5,12 +5,17 @@ TF-IDF vectors of hashed byte n-grams. A text goes to the language of the centro
 with the largest cosine; it is `rejected` if that cosine is below what nearly all
 of that centroid's own training texts reach.
 
-The centroids are fitted on `sample_rows` texts at most, split evenly over the
-labels and chosen by a hash of their ids; scoring is a narrow stage over all rows.
+Document frequencies come from all labelled texts. The centroids are fitted on
+`sample_rows` texts at most (or 16 for each of at most 1024 labels), split evenly
+over the labels and chosen by a hash of their ids; scoring is a narrow stage over
+all rows.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and
 rejected. Without any labelled row everything is `und`. Ties go to the language
-that sorts first. Null labels are not learned.
+that sorts first. Null labels are not learned. An id that is repeated counts once
+for each of its labels in the sample. Empty and repeated rows are each predicted by
+their own text, texts of any length whole; an empty table gives no rows. Only the id
+and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -57,13 +62,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS, dim: int = DIM, centroids: int = CENTROIDS, quantile: float = 0.005) -> Centroids:
     """Centroids of the labelled rows; the driver holds `sample_rows` vectors of `dim` at most (or 16 for each label)."""
     known = rows.select(rows[id_col].alias("key"), rows[text_col].alias("text"), rows[label_col].cast("string").alias("label")).where("label is not null and text is not null")
-    have = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    _, have = ft.label_counts(known)
     x, y = ft.collect(ft.sample(known, known, have, max(16, sample_rows // max(1, len(have)))), lambda c: np.log1p(ft.counts(c, dim, True)))
     if not len(x):
         return Centroids([], np.ones(dim, np.float32), np.zeros((0, dim), np.float32), np.zeros(0, int), np.zeros(0))
     names = np.array(y)
     languages = sorted(set(y))
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
+    idf = ft.frequencies(known, dim, True)
     x = ft.unit(x.astype(np.float32) * idf)
     centres, owner, least = [], [], []
     for i, language in enumerate(languages):

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .features import pieces, summed
 from .features import unit as unit_rows
 from .sentencepiece_fst import Table
 from .shared import saved
@@ -48,7 +49,6 @@ ROUNDS = 2
 RATE = 0.3
 STEP = 1 << 14
 BATCH_BYTES = 3 << 20
-CHUNK = 1 << 15
 LN10 = np.log(10)
 
 
@@ -110,30 +110,6 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return _texts(docs, text_col).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def summed(rows: DataFrame, length: int) -> np.ndarray:
-    """Sum of float32 arrays that tasks emit in pieces (at, piece); two levels, then the driver's `length` numbers."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for x in table.column("piece"):
-            one = np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-            total = one if total is None else total + one
-        return pa.table({"at": table.column("at").slice(0, 1), "piece": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    first = rows.withColumn("part", F.spark_partition_id() % 64).groupBy("at", "part").applyInArrow(lambda t: add(t.select(["at", "piece"])), "at int, piece binary")
-    out = np.zeros(length, np.float32)
-    for r in first.groupBy("at").applyInArrow(add, "at int, piece binary").collect():
-        piece = np.frombuffer(bytes(r["piece"]), np.float32)
-        out[r["at"] : r["at"] + len(piece)] = piece
-    return out
-
-
-def _pieces(total: np.ndarray) -> pa.RecordBatch:
-    flat = total.astype(np.float32).ravel()
-    at = list(range(0, len(flat), CHUNK))
-    return pa.RecordBatch.from_arrays([pa.array(np.array(at, np.int32)), pa.array([flat[i : i + CHUNK].tobytes() for i in at], pa.binary())], names=["at", "piece"])
-
-
 def beside(docs: DataFrame, text_col: str) -> np.ndarray:
     """(units, 2 * sides): how often units stand before and after each unit, units folded to `sides`; over all texts."""
 
@@ -149,7 +125,7 @@ def beside(docs: DataFrame, text_col: str) -> np.ndarray:
             total += np.bincount(before[inside] * (2 * SIDES) + SIDES + t.unit[inside] % SIDES, minlength=len(total))
             some = True
         if some:
-            yield _pieces(total)
+            yield pieces(total)
 
     rows = _texts(docs, text_col).mapInArrow(run, "at int, piece binary")
     return summed(rows, UNITS * 2 * SIDES).reshape(UNITS, 2 * SIDES)
@@ -225,7 +201,7 @@ def _learn(model: MaxEnt, batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch |
     if not any_:
         return None
     change = (w - model.weights) * seen[:, None]
-    return _pieces(np.concatenate([change.ravel(), seen]))
+    return pieces(np.concatenate([change.ravel(), seen]))
 
 
 def train(docs: DataFrame, model: MaxEnt, *, id_col: str, text_col: str, rounds: int) -> MaxEnt:

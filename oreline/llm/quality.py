@@ -1,7 +1,7 @@
 """Quality classification by nearest-neighbour voting in a latent-semantic space.
 
-TF-IDF vectors of hashed byte n-grams, with a few measures of the text's surface, of
-a labelled sample are reduced by a
+TF-IDF vectors of hashed byte n-grams (document frequencies over all texts), with a
+few measures of the text's surface, of a labelled sample are reduced by a
 singular value decomposition; the labelled latent vectors are broadcast. Every
 document is projected to the same space and compared with all of them in blocks,
 by exact cosine products. The `neighbours` nearest vote with their similarity.
@@ -11,8 +11,10 @@ have enough; votes are weighted back to the labels' shares among all labelled ro
 
 Defined results: null and empty texts project to zero and get the share of label
 1. So does everything when no row is labelled (0.5 then). A document labelled
-more than once counts once for each row. Ties among neighbours go to the
-earlier row of the sample.
+more than once counts once for each different label; an id with several texts
+counts by one of them. Ties among neighbours go to the earlier row of the sample.
+Repeated rows are each scored, texts of any length whole; an empty table gives no
+rows. Only ids, texts and labels are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from . import text as tx
 DIM = 4096
 LATENT = 64
 MEASURES = 11
-SAMPLE_ROWS = 2048
+SAMPLE_ROWS = 3000
 NEIGHBOURS = 24
 ACCEPT = 0.3
 
@@ -88,12 +90,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Voters from documents and the 0/1 labels of some of their ids; the driver holds `sample_rows` vectors of `dim` at most."""
     texts = docs.select(docs[id_col].alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     known = labels.select(labels[id_col].alias("key"), labels[label_col].cast("int").alias("label")).where("label in (0, 1)")
-    have = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    have, keys = ft.label_counts(known)
     total = sum(have.values())
     share = have.get(1, 0) / total if total else 0.5
-    x, y = ft.collect(ft.sample(texts, known, have, sample_rows // 2), lambda c: vectors(c, dim))
+    x, y = ft.collect(ft.sample(texts, known, keys, sample_rows // 2), lambda c: vectors(c, dim))
     votes = np.array(y, float)
-    idf = np.log((1 + len(x)) / (1 + (x[:, :dim] > 0).sum(0))).astype(np.float32) + 1
+    idf = ft.frequencies(texts, dim, False)
     x = weighted(x.astype(np.float32), idf)
     if len(x):
         value, vector = np.linalg.eigh((x @ x.T).astype(np.float64))

@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from oreline.llm import pii
 from oreline.llm.queries import op6_pii
@@ -90,14 +92,53 @@ def test_added_spans(spark):
     assert all(got[t] == "" for t in plain)
 
 
+def test_clashing_columns_stay(spark):
+    names = ["_m0", "_candidates", "_base", "_spans", "base_spans", "all_spans", "_found", "_more", "_M1"]
+    df = spark.createDataFrame([(1, "mail a@b.co now", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    row = pii.mask(df, pii.fit(df)).first()
+    assert row.text == "mail [EMAIL] now"
+    assert [row[n] for n in names] == list(range(len(names)))
+
+
+def test_many_matches_in_one_text(spark):
+    n = 12000
+    text = " ".join(f"u{i}@x.org 212-555-{1000 + i % 9000}" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = pii.estimate([])
+    pii.found(df.limit(0), model).collect()
+    start = time.time()
+    row = pii.found(df, model).first()
+    assert time.time() - start < 25
+    assert row.n_email == n
+    spans = [(int(a), int(b)) for _, a, b in (s.split(":") for s in row.spans.split(","))]
+    assert [text[a:b] for a, b in spans] == [f"u{i}@x.org" for i in range(n)]
+    assert pii.mask(df, model).first().text == " ".join(f"[EMAIL] 212-555-{1000 + i % 9000}" for i in range(n))
+    every = pii.found(df, model, accept=0.4).first().spans.split(",")  # a model that knows nothing takes all candidates
+    assert len(every) >= 2 * n - 1
+
+
+def test_added_spans_overlap_no_base_span(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        pick = lambda n: sorted((s, rng.randrange(4), s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randrange(n))))  # noqa: B023,E731
+        rows.append((i, pick(6), pick(9)))
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    got = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}").select("i", pii.outside(F.col("a"), F.col("b")).alias("o")).collect()
+    for r in got:
+        _, a, b = rows[r.i]
+        assert sorted(tuple(x) for x in r.o) == sorted(x for x in b if not any(y[0] < x[2] and x[0] < y[2] for y in a))
+
+
 def test_native_plan(spark, sf_dir):
     plan = op6_pii(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def test_estimate_separates_labelers():
-    patterns = [(0, 1, 1, 1, 1, 1, 900), (0, 1, 0, 0, 2, 0, 900), (0, 1, 1, 2, 2, 1, 100), (0, 1, 0, 1, 2, 1, 50)]
+    traits = (0, 1, 0, 0, 0)
+    patterns = [(0, 1, 1, 1, 1, 1, *traits, 900), (0, 1, 0, 0, 2, 0, *traits, 900), (0, 1, 1, 2, 2, 1, *traits, 100), (0, 1, 0, 1, 2, 1, *traits, 50)]
     model = pii.estimate(patterns)
-    assert model.reliability[1, 1, pii.YES] > model.reliability[0, 1, pii.YES]
-    assert model.reliability.sum(2) == pytest.approx(1)
+    assert model.reliability[0, 1, 1, pii.YES] > model.reliability[0, 0, 1, pii.YES]
+    assert model.reliability.sum(3) == pytest.approx(1)
     pii.estimate([])
