@@ -4,7 +4,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,19 +56,71 @@ def test_edges(spark):
     same({r.doc_id: r for r in got if r.doc_id}, {k: v for k, v in brute(train, lambda k: k < 5 or k == 7).items() if k < 7})
     assert lm.scores(df.limit(0), F.lit(True)).count() == 0
     none = lm.scores(df, F.lit(False)).collect()
-    assert all(r.train_tokens == r.n_known == 0 and r.base_score == 0 for r in none)
-
-
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    t = lm.Tokens(pa.array(["some words here", "", "and more of them"]))
-    model = lm.MaxEnt((np.arange(lm.UNITS) % lm.CLASSES).astype(np.int32), rng.standard_normal((lm.FEATURES, lm.CLASSES)).astype(np.float32), np.zeros(lm.CLASSES, np.float32), np.zeros(lm.CLASSES))
-    total = np.zeros(len(t.unit))
-    for k in range(lm.CLASSES):
-        model.of = np.full(lm.UNITS, k, np.int32)
-        total += 10 ** lm.gains(model, t)
-    assert total == pytest.approx(np.ones(len(total)), abs=1e-5)
-    assert t.n.tolist() == [4, 1, 5]
+    assert all(r.train_tokens == r.n_known == 0 and r.base_score == r.score == 0 for r in none)
+
+
+def unit(word):
+    w = word.encode()
+    code = w[0] << 28 | w[min(1, len(w) - 1)] << 20 | w[-1] << 12 | w[max(len(w) - 2, 0)] << 4 | min(len(w), 15)
+    x, full = code, (1 << 64) - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & full
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & full
+    x ^= x >> 31
+    return x % (lm.UNITS - 2)
+
+
+def plain(model, counts, history):
+    """P of every training token (None is the end) and of the unknown after a list of tokens, by the definition and in plain loops."""
+    units = [lm.UNITS - 1 if w is None else unit(w) for w in history]
+    one, two, three = ([lm.UNITS - 2] * 3 + units)[-1:-4:-1]
+    pair = ((one * lm.UNITS + two) * 2654435761 & 0xFFFFFFFF) >> (32 - lm.PAIR_BITS)
+    rows = [one, lm.UNITS + two, 2 * lm.UNITS + pair, 3 * lm.UNITS + three]
+    z = [float(model.bias[c]) + sum(float(model.weights[r, c]) for r in rows) for c in range(lm.CLASSES)]
+    top = max(z)
+    total = sum(math.exp(v - top) for v in z)
+    of_class = [math.exp(v - top) / total for v in z]
+    mass = Counter()
+    for w, c in counts.items():
+        u = lm.UNITS - 1 if w is None else unit(w)
+        mass[int(model.of[u]), int(model.part[u])] += c + 1
+    inner = {}
+    for c in range(lm.END):
+        row = ((one * lm.CLASSES + c) * 2654435761 & 0xFFFFFFFF) >> (32 - lm.INNER_BITS)
+        q = [float(model.inner[row, p]) + (math.log(mass[c, p] / sum(mass[c, k] for k in range(lm.PARTS))) if mass[c, p] else -1e9) for p in range(lm.PARTS)]
+        best = max(q)
+        part = sum(math.exp(v - best) for v in q)
+        inner[c] = [math.exp(v - best) / part for v in q]
+    out = {}
+    for w, c in counts.items():
+        u = lm.UNITS - 1 if w is None else unit(w)
+        k, p = int(model.of[u]), int(model.part[u])
+        out[w] = of_class[k] * (inner[k][p] if w is not None else 1) * (c + 1) / mass[k, p]
+    return out, of_class[lm.UNKNOWN]
+
+
+def test_score_equals_plain_loops_and_probabilities_sum_to_one(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in ("", "n", "st")]
+    docs = [(i, " ".join(words[min(int(rng.expovariate(0.08)), 59)] for _ in range(rng.randrange(40))) + (" Unseen zz" if i % 5 == 0 else "")) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    learn = [d for d in docs if d[0] % 5]
+    fitted = lm.fit(df.where("doc_id % 5 <> 0"))
+    counts = Counter(w for _, t in learn for w in tokens(t))
+    assert abs(fitted.model.weights).max() > 0.1
+    assert abs(fitted.model.inner).max() > 0.1
+    for history in ([], ["ba"], ["unseen", "cast"], ["ba", "be", "bi", "bo"]):
+        known, unknown = plain(fitted.model, counts, history)
+        assert sum(known.values()) + unknown == pytest.approx(1, abs=1e-6)
+    for frequent in (4, 1 << 18):
+        got = {r.doc_id: r.score for r in lm.predict(df, fitted, frequent=frequent).collect()}
+        for key, text in docs[:40]:
+            ws, want = tokens(text), 0.0
+            for i, w in enumerate(ws):
+                known, unknown = plain(fitted.model, counts, ws[:i])
+                want += math.log10(known.get(w, unknown))
+            assert got[key] == pytest.approx(want, rel=1e-4)
 
 
 def test_the_unit_three_back_is_a_feature(spark):
