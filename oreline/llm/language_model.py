@@ -63,6 +63,7 @@ ROUNDS = 2
 RATE = 0.3
 STEP = 1 << 14
 BATCH_BYTES = 3 << 20
+TASK_TOKENS = 1 << 19
 LN10 = np.log(10)
 
 
@@ -127,6 +128,11 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return _texts(docs, text_col).mapInArrow(run, "h long, unit int, c long").groupBy("h").agg(F.min("unit").alias("unit"), F.sum("c").alias("c"))
 
 
+def worthwhile(docs: DataFrame, tokens: int) -> DataFrame:
+    """docs in no more partitions than give each task TASK_TOKENS tokens, as every task emits sums of fixed size."""
+    return docs.coalesce(max(1, -(-tokens // TASK_TOKENS)))
+
+
 def beside(docs: DataFrame, text_col: str) -> np.ndarray:
     """(units, 2 * sides): how often units stand before and after each unit, units folded to `sides`; over all texts."""
 
@@ -341,20 +347,21 @@ def fit(known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rou
     unit_mass = np.zeros(UNITS)
     for r in counts.groupBy("unit").agg(F.sum(F.col("c") + 1).alias("mass")).collect():
         unit_mass[r["unit"]] = r["mass"]
-    sides = beside(known, text_col)
+    few = worthwhile(known, n)
+    sides = beside(few, text_col)
     of = classes(sides, CLASSES - 1)
     model = MaxEnt.start(of, parts(sides, of, PARTS), unit_mass)
-    return Fitted(counts, n, ends, kinds, train(known, model, id_col=id_col, text_col=text_col, rounds=rounds) if n else model)
+    return Fitted(counts, n, ends, kinds, train(few, model, id_col=id_col, text_col=text_col, rounds=rounds) if n else model)
 
 
 def scores(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every text; `training` says which rows are learned from."""
     fitted = fit(docs.where(F.coalesce(training, F.lit(False))), id_col=id_col, text_col=text_col, rounds=rounds)
-    return predict(docs, fitted, id_col=id_col, text_col=text_col, frequent=frequent)
+    return predict(docs, fitted, training, id_col=id_col, text_col=text_col, frequent=frequent)
 
 
-def predict(docs: DataFrame, fitted: Fitted, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every text."""
+def predict(docs: DataFrame, fitted: Fitted, training: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every text. Rows that were learned from hold no unknown word, so where `training` is given they carry no figures for that case."""
     spark = docs.sparkSession
     counts, n, ends, kinds = fitted.counts, fitted.n, fitted.ends, fitted.kinds
     least = max(n / frequent, 1)
@@ -379,16 +386,16 @@ def predict(docs: DataFrame, fitted: Fitted, *, id_col: str = "doc_id", text_col
             doc = t.words.doc()
             place = table.get(h) if table is not None else np.full(len(h), -1)
             hit = place >= 0
-            gain += np.bincount(doc[hit], with_count[hit], minlength=docs_here)
+            gain += np.bincount(doc, with_count, minlength=docs_here)  # as if all were known; what unknown words change comes after the join
             sums = np.bincount(doc[hit], logs[place[hit]], minlength=docs_here) + end_log
             n_hit = np.bincount(doc[hit], minlength=docs_here) + end_known
-            rare_h, rare_doc, rare_gain, rare_none = h[~hit], doc[~hit], with_count[~hit], without[~hit]
+            rare_h, rare_doc = h[~hit], doc[~hit]
+            change = np.where(part.column(2).to_numpy(zero_copy_only=False)[rare_doc], 0, without[~hit] - with_count[~hit]).astype(np.float32)
             order = np.lexsort((rare_h, rare_doc))
             rare_h, rare_doc = rare_h[order], rare_doc[order]
             new = np.flatnonzero(np.concatenate(([True], (rare_h[1:] != rare_h[:-1]) | (rare_doc[1:] != rare_doc[:-1])))) if len(order) else np.zeros(0, np.int64)
             tf = np.diff(np.append(new, len(order)))
-            add = lambda x: np.add.reduceat(x[order], new) if len(new) else np.zeros(0)  # noqa: B023,E731
-            rare_gain, rare_none = add(rare_gain), add(rare_none)
+            change = np.add.reduceat(change[order], new) if len(new) else np.zeros(0, np.float32)
             rare_h, rare_doc = rare_h[new], rare_doc[new]
             data, offsets = tx.utf8(part.column(1))
             mark = tx.ranges_hash(data, offsets[:-1], offsets[1:]).view(np.int64)
@@ -396,16 +403,17 @@ def predict(docs: DataFrame, fitted: Fitted, *, id_col: str = "doc_id", text_col
             zeros = np.zeros(len(rare_doc))
             yield pa.RecordBatch.from_arrays([
                 part.column(0).take(pa.array(which)), pa.array(mark[which]), pa.array(np.concatenate([mark, rare_h])), pa.array(np.concatenate([np.zeros(docs_here, np.int64), tf])),
-                pa.array(np.concatenate([t.n, zeros.astype(np.int64)])), pa.array(np.concatenate([n_hit, zeros.astype(np.int64)])), pa.array(np.concatenate([sums, zeros])), pa.array(np.concatenate([gain, rare_gain])), pa.array(np.concatenate([gain, rare_none])),
-            ], names=["doc_id", "mark", "h", "tf", "n", "hit", "sums", "gain", "none"])
+                pa.array(np.concatenate([t.n, zeros.astype(np.int64)])), pa.array(np.concatenate([n_hit, zeros.astype(np.int64)])), pa.array(np.concatenate([sums, zeros])), pa.array(np.concatenate([gain, zeros])), pa.array(np.concatenate([np.zeros(docs_here, np.float32), change])),
+            ], names=["doc_id", "mark", "h", "tf", "n", "hit", "sums", "gain", "change"])
 
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    parts = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, mark long, h long, tf long, n long, hit long, sums double, gain double, none double")
+    learned = F.coalesce(training, F.lit(False)) if training is not None else F.lit(False)
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), learned.alias("learned"))
+    parts = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, mark long, h long, tf long, n long, hit long, sums double, gain double, change float")
     rare = counts.where(F.col("h").isNotNull() & (F.col("c") < least)).select("h", "c")
     met = parts.join(rare, "h", "left")
     out = met.groupBy("doc_id", "mark").agg(
         F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("copies"), F.sum("n").alias("n"), F.sum(F.col("hit") + F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known"),
-        F.sum(F.col("sums") + F.col("tf") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)).alias("sums"), F.sum(F.when((F.col("n") > 0) | F.col("c").isNotNull(), F.col("gain")).otherwise(F.col("none"))).alias("gain"),
+        F.sum(F.col("sums") + F.col("tf") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)).alias("sums"), F.sum(F.col("gain") + F.when((F.col("n") > 0) | F.col("c").isNotNull(), 0).otherwise(F.col("change"))).alias("gain"),
     )
     each = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     n_tokens = (F.col("n") / F.col("copies")).cast("long")
