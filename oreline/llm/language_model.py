@@ -379,6 +379,7 @@ def predict(docs: DataFrame, fitted: Fitted, training: Column | None = None, *,
             t = Tokens(part.column(1))
             docs_here = part.num_rows
             with_count, without = gains(model, t)
+            with_count[with_count < -1e6] = 0  # parts without any known token, so these are unknown
             end = ~t.is_word
             gain = with_count[end] if ends else without[end]
             with_count, without = with_count[t.is_word], without[t.is_word]
