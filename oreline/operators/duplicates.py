@@ -1,13 +1,18 @@
 """Clones of token windows between the files of a repository.
 
-Windows meet by two hashes; matches are grown to maximal spans
+Windows meet by two rolling hashes, made from prefix sums over a batch of files, so a
+window costs the same whatever its length; matches are grown to maximal spans
 per pair and diagonal (islands) and compared by tokens; the greedy choice of non-overlapping spans folds over
 the spans of one repository, which are far fewer than its windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +22,45 @@ from ..functions import static as st
 HASHES = ["repo_id", "h1", "h2"]
 
 
+TOKENS = 1 << 18
+BASES = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F)
+
+
+def rolling(values: np.ndarray, window: int, base: int) -> np.ndarray:
+    """Hash of every run of `window` values: polynomials modulo 2**64, from prefix sums."""
+    n = len(values)
+    power, inverse = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+    power[0] = inverse[0] = 1
+    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power[:n], dtype=np.uint64)))
+    h = (total[window:] - total[: n - window + 1]) * inverse[: n - window + 1]
+    return h ^ (h >> np.uint64(29))
+
+
 def windows(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
     """(repo_id, path, pos, h1, h2) of every window of `tokens`: two hashes stand for its tokens, which stay where they are."""
-    rows = files.where(F.size("tokens") >= window)
-    rows = rows.select("repo_id", "path", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens") - (window - 1))).alias("pos"))
-    w = F.slice("tokens", F.col("pos"), window)
-    return rows.select("repo_id", "path", "pos", F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2"))
+    rows = files.where(F.size("tokens") >= window).select("repo_id", "path", F.transform("tokens", lambda t: F.xxhash64(t)).alias("codes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.concatenate(([0], np.searchsorted(size, np.arange(TOKENS, int(size[-1]) if len(size) else 0, TOKENS)) + 1, [batch.num_rows])))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(int(a), int(b - a))
+                lists = part.column(2)
+                lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                code = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                first = np.cumsum(lengths) - lengths
+                count = lengths - window + 1
+                of = np.repeat(np.arange(len(lengths)), count)
+                pos = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                at = first[of] + pos
+                other = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                h1, h2 = rolling(code, window, BASES[0])[at], rolling(other, window, BASES[1])[at]
+                which = pa.array(of)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(1).take(which), pa.array((pos + 1).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["repo_id", "path", "pos", "h1", "h2"])
+
+    return rows.mapInArrow(run, f"repo_id {dict(rows.dtypes)['repo_id']}, path string, pos int, h1 long, h2 long")
 
 
 def shared(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
