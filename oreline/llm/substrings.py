@@ -19,8 +19,9 @@ windows with one key form a segment. The steps:
    windows are hashed one by one and meet in a pre-aggregated minimum instead; that
    is exact as well, and covers what is left of skew.
 
-Words are compared as 64-bit hashes. Ids are integers; rows that repeat an id must
-repeat its text, and don't repeat each other. Defined results: null and empty texts
+Words are compared as 64-bit hashes. Ids are integers; rows that repeat an id don't
+repeat each other, and each loses what smaller ids have of its own text (rows of one
+id are told apart by a hash of the text). Defined results: null and empty texts
 have no words; texts of fewer than 50 words lose nothing; null ids take no part and
 keep everything; kept words are joined by one space.
 """
@@ -97,19 +98,19 @@ class Segments:
 
 
 def segments(docs: DataFrame, *, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null").withColumn("mark", F.hash("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, 1, BATCH_BYTES):
             s = Segments(part.column(1), window, gram)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(s.doc)), pa.array(s.key), pa.array(s.sig), pa.array(s.at.astype(np.int32)), pa.array(s.n.astype(np.int32))], names=["doc_id", "key", "sig", "at", "n"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(s.doc)), pa.array(s.key), pa.array(s.sig), pa.array(s.at.astype(np.int32)), pa.array(s.n.astype(np.int32)), part.column(2).take(pa.array(s.doc))], names=["doc_id", "key", "sig", "at", "n", "mark"])
 
-    return rows.mapInArrow(run, "doc_id long, key long, sig long, at int, n int")
+    return rows.mapInArrow(run, "doc_id long, key long, sig long, at int, n int, mark int")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, window: int) -> DataFrame:
-    """The words of wanted segments (doc_id, asks: key, sig, at, n, hot): word hashes, or window hashes for hot keys."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(wanted, "doc_id").select("doc_id", "text", "asks")
+    """The words of wanted segments (doc_id, mark, asks: key, sig, at, n, hot): word hashes, or window hashes for hot keys."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("mark", F.hash("text")).join(wanted, ["doc_id", "mark"]).select("doc_id", "text", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, 1, BATCH_BYTES):
@@ -231,20 +232,20 @@ def matched_hot(contents: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, spans): word ranges [from, to) of each document that are covered by repeated windows."""
+    """(doc_id, mark, spans): word ranges [from, to) of each document that are covered by repeated windows; mark is the hash of its text."""
     names = {"id_col": id_col, "text_col": text_col, "window": window}
     every = saved(segments(docs, gram=gram, **names), "substring-segments")
     keys = every.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
     some = saved(every.join(keys, "key", "left_semi"), "substring-shared")
-    groups = saved(some.groupBy("key", "sig").agg(F.min(F.struct("doc_id", "at", "n")).alias("m"), F.max("doc_id").alias("last")).select("key", "sig", F.col("m.doc_id").alias("first"), F.col("m.at").alias("at"), F.col("m.n").alias("n"), "last"), "substring-groups")
+    groups = saved(some.groupBy("key", "sig").agg(F.min(F.struct("doc_id", "mark", "at", "n")).alias("m"), F.max("doc_id").alias("last")).select("key", "sig", F.col("m.doc_id").alias("first"), F.col("m.mark").alias("mark"), F.col("m.at").alias("at"), F.col("m.n").alias("n"), "last"), "substring-groups")
     mixed = groups.groupBy("key").agg(F.sum(F.col("n") + (window - 1)).alias("k"), F.min("first").alias("x"), F.max("first").alias("y")).where("x < y").select("key", (F.col("k") > hot).alias("hot"))
-    wanted = groups.join(mixed, "key").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("key", "sig", "at", "n", "hot")).alias("asks"))
+    wanted = groups.join(mixed, "key").groupBy(F.col("first").alias("doc_id"), "mark").agg(F.collect_list(F.struct("key", "sig", "at", "n", "hot")).alias("asks"))
     contents = saved(_contents(docs, wanted, **names), "substring-contents")
     partly = matched(contents, window, shard_words).unionByName(matched_hot(contents))
-    own = partly.join(some.select("key", "sig", F.col("doc_id").alias("first"), "at"), ["key", "sig", "first"]).select(F.col("first").alias("doc_id"), (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("hi") + (window - 1)).alias("b"))
+    own = partly.join(some.select("key", "sig", F.col("doc_id").alias("first"), "mark", "at"), ["key", "sig", "first"]).select(F.col("first").alias("doc_id"), "mark", (F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("hi") + (window - 1)).alias("b"))
     later = groups.where("first < last").select("key", "sig", "first").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    whole = some.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(later, ["key", "sig", "salt"]).where("doc_id > first").select("doc_id", F.col("at").cast("long").alias("a"), (F.col("at") + F.col("n") + (window - 1)).cast("long").alias("b"))
-    return own.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    whole = some.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(later, ["key", "sig", "salt"]).where("doc_id > first").select("doc_id", "mark", F.col("at").cast("long").alias("a"), (F.col("at") + F.col("n") + (window - 1)).cast("long").alias("b"))
+    return own.unionByName(whole).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def _kept(words: tx.Words, data: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,8 +271,9 @@ def _removed(part: pa.RecordBatch, text: int, spans: int) -> tuple:
     base = words.first[np.repeat(np.arange(part.num_rows), np.diff(ends))]
     edge = np.zeros(len(words) + 1, np.int64)
     if len(flat):
-        np.add.at(edge, base + flat.field(0).to_numpy(), 1)
-        np.add.at(edge, base + flat.field(1).to_numpy(), -1)
+        stop = words.first[1:][np.repeat(np.arange(part.num_rows), np.diff(ends))]  # a span never leaves its row
+        np.add.at(edge, np.minimum(base + flat.field(0).to_numpy(), stop), 1)
+        np.add.at(edge, np.minimum(base + flat.field(1).to_numpy(), stop), -1)
     gone = np.cumsum(edge[:-1]) > 0
     lost = np.concatenate(([0], np.cumsum(gone)))
     out, at = _kept(words, data, ~gone)
@@ -279,18 +281,19 @@ def _removed(part: pa.RecordBatch, text: int, spans: int) -> tuple:
     return words.counts.astype(np.int64), np.diff(lost[words.first]), texts
 
 
-def _with_spans(docs: DataFrame, id_col: str, spans: DataFrame) -> DataFrame:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame) -> DataFrame:
     extra = "spans"
-    while extra in docs.columns or f"{extra}_id" in docs.columns:
+    while {extra, f"{extra}_id", f"{extra}_mark"} & {c.lower() for c in docs.columns}:
         extra = f"_{extra}"
-    side = spans.select(F.col("doc_id").alias(f"{extra}_id"), F.col("spans").alias(extra))
-    return docs.join(side, docs[id_col].cast("long") == side[f"{extra}_id"], "left").drop(f"{extra}_id")
+    side = spans.select(F.col("doc_id").alias(f"{extra}_id"), F.col("mark").alias(f"{extra}_mark"), F.col("spans").alias(extra))
+    same = (docs[id_col].cast("long") == side[f"{extra}_id"]) & (F.hash(docs[text_col]) == side[f"{extra}_mark"])
+    return docs.join(side, same, "left").drop(f"{extra}_id", f"{extra}_mark")
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
     spans = repeated(docs, id_col=id_col, text_col=text_col, **options)
-    rows = _with_spans(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "doc_id", spans)
+    rows = _with_spans(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "doc_id", "text", spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, 1, BATCH_BYTES):
@@ -302,7 +305,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
 
 def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with repeated windows cut out of the text, all columns kept; texts that lose nothing stay as they are."""
-    rows = _with_spans(docs, id_col, repeated(docs, id_col=id_col, text_col=text_col, **options))
+    rows = _with_spans(docs, id_col, text_col, repeated(docs, id_col=id_col, text_col=text_col, **options))
     names = docs.columns
     at, last = names.index(text_col), len(names)
 

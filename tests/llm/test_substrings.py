@@ -85,6 +85,16 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.report(none).collect()) == [(0, 0), (1, 0), (2, 60)]
 
 
+def test_rows_that_repeat_an_id_with_another_text(spark):
+    body, other = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    rows = [(1, body), (3, ["x", "y", "z"]), (3, ["tail", *body]), (3, [*body[:60], "end"]), (4, other), (5, [*other, "end"]), (5, ["short"]), (5, other[:20])]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    want = sorted([(1, 100, 0), (3, 3, 0), (3, 101, 100), (3, 61, 60), (4, 100, 0), (5, 101, 100), (5, 1, 0), (5, 20, 0)])
+    for parts in (1, 4):
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.report(df.coalesce(parts)).collect()) == want
+    assert sorted(r.text for r in substrings.remove_repeated(df).collect() if r.doc_id == 3) == ["end", "tail", "x y z"]
+
+
 def test_index_counts():
     rng = np.random.default_rng(0)
     text = rng.integers(0, 5, 300)
