@@ -19,7 +19,8 @@ wanted), and equal queries are searched once.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do those whose length isn't the most frequent one.
-Ties go to the smaller id; rows that repeat an id are one candidate each way.
+Ties go to the smaller id; rows that repeat an id are one candidate, with
+the largest of their products.
 """
 
 from __future__ import annotations
@@ -279,6 +280,6 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     second = _searched(*dealt(saved(bounded.mapInArrow(others, asks), "neighbour-others")), projection, wanted, limit, leaf_rows)
     best = first.unionByName(second).withColumn("place", F.row_number().over(place_in)).where(F.col("place") <= wanted).drop("place")
     members = asked.join(queries, "embedding").select(F.col("vec_id").alias("query_id"), "q").distinct()
-    pairs = members.join(best.select("q", "score", F.explode("ids").alias("vec_id")), "q").where("vec_id <> query_id").dropDuplicates(["query_id", "vec_id"])
+    pairs = members.join(best.select("q", "score", F.explode("ids").alias("vec_id")), "q").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -66,6 +66,11 @@ def test_edges(spark):
     assert got(neighbours.nearest(same, F.col("vec_id") % 20 == 0)) == brute([(i, [1.0, 2.0]) for i in range(200)])
 
 
+def test_repeated_ids_take_the_largest_product(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [2.0, 0.0]), (1, [-1.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert got(neighbours.nearest(df, F.col("vec_id") % 20 == 0)) == {0: [(1, 2.0), (2, 1.0)]}
+
+
 def test_quantile():
     assert neighbours.chi_square_quantile(0.95, 2) == pytest.approx(5.9915, abs=1e-3)
     assert neighbours.chi_square_quantile(0.95, 16) == pytest.approx(26.296, abs=1e-2)
