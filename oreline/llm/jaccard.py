@@ -31,7 +31,9 @@ in a task, and a token whose members are already united costs nothing.
 
 Defined results: null and empty texts, and texts without words, have an empty set
 and are linked with nothing. Texts with fewer than n words have one shingle. Rows
-that repeat an id and a text get the same answer each. Null ids have no component.
+that repeat an id and a text get the same answer each; other texts of an id are
+documents of their own, with the smallest id in reach. Null ids have no component.
+Names of other columns are free.
 Shingles are compared as 47-bit hashes.
 """
 
@@ -41,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -285,6 +287,17 @@ def around_centres(members: DataFrame, known: DataFrame, percent: int) -> tuple[
     return to_centre, met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
+def _row_of(key: Column, text: Column) -> Column:
+    """A number for each pair of id and text; null where the id is."""
+    return F.when(key.isNotNull(), F.xxhash64(key, text))
+
+
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, star_rounds: int = STAR_ROUNDS, enough: float = 0.5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -296,6 +309,17 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     all_marks = saved(marks(docs, level, percent=percent, **names), "jaccard-marks")
     some = all_marks.where("n > 0 and doc_id is not null")
     reps = saved(some.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "ell", "prefix")).alias("m"), F.count("*").alias("copies")).select(F.col("m.doc_id").alias("rep"), "n", "s1", "s2", F.col("m.ell").alias("ell"), F.col("m.prefix").alias("prefix"), "copies"), "jaccard-reps")
+    kinds = all_marks.where("doc_id is not null").select("doc_id", F.xxhash64("n", "s1", "s2").alias("kind")).groupBy("doc_id").agg(F.min("kind").alias("x"), F.max("kind").alias("y"))
+    if kinds.where("x <> y").limit(1).count():
+        # an id with several sets: each pair of id and text is a document of its own
+        rows = docs.select(_row_of(docs[id_col], docs[text_col]).alias("row"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+        options = {"shingle": shingle, "percent": percent, "sketch_bits": sketch_bits, "star_rounds": star_rounds, "enough": enough}
+        found = saved(near_components(rows, id_col="row", **options).withColumnsRenamed({"doc_id": "row", "component_id": "component"}), "jaccard-rows")
+        ids = rows.where("row is not null").select("row", "doc_id").distinct()
+        least = found.join(ids, "row").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = found.where("row is not null").join(ids, "row").join(least, "component").select("doc_id", "n_shingles", "component_id")
+        nobody = found.where("row is null").select(F.lit(None).cast(dict(rows.dtypes)["doc_id"]).alias("doc_id"), "n_shingles", F.lit(None).cast(dict(rows.dtypes)["doc_id"]).alias("component_id"))
+        return named.unionByName(nobody)
     prefix = reps.select(F.explode("prefix").alias("token"), "rep", "n")
     shared = prefix.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     smallest = F.floor((percent * F.col("n") + 99) / 100)  # of sets that may be near
@@ -372,13 +396,21 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that with the smallest id, with all its columns; of repeated ids one row."""
-    id_col = options.get("id_col", "doc_id")
-    found = saved(near_components(docs, **options), "jaccard-found")
-    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "jaccard-gone")
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, that with the smallest id, with all its columns.
+
+    Equal rows of an id are one. Different texts of an id are documents of their own, so each stays if nothing before it is near.
+    """
+    names = {"id_col": id_col, "text_col": text_col} | options
+    found = saved(near_components(docs, **names), "jaccard-found")
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
     if repeated.limit(1).count():
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(docs[id_col].isNull()))
-    return kept
+        number = _free("row_number_", docs)
+        apart = docs.withColumn(number, _row_of(docs[id_col], docs[text_col]))
+        rows = saved(near_components(apart, **names | {"id_col": number}), "jaccard-found")
+        ids = apart.select(F.col(number).alias("doc_id"), F.col(id_col).alias("id")).where("id is not null").distinct()
+        first = rows.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct("id", "doc_id")).alias("m")).select(F.col("m.doc_id").alias(number))
+        kept = apart.join(first, number, "left_semi").dropDuplicates([number]).select(docs.columns)
+        return kept.unionByName(docs.where(docs[id_col].isNull()))
+    gone = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "jaccard-gone")
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)

@@ -81,6 +81,21 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 8, 9, 11, 12]
 
 
+def test_ids_with_several_texts(spark):
+    one, two = ("a b c d e f", "u v w x y z")
+    rows = [(9, one), (7, one), (7, two), (5, two), (5, "alone here now"), (5, "alone here now"), (None, one), (3, None), (3, "other words there")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row_number_ int")
+    out = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.near_components(df).collect()))
+    assert out == sorted([(9, 4, 7), (7, 4, 7), (7, 4, 5), (5, 4, 5), (5, 1, 5), (5, 1, 5), (0, 4, 0), (3, 0, 3), (3, 1, 3)])
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(7, one), (5, two), (5, "alone here now"), (0, one), (3, ""), (3, "other words there")])
+    p, h = ([f"{c}{i}" for i in range(60)] for c in "ph")
+    rows = [(12, p), (13, p), (13, h), (14, [*h[:-1], "end"])]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_components(df).collect())) == [(12, 58, 12), (13, 58, 12), (13, 58, 13), (14, 58, 13)]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(5, 5), (200, 201), (200, 201)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
