@@ -86,6 +86,26 @@ def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.hstack([ft.unit(x[:, :dim] * idf), x[:, dim:]])
 
 
+def latent_axes(x: np.ndarray, latent: int, spare: int = 32, rounds: int = 200, close: float = 1e-6) -> np.ndarray:
+    """The right singular vectors of x with the largest values, by subspace iteration: beside x only blocks of latent + spare columns are held.
+
+    Ends when no wanted value changes by more than `close` of itself, or after `rounds`.
+    """
+    size = min(latent + spare, *x.shape)
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((x.shape[1], size)))[0].astype(np.float32)
+    before = np.zeros(min(latent, size))
+    for _ in range(rounds):
+        q = np.linalg.qr((x.T @ (x @ q)).astype(np.float64))[0].astype(np.float32)
+        seen = (x @ q).astype(np.float64)
+        value, turn = np.linalg.eigh(seen.T @ seen)
+        value, turn = value[::-1][:latent], turn[:, ::-1][:, :latent]
+        if (np.abs(value - before) <= close * np.abs(value)).all():
+            break
+        before = value
+    wanted = value > 1e-8 * max(value.max(), 1e-12)
+    return (q @ turn[:, wanted]).astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, dim: int = DIM, latent: int = LATENT, neighbours: int = NEIGHBOURS) -> Voters:
     """Voters from documents and the 0/1 labels of some of their ids; the driver holds `sample_rows` vectors of `dim` at most."""
     texts = docs.select(docs[id_col].alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -96,14 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     x, y = ft.collect(ft.sample(texts, known, keys, sample_rows // 2), lambda c: vectors(c, dim))
     votes = np.array(y, float)
     idf = ft.frequencies(texts, dim, False)
-    x = weighted(x.astype(np.float32), idf)
-    if len(x):
-        value, vector = np.linalg.eigh((x @ x.T).astype(np.float64))
-        top = np.argsort(-value)[:latent]
-        top = top[value[top] > 1e-8 * max(value.max(), 1e-12)]
-        axes = ((x.T @ vector[:, top]) / np.sqrt(value[top])).astype(np.float32)
-    else:
-        axes = np.zeros((dim + MEASURES, 1), np.float32)
+    x = x.astype(np.float32)
+    x[:, :dim] *= idf
+    x[:, :dim] /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x[:, :dim], x[:, :dim])), 1e-30)[:, None]
+    axes = latent_axes(x, latent) if len(x) else np.zeros((dim + MEASURES, 1), np.float32)
+    tx.release()
     seen = np.array([(votes == c).mean() if len(votes) else 1 for c in (0, 1)])
     truth = np.array([1 - share, share])
     weights = (truth / np.maximum(seen, 1e-9))[votes.astype(int)] if len(votes) else np.zeros(0)

@@ -122,3 +122,14 @@ def test_quality_equals_brute_force(spark, sf_dir):
         want = sum(w * model.votes[i] for w, i in zip(weight, top, strict=True)) / sum(weight) if sum(weight) > 1e-12 else model.share
         assert r.score == pytest.approx(want, abs=0.02)
         assert r.predicted == int(r.score >= 0.3)
+
+
+@pytest.mark.parametrize("shape", [(40, 200), (600, 300), (3, 50)])
+def test_latent_axes_span_the_largest_singular_vectors(shape):
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal(shape) * 0.93 ** np.arange(shape[1]) * 2).astype(np.float32)
+    axes = quality.latent_axes(x, 16)
+    want = np.linalg.svd(x.astype(np.float64))[2][: min(16, shape[0])].T
+    assert axes.shape == want.shape
+    assert np.linalg.svd(want.T @ axes)[1].min() > 0.999
+    assert quality.latent_axes(np.zeros(shape, np.float32), 16).shape == (shape[1], 0)
