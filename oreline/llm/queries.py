@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, language_model, neighbours, pii, quality, sentencepiece_fst, substrings, warc
+from . import conversations, decontaminate, exact, jaccard, language, language_model, merkle, neighbours, pii, quality, sentencepiece_fst, substrings, warc
 from .features import remainder
 from .shared import small_batches
 
@@ -71,6 +71,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.leaf(*(F.col(c) for c in columns[:-1]), F.translate("text", exact.UPPER, exact.SMALL))
+    claimed = F.when((F.crc32(F.col("doc_id").cast("string")) % 5 == 0) & (F.translate("text", exact.UPPER, exact.SMALL) != F.col("text")), tampered)
+    rows = merkle.manifest(docs, columns, "source", "doc_id", {"doc_id": F.col("doc_id"), "claimed": claimed})
+    rows = merkle.verified(rows, F.coalesce("claimed", "leaf"))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(rows), rows.select("conv_id"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -82,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_merkle": op11_merkle,
+    "op12_conversations": op12_conversations,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALNUM_SQL = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -131,4 +153,67 @@ select page_id, strlen(five.body)::bigint as payload_bytes,
        case when page_id = first_id then null else first_id end as refers_to
 from five join firsts on five.body = firsts.body
 """
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op9_warc": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+#: CRC-32 of ASCII text; DuckDB has no such function.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)), lambda a, b:
+list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)"""
+FIELD_SQL = "coalesce(strlen({0}::varchar) || ':' || {0}, '-')"
+LEAF_SQL = "sha256(" + " || ".join(FIELD_SQL.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+
+OP11_SQL = f"""
+with recursive d as (select doc_id, source, {LEAF_SQL.format(FIELD_SQL.format("text"))} as leaf,
+  case when doc_id is not null and {CRC_SQL.format("doc_id::varchar")} % 5 = 0 then {LEAF_SQL.format(FIELD_SQL.format(f"translate(text, '{UPPER}', '{SMALL}')"))} end as claimed from documents),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from d),
+nodes as (select source, 0 as level, i, leaf as h, n from placed union all select source, level + 1, i // 16, sha256(string_agg(h, '' order by i)), (n + 15) // 16 from nodes where n > 1 group by source, level, i // 16, n),
+tops as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as i, count(*) over () as n from nodes where n = 1),
+upper as (select 0 as level, i, subroot as h, n from tops union all select level + 1, i // 16, sha256(string_agg(h, '' order by i)), (n + 15) // 16 from upper where n > 1 group by level, i // 16, n),
+lines as (select source, level, i // 16 as p, list(h order by i) as hs from nodes where n > 1 group by all),
+over as (select level, i // 16 as p, list(h order by i) as hs from upper where n > 1 group by all),
+walk as (
+  select doc_id, source, leaf, claimed, 0 as level, i, n, '' as seen, coalesce(claimed, leaf) as h from placed
+  union all
+  select w.doc_id, w.source, w.leaf, w.claimed, w.level + 1, w.i // 16, (w.n + 15) // 16, w.seen || array_to_string(l.hs[:w.i % 16], '') || array_to_string(l.hs[w.i % 16 + 2:], ''), sha256(array_to_string(l.hs[:w.i % 16], '') || w.h || array_to_string(l.hs[w.i % 16 + 2:], ''))
+  from walk w join lines l on l.source is not distinct from w.source and l.level = w.level and l.p = w.i // 16 where w.n > 1
+),
+walked as (
+  select w.doc_id, w.leaf, t.subroot, 0 as level, t.i, t.n, w.seen, w.h from walk w join tops t on t.source is not distinct from w.source where w.n = 1
+  union all
+  select w.doc_id, w.leaf, w.subroot, w.level + 1, w.i // 16, (w.n + 15) // 16, w.seen || array_to_string(o.hs[:w.i % 16], '') || array_to_string(o.hs[w.i % 16 + 2:], ''), sha256(array_to_string(o.hs[:w.i % 16], '') || w.h || array_to_string(o.hs[w.i % 16 + 2:], ''))
+  from walked w join over o on o.level = w.level and o.p = w.i // 16 where w.n > 1
+),
+top as (select h as root from upper where n = 1)
+select doc_id, leaf, subroot, root, sha256(seen) as proof_sha256, h as folded_root, h = root as verified from walked cross join top where n = 1
+"""
+
+#: States: 0 nothing yet, else the initial of the last row that stays. ins: what inserted rows do; moves: what a row does.
+OP12_SQL = f"""
+with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+coded as (select *, {CRC_SQL.format("k")} % 20 as harm from raw),
+hurt as (select conv_id, turn, case when harm = 4 then 'user' else role end as role, case when harm = 1 then '' when harm = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when harm = 3 then [1, 2] else [1] end) as copy from coded where harm <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i, count(*) over (partition by conv_id) as n, left(role, 1) as c, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') as body from hurt),
+marked as (select *, case when body = '' then 'blank' when i > min(i) over (partition by conv_id, role, text) then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' end as fault, lag(c) over (partition by conv_id order by i) || c as pair from placed),
+ins(p, q, cost, letters, lines) as (values ('0', '0', 0, '', []::varchar[]), ('0', 'u', 5, 'I', ['user:']), ('0', 'a', 10, 'II', ['user:', 'assistant:']), ('s', 's', 0, '', []), ('s', 'u', 5, 'I', ['user:']), ('s', 'a', 10, 'II', ['user:', 'assistant:']), ('u', 'u', 0, '', []), ('u', 'a', 5, 'I', ['assistant:']), ('a', 'a', 0, '', []), ('a', 'u', 5, 'I', ['user:'])),
+moves(p, q) as (values ('0', 's'), ('0', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')),
+steps as (
+  select conv_id, i, n, p, p as q, 2 as cost, 'D' as letter, []::varchar[] as line from marked cross join (select distinct p from ins)
+  union all select conv_id, i, n, p, q, case fault when 'truncated' then 5 else 0 end, 'K', [role || ':' || text] from marked join moves on q = c where fault is null or fault = 'truncated'
+  union all select conv_id, i, n, p, q, case fault when 'truncated' then 6 else 1 end, 'R', [case q when 'u' then 'user:' else 'assistant:' end || text] from marked join moves on q in ('u', 'a') where fault is null or fault = 'truncated'
+),
+best as (
+  select conv_id, 0::bigint as i, n, '0' as q, {{'cost': 0::bigint, 'audit': '', 'lines': []::varchar[]}} as b from (select distinct conv_id, n from marked)
+  union all
+  select b.conv_id, b.i + 1, b.n, s.q, min({{'cost': b.b.cost + ins.cost + s.cost, 'audit': b.b.audit || ins.letters || s.letter, 'lines': b.b.lines || ins.lines || s.line}})
+  from best b join ins on ins.p = b.q join steps s on s.conv_id is not distinct from b.conv_id and s.i = b.i + 1 and s.p = ins.q group by b.conv_id, b.i, b.n, s.q
+),
+ended as (select conv_id, min({{'cost': b.b.cost + ins.cost, 'audit': b.b.audit || ins.letters, 'lines': b.b.lines || ins.lines}}) as b from best b join ins on ins.p = b.q where b.i = b.n and ins.q in ('0', 'a') group by conv_id),
+sums as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from marked group by conv_id)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(e.b.cost, 0)::bigint as cost, coalesce(e.b.audit, '') as audit, sha256(coalesce(array_to_string(e.b.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join sums s on s.conv_id is not distinct from o.conv_id left join ended e on e.conv_id is not distinct from o.conv_id
+"""
+
+OP13_SQL = f"""
+select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size, doc_id is not distinct from max(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
+from (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{SMALL}') as norm from documents)
+"""
+ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op9_warc": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_merkle": OP11_SQL, "op12_conversations": OP12_SQL, "op13_exact_dedup": OP13_SQL,
+}

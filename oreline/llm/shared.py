@@ -18,6 +18,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """checkpoint() needs a folder; the context takes spark.checkpoint.dir, and local runs without it get one here."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder(spark, "checkpoints"))
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Fewer rows for each Arrow batch, as whole texts are long: JVM and Python both hold a batch, for every task."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
