@@ -1,9 +1,22 @@
 """Clones of token windows between the files of a repository.
 
-Windows meet by two rolling hashes, made from prefix sums over a batch of files, so a
-window costs the same whatever its length; matches are grown to maximal spans
-per pair and diagonal (islands) and compared by tokens; the greedy choice of non-overlapping spans folds over
-the spans of one repository, which are far fewer than its windows.
+Files with equal tokens are one content class with a representative, so windows are
+made of representatives only. A window stands for its smallest hash of HALF tokens
+first: equal windows have equal anchors, a file has few different ones, and only
+windows with an anchor that another class has too become rows, by two rolling hashes.
+Equal windows are joined to maximal spans for each pair of classes and diagonal
+(islands); both sides of a span are compared by their tokens, cut from each file once.
+Spans of classes are spans of their members; the match of two equal files is the whole
+file.
+
+The greedy choice of non-overlapping spans goes in rounds: a span is taken when it
+comes first among all open spans that overlap it in either file, and what overlaps a
+taken one is dropped. That is what one scan in order gives, but no task holds more
+than one file's spans. Members of a class that no other file contains whole pair up in
+order, without a row for each pair.
+
+Paths are ordered by lower case, then as they are. Files shorter than the window, and
+null tokens, have no clones. A path is once in a repository.
 """
 
 from __future__ import annotations
@@ -11,19 +24,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import static as st
-
+from ..sources.folders import saved
 
 HASHES = ["repo_id", "h1", "h2"]
-
-
 TOKENS = 1 << 18
 BASES = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F)
+SPAN = ["repo_id", "left", "right", "lstart", "rstart", "length"]
 
 
 def rolling(values: np.ndarray, window: int, base: int) -> np.ndarray:
@@ -37,98 +48,237 @@ def rolling(values: np.ndarray, window: int, base: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def windows(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
-    """(repo_id, path, pos, h1, h2) of every window of `tokens`: two hashes stand for its tokens, which stay where they are."""
-    rows = files.where(F.size("tokens") >= window).select("repo_id", "path", F.transform("tokens", lambda t: F.xxhash64(t)).alias("codes"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            cuts = np.unique(np.concatenate(([0], np.searchsorted(size, np.arange(TOKENS, int(size[-1]) if len(size) else 0, TOKENS)) + 1, [batch.num_rows])))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = batch.slice(int(a), int(b - a))
-                lists = part.column(2)
-                lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                code = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                first = np.cumsum(lengths) - lengths
-                count = lengths - window + 1
-                of = np.repeat(np.arange(len(lengths)), count)
-                pos = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                at = first[of] + pos
+def lowest(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of every run of `width` values, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[: len(values) - step], values[step:])
+        have += step
+    return values
+
+
+def order(path: Column | str) -> Column:
+    """What paths are ordered by."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.struct(F.lower(path).alias("low"), path.alias("path"))
+
+
+class Classes:
+    """Content classes of files (repo_id, path, tokens) with a window or more.
+
+    `reps`: (repo_id, fid, size, copies, codes, tokens), one row a class; `members`:
+    (repo_id, fid, path). Copies are counted by partial aggregation; no list of them is made.
+    """
+
+    def __init__(self, files: DataFrame, window: int = st.CLONE_WINDOW):
+        self.window = window
+        sized = files.where(F.size("tokens") >= window)
+        same = [F.sha2(F.array_join("tokens", "\0", "\1"), 256).alias("digest"), F.xxhash64("tokens").alias("check"), F.size("tokens").alias("size")]
+        named = saved(sized.select("repo_id", "path", *same), "content")
+        on = ["repo_id", "digest", "check", "size"]
+        groups = named.groupBy(*on).agg(F.min(order("path")).alias("first"), F.count("*").alias("copies"))
+        groups = saved(groups.select(*on, F.col("first.path").alias("path"), "copies", F.monotonically_increasing_id().alias("fid")), "classes")
+        self.members = named.join(groups.select(*on, "fid"), on).select("repo_id", "fid", "path")
+        rows = sized.select("repo_id", "path", "tokens").join(groups.select("repo_id", "path", "fid", "size", "copies"), ["repo_id", "path"])
+        self.reps = saved(rows.select("repo_id", "fid", "size", "copies", F.transform("tokens", lambda t: F.xxhash64(t)).alias("codes"), "tokens"), "representatives")
+
+    def anchors(self) -> DataFrame:
+        """(repo_id, h, fid) of the anchors of each class, each once."""
+        window, half = self.window, max(1, self.window // 2)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, _, lengths, code in _arrays(batches, 2):
+                low = lowest(rolling(code, half, BASES[0]), window - half + 1)
+                ends = np.cumsum(lengths)
+                own = [np.unique(low[b - n : b - window + 1]) for b, n in zip(ends, lengths, strict=True)]
+                which = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+                h = np.concatenate(own) if own else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(which), pa.array(h.view(np.int64)), part.column(1).take(which)], names=["repo_id", "h", "fid"])
+
+        return self.reps.select("repo_id", "fid", "codes").mapInArrow(run, f"repo_id {dict(self.reps.dtypes)['repo_id']}, h long, fid long")
+
+    def windows(self, every_copy: bool = True) -> DataFrame:
+        """(repo_id, fid, copies, pos, h1, h2) of windows whose anchor another class has; with every_copy all windows of classes with copies too."""
+        anchors = saved(self.anchors(), "anchors")
+        often = anchors.groupBy("repo_id", "h").agg(F.min("fid").alias("a"), F.max("fid").alias("b")).where("a <> b").select("repo_id", "h")
+        hits = anchors.join(often, ["repo_id", "h"], "left_semi").groupBy("fid").agg(F.collect_list("h").alias("hs"))
+        wanted = self.reps.select("repo_id", "fid", "copies", "codes").join(hits, "fid", "left")
+        wanted = wanted.where(F.col("hs").isNotNull() | (F.lit(every_copy) & (F.col("copies") > 1))).select("repo_id", "fid", "copies", "codes", "hs")
+        window, half = self.window, max(1, self.window // 2)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, first, lengths, code in _arrays(batches, 3):
+                low = lowest(rolling(code, half, BASES[0]), window - half + 1)
                 other = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                h1, h2 = rolling(code, window, BASES[0])[at], rolling(other, window, BASES[1])[at]
+                h1, h2 = rolling(code, window, BASES[0]), rolling(other, window, BASES[1])
+                copies = part.column(2).to_numpy()
+                at, of = [], []
+                for k in range(part.num_rows):
+                    a, b = first[k], first[k] + lengths[k] - window + 1
+                    places = np.arange(a, b)
+                    if not (every_copy and copies[k] > 1):
+                        own = part.column(4)[k].values.to_numpy().view(np.uint64)
+                        places = places[np.isin(low[a:b], own)]
+                    at.append(places)
+                    of.append(np.full(len(places), k))
+                if not at:
+                    continue
+                at, of = np.concatenate(at), np.concatenate(of)
                 which = pa.array(of)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(1).take(which), pa.array((pos + 1).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["repo_id", "path", "pos", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(1).take(which), part.column(2).take(which), pa.array((at - first[of] + 1).astype(np.int32)), pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64))], names=["repo_id", "fid", "copies", "pos", "h1", "h2"])
+
+        return wanted.mapInArrow(run, f"repo_id {dict(self.reps.dtypes)['repo_id']}, fid long, copies long, pos int, h1 long, h2 long")
+
+    def shared(self, every_copy: bool = True) -> DataFrame:
+        """windows() that more than one file of the repository has; counts are pre-aggregated."""
+        all_ = saved(self.windows(every_copy), "windows")
+        often = all_.groupBy(*HASHES).agg(F.min("fid").alias("a"), F.max("fid").alias("b"), F.max("copies").alias("c")).where("a <> b" + (" or c > 1" if every_copy else "")).select(*HASHES)
+        return all_.join(often, HASHES, "left_semi")
+
+    def islands(self, own: bool) -> DataFrame:
+        """(repo_id, a, b, astart, bstart, length): maximal matches of two classes, a below b; with `own` also shifted ones inside a class that has copies."""
+        one = self.shared(own)
+        left = one.select(*HASHES, F.col("fid").alias("a"), F.col("copies").alias("ca"), F.col("pos").alias("astart"))
+        right = one.select(*HASHES, F.col("fid").alias("b"), F.col("pos").alias("bstart"))
+        met = left.join(right, HASHES)
+        met = met.where("a < b or (a = b and ca > 1 and astart <> bstart)" if own else "a < b").select("repo_id", "a", "b", "astart", "bstart")
+        met = met.withColumn("diagonal", F.col("bstart") - F.col("astart"))
+        on = ["repo_id", "a", "b", "diagonal"]
+        met = met.withColumn("island", F.col("astart") - F.row_number().over(Window.partitionBy(*on).orderBy("astart")))
+        out = met.groupBy(*on, "island").agg(F.min("astart").alias("astart"), F.min("bstart").alias("bstart"), (F.count("*") + self.window - 1).alias("length"))
+        return self._equal(saved(out.select("repo_id", "a", "b", "astart", "bstart", "length", F.monotonically_increasing_id().alias("id")), "islands"))
 
-    return rows.mapInArrow(run, f"repo_id {dict(rows.dtypes)['repo_id']}, path string, pos int, h1 long, h2 long")
+    def _equal(self, spans: DataFrame) -> DataFrame:
+        """spans whose sides have the same tokens. Each file's ranges are gathered, so its tokens meet them in one row."""
+        side = lambda f, start: spans.select(F.col(f).alias("fid"), F.struct("id", F.col(start).alias("start"), F.col("length").cast("int").alias("length")).alias("r"))
+        ranges = side("a", "astart").unionByName(side("b", "bstart")).groupBy("fid").agg(F.collect_list("r").alias("rs"))
+        cut = self.reps.select("fid", "tokens").join(ranges, "fid").select("tokens", F.explode("rs").alias("r"))
+        text = F.slice("tokens", F.col("r.start"), F.col("r.length"))
+        cut = cut.select(F.col("r.id").alias("id"), F.sha2(F.array_join(text, "\0", "\1"), 256).alias("d"), F.xxhash64(text).alias("x"))
+        fine = cut.groupBy("id").agg(F.min(F.struct("d", "x")).alias("u"), F.max(F.struct("d", "x")).alias("v")).where("u = v").select("id")
+        return spans.join(fine, "id", "left_semi").drop("id")
 
+    def members_of(self, found: DataFrame, members: DataFrame) -> DataFrame:
+        """Spans of files from matches of classes: every pair of different members."""
+        a, b = members.select(F.col("fid").alias("a"), F.col("path").alias("p")), members.select(F.col("fid").alias("b"), F.col("path").alias("q"))
+        pairs = found.join(a, "a").join(b, "b").where("p <> q and (a <> b or lower(p) < lower(q) or (lower(p) = lower(q) and p < q))")
+        swap = order("p") > order("q")
+        pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+        return pairs.select("repo_id", pick("p", "q").alias("left"), pick("q", "p").alias("right"), pick("astart", "bstart").alias("lstart"), pick("bstart", "astart").alias("rstart"), "length")
 
-def shared(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
-    """windows that occur in more than one file of the repository; counts are pre-aggregated."""
-    all_ = windows(files, window)
-    often = all_.groupBy(*HASHES).agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a <> b").select(*HASHES)
-    return all_.join(often, HASHES, "left_semi")
+    def whole(self, members: DataFrame) -> DataFrame:
+        """Whole-file matches of the classes' members, in pairs."""
+        size = self.reps.where("copies > 1").select("repo_id", F.col("fid").alias("a"), F.col("fid").alias("b"), F.lit(1).alias("astart"), F.lit(1).alias("bstart"), F.col("size").cast("long").alias("length"))
+        return self.members_of(size, members)
 
 
-def matches(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
-    """(repo_id, left, right, lpos, rpos): windows of two files with equal hashes."""
-    one = shared(files, window)
-    left = one.select(*HASHES, F.col("path").alias("left"), F.col("pos").alias("lpos"))
-    right = one.select(*HASHES, F.col("path").alias("right"), F.col("pos").alias("rpos"))
-    return left.join(right, HASHES).where(F.col("left") < F.col("right")).select("repo_id", "left", "right", "lpos", "rpos")
+def _arrays(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, first, lengths, values) of parts with TOKENS values of the list column, or one row."""
+    for batch in batches:
+        size = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(size, np.arange(TOKENS, int(size[-1]) if len(size) else 0, TOKENS)) + 1, [batch.num_rows])))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(int(a), int(b - a))
+            lists = part.column(column)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            yield part, np.cumsum(lengths) - lengths, lengths, lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 def spans(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
-    """(repo_id, left, right, lstart, rstart, length): maximal matches, as islands of consecutive windows on a diagonal, compared token by token at the end."""
-    rows = matches(files, window).withColumn("diagonal", F.col("rpos") - F.col("lpos"))
-    on = Window.partitionBy("repo_id", "left", "right", "diagonal").orderBy("lpos")
-    rows = rows.withColumn("island", F.col("lpos") - F.row_number().over(on))
-    out = rows.groupBy("repo_id", "left", "right", "diagonal", "island").agg(F.min("lpos").alias("lstart"), F.min("rpos").alias("rstart"), (F.count("*") + window - 1).alias("length"))
-    own = out.join(files.select("repo_id", F.col("path").alias("left"), F.col("tokens").alias("lt")), ["repo_id", "left"]).join(files.select("repo_id", F.col("path").alias("right"), F.col("tokens").alias("rt")), ["repo_id", "right"])
-    size = F.col("length").cast("int")
-    fine = own.where(F.slice("lt", F.col("lstart"), size) == F.slice("rt", F.col("rstart"), size))
-    return fine.select("repo_id", "left", "right", "lstart", "rstart", "length")
+    """(repo_id, left, right, lstart, rstart, length): all maximal matches of two files, copies and their shifted matches included."""
+    c = Classes(files, window)
+    return c.members_of(c.islands(True), c.members).unionByName(c.whole(c.members))
 
 
 def repeated(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
     """(repo_id, tokens, occurrences, files): each window that several files have."""
-    g = shared(files, window).groupBy(*HASHES).agg(F.count("*").alias("occurrences"), F.countDistinct("path").alias("files"), F.min(F.struct("path", "pos")).alias("at"))
-    g = g.select("repo_id", F.col("at.path").alias("path"), F.col("at.pos").alias("pos"), "occurrences", F.col("files").alias("n"))
-    return g.join(files.select("repo_id", "path", "tokens"), ["repo_id", "path"]).select("repo_id", F.slice("tokens", F.col("pos"), window).alias("tokens"), "occurrences", F.col("n").alias("files"))
+    c = Classes(files, window)
+    by_class = c.shared().groupBy(*HASHES, "fid").agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.first("copies").alias("copies"))
+    g = by_class.groupBy(*HASHES).agg(F.sum(F.col("n") * F.col("copies")).alias("occurrences"), F.sum("copies").alias("files"), F.min(F.struct("fid", "pos")).alias("at"))
+    places = g.groupBy(F.col("at.fid").alias("fid")).agg(F.collect_list(F.struct("at.pos", "occurrences", "files")).alias("ws"))  # the windows of one file
+    rows = c.reps.select("repo_id", "fid", "tokens").join(places, "fid").select("repo_id", "tokens", F.explode("ws").alias("w"))
+    return rows.select("repo_id", F.slice("tokens", F.col("w.pos"), window).alias("tokens"), "w.occurrences", "w.files")
 
 
-def greedy(found: DataFrame) -> DataFrame:
+def chosen(files: DataFrame, window: int = st.CLONE_WINDOW) -> DataFrame:
+    """The spans that a greedy scan of all candidates keeps.
+
+    The match of two equal files replaces their shifted ones. No span of a file is
+    longer than the file, so members of a class meet each other before anything
+    shorter: unless another file holds the class whole (a match of the same length),
+    they pair up in order of path, and at most the last one is left for other spans.
+    """
+    c = Classes(files, window)
+    found = saved(c.islands(False), "matches")
+    whole = c.reps.where("copies > 1").select("fid", "size")
+    sides = found.select(F.col("a").alias("fid"), "length").unionByName(found.select(F.col("b").alias("fid"), "length"))
+    held = sides.join(whole, "fid").where("length = size").select("fid").distinct()
+    closed = whole.join(held, "fid", "left_anti")
+    ranked = c.members.join(closed, "fid").withColumn("rank", F.row_number().over(Window.partitionBy("fid").orderBy(order("path"))))
+    ranked = saved(ranked, "ranked")
+    paired = ranked.groupBy("repo_id", "fid", F.floor((F.col("rank") - 1) / 2).alias("pair")).agg(F.min(order("path")).alias("l"), F.max(order("path")).alias("r"), F.first("size").cast("long").alias("length"))
+    one = F.lit(1)
+    met = paired.where("l <> r").select("repo_id", F.col("l.path").alias("left"), F.col("r.path").alias("right"), one.alias("lstart"), one.alias("rstart"), "length")
+    last = paired.where("l = r").select("repo_id", "fid", F.col("l.path").alias("path"))
+    free = c.members.join(closed, "fid", "left_anti").unionByName(last)
+    rest = c.members_of(found, free).unionByName(c.whole(c.members.join(held, "fid", "left_semi")))
+    return met.unionByName(greedy(rest))
+
+
+FIRST, WAITS, BLOCKED, TAKEN = range(4)
+
+
+def greedy(found: DataFrame, rounds: int = 10_000) -> DataFrame:
     """spans that a greedy scan keeps: longest first, then by paths and places; one is taken if both its ranges are free, never trimmed."""
+    columns = found.columns
+    open_ = saved(found.select("*", F.monotonically_increasing_id().alias("id")), "spans")
+    kinds = {f: t for f, t in open_.dtypes}
+    schema = "verdict int, " + ", ".join(f"`{n}` {t}" for n, t in kinds.items())
+
+    def judge(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        n = table.num_rows
+        low = [(x or "").lower() for x in rows["left"]], [(x or "").lower() for x in rows["right"]]
+        key = lambda i: (-rows["length"][i], low[0][i], rows["left"][i], low[1][i], rows["right"][i], rows["lstart"][i], rows["rstart"][i])
+        size = max(s + m for s, m in zip(rows["start"], rows["length"], strict=True))
+        used, before = bytearray(size), bytearray(size)
+        verdict = [TAKEN] * n
+        for i in range(n):
+            if rows["taken"][i]:
+                used[rows["start"][i] : rows["start"][i] + rows["length"][i]] = b"\1" * rows["length"][i]
+        for i in sorted((i for i in range(n) if not rows["taken"][i]), key=key):
+            a, b = rows["start"][i], rows["start"][i] + rows["length"][i]
+            if used.find(1, a, b) >= 0:
+                verdict[i] = BLOCKED
+                continue
+            verdict[i] = WAITS if before.find(1, a, b) >= 0 else FIRST
+            before[a:b] = b"\1" * (b - a)
+        out = table.select([c for c in table.column_names if c in kinds])
+        return out.add_column(0, "verdict", pa.array(verdict, pa.int32()))
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "left", "right", "lstart", "rstart"], ascending=[False, True, True, True, True])
-        used: dict[str, bytearray] = {}
-        keep = []
-        for r in rows.itertuples():
-            sides = ((r.left, r.lstart), (r.right, r.rstart))
-            marks = []
-            for path, start in sides:
-                have = used.setdefault(path, bytearray())
-                if len(have) < start + r.length:
-                    have.extend(bytes(start + r.length - len(have)))
-                marks.append(memoryview(have)[start : start + r.length])
-            free = not any(any(m) for m in marks)
-            keep.append(free)
-            if free:
-                for m in marks:
-                    m[:] = b"\1" * r.length
-            for m in marks:
-                m.release()
-        return rows[keep]
-
-    return found.groupBy("repo_id").applyInPandas(choose, found.schema)
+    out, fresh = None, None
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
+        rows = open_.withColumn("taken", F.lit(False))
+        rows = rows if fresh is None else rows.unionByName(fresh.withColumn("taken", F.lit(True)))
+        sides = rows.withColumn("path", F.col("left")).withColumn("start", F.col("lstart")).unionByName(rows.withColumn("path", F.col("right")).withColumn("start", F.col("rstart")))
+        told = sides.groupBy("repo_id", "path").applyInArrow(judge, schema).where(F.col("verdict") < TAKEN)
+        told = saved(told.groupBy(*kinds).agg(F.max("verdict").alias("verdict")), "judged")
+        fresh = told.where(F.col("verdict") == FIRST).drop("verdict")
+        open_ = told.where(F.col("verdict") == WAITS).drop("verdict")
+        out = fresh if out is None else out.unionByName(fresh)
+    else:
+        raise RuntimeError("the choice did not settle")
+    return (found.limit(0) if out is None else out).select(*columns)
 
 
 def pair_summary(chosen: DataFrame, limit: int = 20) -> DataFrame:
-    """(repo_id, left, right, tokens): the first pairs of a repository by path."""
-    rows = chosen.groupBy("repo_id", "left", "right").agg(F.sum("length").alias("tokens"))
-    order = Window.partitionBy("repo_id").orderBy(F.lower("left"), F.lower("right"), "left", "right")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("rank")
+    """(repo_id, left, right, tokens): the first pairs of a repository by path; paths that differ in case only are one."""
+    rows = chosen.groupBy("repo_id", F.lower("left").alias("l"), F.lower("right").alias("r")).agg(F.max_by(F.struct("left", "right"), F.struct(-F.col("length"), "left", "right", "lstart", "rstart")).alias("p"), F.sum("length").alias("tokens"))
+    by = Window.partitionBy("repo_id").orderBy("l", "r")
+    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit).select("repo_id", "p.left", "p.right", "tokens")
 
 
 def ratio(files: DataFrame, chosen: DataFrame) -> DataFrame:

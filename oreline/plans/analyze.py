@@ -57,7 +57,7 @@ def analyze(repositories: DataFrame, files: DataFrame, texts: DataFrame, analyze
     per_function = rules.function_metrics(functions)
     counted = code.groupBy("repo_id").agg(*(F.sum(c).alias(n) for c, n in (("identifiers", "identifiers"), ("ambiguous", "ambiguous"), ("exported", "exported"), ("documented", "documented"))))
     plain = code.where("not is_test").select("repo_id", "path", "tokens")
-    copied = duplicates.ratio(plain, duplicates.greedy(duplicates.spans(plain)))
+    copied = duplicates.ratio(plain, duplicates.chosen(plain))
     asked = lambda c: code.select("repo_id", "path", F.explode(c).alias("specifier"))
     graph = imports.edges(asked("imports"), code.select("repo_id", "path", "defined"), asked("candidates"))
     loops = imports.cycles(graph).groupBy("repo_id").agg(F.count("*").alias("cycle_components"), F.max("size").cast("long").alias("cycle_largest"))

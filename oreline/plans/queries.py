@@ -363,12 +363,25 @@ def maximal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.spans(tokens(spark, sf_dir))
 
 
-@query()
+#: A scan over the candidates of each repository in order; a span is kept if both ranges are free of kept ones.
+GREEDY_SQL = f"""recursive {SPANS_SQL},
+whole as (select s.* from spans s join files a on a.repo_id = s.repo_id and a.path = s."left" join files b on b.repo_id = s.repo_id and b.path = s."right" where a.tokens <> b.tokens or length = len(a.tokens)),
+ranked as (select *, row_number() over (partition by repo_id order by length desc, "left", "right", lstart, rstart) as k from whole),
+scan as (
+  select repo_id, 0::bigint as k, []::struct(p varchar, a bigint, b bigint)[] as used, false as kept from (select distinct repo_id from ranked)
+  union all
+  select repo_id, k, case when kept then list_concat(used, [{{'p': "left", 'a': lstart, 'b': lstart + length}}, {{'p': "right", 'a': rstart, 'b': rstart + length}}]) else used end, kept
+  from (select r.*, s.used, len(list_filter(s.used, lambda u: (u.p = r."left" and u.a < r.lstart + r.length and r.lstart < u.b) or (u.p = r."right" and u.a < r.rstart + r.length and r.rstart < u.b))) = 0 as kept from scan s join ranked r on r.repo_id = s.repo_id and r.k = s.k + 1)
+),
+chosen as (select r.* exclude (k) from ranked r join scan s on s.repo_id = r.repo_id and s.k = r.k where s.kept)"""
+
+
+@query(f"with {GREEDY_SQL} select * from chosen")
 def greedy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.greedy(duplicates.spans(tokens(spark, sf_dir)))
+    return duplicates.chosen(tokens(spark, sf_dir))
 
 
-@query()
+@query(f'with {GREEDY_SQL}, summed as (select repo_id, "left", "right", sum(length)::bigint as tokens from chosen group by all) select * from summed qualify row_number() over (partition by repo_id order by "left", "right") <= 20')
 def dup_pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.pair_summary(greedy_duplicates(spark, sf_dir))
 
@@ -638,7 +651,8 @@ def keep_last_good(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_good(old, new).select("repo_id", "report")
 
 
-@query()
+@query(f"""with {GREEDY_SQL}, total as (select repo_id, sum(len(tokens))::bigint as duplicate_total from files group by repo_id), used as (select repo_id, 2 * sum(length)::bigint as n from chosen group by repo_id)
+select repo_id, duplicate_total, coalesce(n, 0)::bigint as duplicate_tokens, case when duplicate_total > 0 then coalesce(n, 0) / duplicate_total::double else 0 end as duplicate_ratio from total left join used using (repo_id)""")
 def duplicate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokens(spark, sf_dir)
-    return duplicates.ratio(files, duplicates.greedy(duplicates.spans(files)))
+    return duplicates.ratio(files, duplicates.chosen(files))
