@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..functions import static as st
+from ..sources.folders import saved, scratch
 
 
 def join_path(folder: Column, relative: Column) -> Column:
@@ -80,38 +78,72 @@ def edges(imports: DataFrame, files: DataFrame, submodules: DataFrame | None = N
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Checkpoints need a folder that all executors share; local runs get one of this machine."""
     if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
 
 
-def cycles(graph: DataFrame, rounds: int = 60) -> DataFrame:
-    """(repo_id, component, members, size) of strongly connected components of two or more.
+def _spread(graph: DataFrame, rounds: int) -> DataFrame:
+    """(repo_id, node, f, b): the least label that reaches each node, and the least that it reaches, over edges (repo_id, u, v) of hashed nodes.
 
-    Nodes without a way in or out are trimmed first, again and again, which empties
-    acyclic graphs; what is left is closed by doubling of paths. Each round is
-    checkpointed, so lineage doesn't grow.
+    Each node also points at a node that reaches it, at first a neighbour. A round takes
+    the least label of the neighbours, of the node pointed at and of the label's own
+    node, and then points where the node pointed at points: pointers double their way
+    each round, so a path of any length takes rounds by its logarithm. Pointers that
+    have run into a dead end, as where a path enters a ring, are set anew after so many
+    rounds, at the neighbour with the least label. Labels are the nodes' hashes, in no
+    order along a path. Rounds end when no label changes.
     """
-    core = graph.select("repo_id", "src", "dst").where("src <> dst").distinct()
-    ensure_checkpoints(graph.sparkSession)
-    size = core.count()
-    for _ in range(rounds):
-        heads, tails = core.select("repo_id", F.col("dst").alias("src")).distinct(), core.select("repo_id", F.col("src").alias("dst")).distinct()
-        core = core.join(heads, ["repo_id", "src"], "left_semi").join(tails, ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst").checkpoint()
-        left = core.count()
-        if left == size:
+    both = graph.select("repo_id", F.lit(0).alias("way"), "u", "v").unionByName(graph.select("repo_id", F.lit(1).alias("way"), F.col("v").alias("u"), F.col("u").alias("v")))
+    both = saved(both, "cycle-edges")
+    on = ["repo_id", "way"]
+    nodes = both.select(*on, F.col("u").alias("node"), F.lit(None).cast("long").alias("u")).unionByName(both.select(*on, F.col("v").alias("node"), "u"))
+    nodes = nodes.groupBy(*on, "node").agg(F.min("u").alias("at"))
+    labels = saved(nodes.select(*on, "node", F.col("node").alias("label"), F.coalesce("at", "node").alias("at")), "labels")
+    phase = labels.count().bit_length() + 1
+    for turn in range(1, rounds + 1):
+        step = both.join(labels.select(*on, F.col("node").alias("u"), "label"), [*on, "u"]).select(*on, F.col("v").alias("node"), "label", "u")
+        nothing = F.lit(None).cast("long")
+        least = labels.select(*on, "node", "label", F.col("label").alias("old"), "at", nothing.alias("u")).unionByName(step.withColumn("old", nothing).withColumn("at", nothing))
+        at = F.coalesce(F.min_by("u", F.when(F.col("u").isNotNull(), F.col("label"))), F.max("at")) if turn % phase == 0 else F.max("at")
+        least = least.groupBy(*on, "node").agg(F.min("label").alias("label"), F.max("old").alias("old"), at.alias("at"))
+        by_label = labels.select(*on, F.col("node").alias("label"), F.col("label").alias("beyond"))
+        by_pointer = labels.select(*on, F.col("node").alias("at"), F.col("label").alias("there"), F.col("at").alias("next"))
+        new = least.join(by_label, [*on, "label"]).join(by_pointer, [*on, "at"])
+        new = saved(new.select(*on, "node", F.least("label", "beyond", "there").alias("label"), F.col("at" if turn % phase == 0 else "next").alias("at"), "old"), "labels")
+        labels = new.drop("old")
+        if new.where("label <> old").isEmpty():
             break
-        size = left
-    reach = core
-    for _ in range(rounds):
-        a, b = reach.select("repo_id", "src", F.col("dst").alias("via")), reach.select("repo_id", F.col("src").alias("via"), "dst")
-        reach = reach.unionByName(a.join(b, ["repo_id", "via"]).select("repo_id", "src", "dst")).distinct().checkpoint()
-        now = reach.count()
-        if now == size:
+    else:
+        raise RuntimeError("labels did not settle")
+    pick = lambda way: F.min(F.when(F.col("way") == way, F.col("label")))
+    return labels.groupBy("repo_id", "node").agg(pick(0).alias("f"), pick(1).alias("b"))
+
+
+def cycles(graph: DataFrame, rounds: int = 60) -> DataFrame:
+    """(repo_id, component, members, size, place) of strongly connected components of two or more.
+
+    Nodes whose least label forwards and backwards is the same are a component with
+    the node of that label. Nodes of one component have both labels in common, so only
+    edges between nodes with equal labels go on, under new labels, until none is left;
+    acyclic parts fall apart in the first turn. place: larger components first, then by
+    their members' paths; members go by lower case, then as they are.
+    """
+    spark = graph.sparkSession
+    edges = saved(graph.select("repo_id", "src", "dst").where("src <> dst").distinct(), "cycle-graph")
+    found = spark.createDataFrame([], f"repo_id {dict(graph.dtypes)['repo_id']}, node string, component string")
+    for turn in range(rounds):
+        if edges.isEmpty():
             break
-        size = now
-    back = reach.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["repo_id", "src", "dst"]).where("src <> dst")
-    of = mutual.groupBy("repo_id", "src").agg(F.least(F.min("dst"), F.first("src")).alias("component"))
-    out = of.groupBy("repo_id", "component").agg(F.array_sort(F.collect_list("src")).alias("members"))
-    return out.withColumn("size", F.size("members"))
+        code = lambda c: F.xxhash64(F.lit(turn), "repo_id", c)  # noqa: E731, B023
+        marks = _spread(edges.select("repo_id", code("src").alias("u"), code("dst").alias("v")), rounds)
+        names = edges.select("repo_id", F.col("src").alias("node")).unionByName(edges.select("repo_id", F.col("dst").alias("node"))).distinct()
+        marks = saved(names.select("repo_id", F.col("node").alias("name"), code("node").alias("node")).join(marks, ["repo_id", "node"]), "marks")
+        whole = marks.where("f = b").select("repo_id", F.col("name").alias("node"), F.concat(F.lit(f"{turn}:"), F.col("f")).alias("component"))
+        found = found.unionByName(whole)
+        side = lambda c: marks.where("f <> b").select("repo_id", F.col("name").alias(c), F.struct("f", "b").alias(f"{c}_mark"))  # noqa: E731, B023
+        edges = saved(edges.join(side("src"), ["repo_id", "src"]).join(side("dst"), ["repo_id", "dst"]).where("src_mark = dst_mark").select("repo_id", "src", "dst"), "cycle-graph")
+    else:
+        raise RuntimeError("components did not settle")
+    order = F.struct(F.lower("node").alias("low"), "node")
+    out = found.groupBy("repo_id", "component").agg(F.array_sort(F.collect_list(order)).alias("own"), F.min("node").alias("least")).where(F.size("own") > 1)
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.size("own").desc(), "own"))
+    return out.select("repo_id", F.col("least").alias("component"), F.col("own.node").alias("members"), F.size("own").alias("size"), place.alias("place"))

@@ -408,7 +408,7 @@ def import_resolve_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with recursive {IMPORTS_SQL}, reach as (select repo_id, src, dst from edges union select r.repo_id, r.src, e.dst from reach r join edges e on e.repo_id = r.repo_id and e.src = r.dst),
 mutual as (select r.repo_id, r.src, least(min(r.dst), r.src) as component from reach r join reach b on r.repo_id = b.repo_id and r.src = b.dst and r.dst = b.src where r.src <> r.dst group by r.repo_id, r.src)
-select repo_id, component, count(*)::int as size, array_to_string(list_sort(list(src)), ',') as members from mutual group by repo_id, component""")
+select repo_id, component, count(*)::int as size, array_to_string(list_sort(list(src)), ',') as members, (row_number() over (partition by repo_id order by count(*) desc, list_sort(list(src))))::int as place from mutual group by repo_id, component""")
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = imports.cycles(imports.edges(*import_rows(spark, sf_dir)))
     return out.withColumn("members", F.array_join("members", ","))
