@@ -42,6 +42,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BATCH_BYTES = 1 << 20
 KEPT_CHUNKS = 100_000
+#: Parts after which freed memory goes back to the system.
+TRIMMED = 4
 KEPT_PAIRS = 100_000
 LONG = 400
 MAX_MODEL_BYTES = 64 << 20
@@ -523,7 +525,9 @@ def load(path: str = DEFAULT_MODEL) -> bytes:
 def _run_encode(held, column: int, keep: list[int], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = compiled(held.value)
-        for part in tx.slices(batches, column, BATCH_BYTES):
+        for n, part in enumerate(tx.slices(batches, column, BATCH_BYTES)):
+            if n % TRIMMED == 0:
+                tx.release()
             ids, ends = model.encode(part.column(column))
             data, offsets = tx.utf8(part.column(column))
             back, at = model.decode(ids, ends)
