@@ -40,7 +40,7 @@ SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 KEPT_CHUNKS = 100_000
 #: Parts after which freed memory goes back to the system.
 TRIMMED = 4
