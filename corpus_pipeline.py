@@ -15,22 +15,26 @@ from oreline.llm.shared import saved, small_batches
 
 NEAR_SHINGLE = 5
 NEAR_PERCENT = 80
+#: Texts of an Arrow batch: workers of several stages live side by side in an executor.
+BATCH_ROWS = 500
 
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark, BATCH_ROWS)
     model = quality.fit(docs, may_learn(table(spark, sf_dir, "labels")))
     return quality.keep_accepted(docs, model)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: texts that share 80 % of their runs of five words."""
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS)
     return jaccard.keep_one(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
+    small_batches(spark, BATCH_ROWS)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,7 +46,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document."""
-    small_batches(spark)
+    small_batches(spark, BATCH_ROWS)
     return sentencepiece_fst.encode_column(docs)
 
 
