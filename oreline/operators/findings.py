@@ -10,6 +10,12 @@ from ..functions import static as st
 MAX_STRENGTHS, PER_DIMENSION, MAX_REFERENCES = 5, 2, 20
 
 
+def concrete(args: Column, references: Column | None = None) -> Column:
+    """Whether evidence says anything: an argument or a reference."""
+    has = F.coalesce(F.size(args) > 0, F.lit(False))
+    return has if references is None else has | F.coalesce(F.size(references) > 0, F.lit(False))
+
+
 def rank_of(rule: Column) -> Column:
     """Place of a rule id in English collation, as a literal map."""
     pairs = [F.lit(x) for item in st.english_rank().items() for x in item]

@@ -16,6 +16,22 @@ def fill(template: Column, args: Column) -> Column:
     return F.aggregate(F.map_entries(args), template, lambda t, e: F.replace(t, pair(e), e["value"]))
 
 
+def shown(args: Column) -> Column:
+    """Typed arguments as the texts that templates take: flags in words, whole numbers without a fraction."""
+    def text(_: Column, v: Column) -> Column:
+        whole = (F.abs(v["number"]) < 1e15) & (v["number"] == F.floor(v["number"]))
+        return F.coalesce(v["flag"].cast("string"), F.when(whole, v["number"].cast("long").cast("string")).otherwise(v["number"].cast("string")))
+
+    return F.transform_values(args, text)
+
+
+def evidence(rows: DataFrame, catalog: DataFrame, lang: Column) -> DataFrame:
+    """rows (rule_id, args) with `evidence` and `action`, the messages of the rule's keys filled with what it saw."""
+    told = localized(rows.withColumn("said", shown(F.col("args"))).withColumnRenamed("args", "typed").withColumnRenamed("said", "args").withColumn("key", F.concat(F.lit("evidence."), F.col("rule_id"))), catalog, lang)
+    told = told.withColumnRenamed("message", "evidence").drop("lang").withColumn("key", F.concat(F.lit("recommendation."), F.col("rule_id")))
+    return localized(told, catalog, lang).withColumnRenamed("message", "action").drop("lang", "key", "args").withColumnRenamed("typed", "args")
+
+
 def messages(spark: SparkSession, catalog: dict[str, dict[str, str]]) -> DataFrame:
     """(lang, key, template) of {lang: {key: template}}; a small fixed table."""
     return spark.createDataFrame([(lang, k, t) for lang, texts in catalog.items() for k, t in texts.items()], "lang string, key string, template string")
@@ -106,12 +122,16 @@ def dimension_rows(repositories: DataFrame, dimensions: DataFrame, order: tuple[
     return found.select("repo_id", "dimension", F.coalesce(F.col("score").cast("string"), F.lit("unavailable")).alias("shown"))
 
 
-def reports(overall: DataFrame, dimensions: DataFrame, results: DataFrame, strengths: DataFrame, weaknesses: DataFrame) -> DataFrame:
-    """One nested row for each repository; lists of a repository are bounded by the ruleset."""
+def reports(overall: DataFrame, dimensions: DataFrame, results: DataFrame, strengths: DataFrame, weaknesses: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """One nested row for each repository; lists of a repository are bounded by the ruleset. Rules with args have them as entries, in order of name; coverage becomes a struct."""
+    if "args" in results.columns:
+        results = results.withColumn("args", F.array_sort(F.map_entries("args")))
     def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
         return df.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
     out = overall
-    for part in (listed(dimensions, "dimensions", "dimension", "earned", "available", "score"), listed(results, "rules", "ordinal", "rule_id", "state", "earned", "available"), listed(strengths, "strengths", "rank", "rule_id"), listed(weaknesses, "weaknesses", "rank", "rule_id", "severity", "lost")):
+    for part in (listed(dimensions, "dimensions", "dimension", "earned", "available", "score"), listed(results, "rules", "ordinal", "rule_id", "dimension", "state", "earned", "available", *(c for c in ("args",) if c in results.columns)), listed(strengths, "strengths", "rank", "rule_id"), listed(weaknesses, "weaknesses", "rank", "rule_id", "severity", "lost")):
         out = out.join(part, "repo_id", "left")
+    if coverage is not None:
+        out = out.join(coverage.select("repo_id", F.struct(*(c for c in coverage.columns if c != "repo_id")).alias("coverage")), "repo_id", "left")
     return out

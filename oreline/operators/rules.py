@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,34 @@ def elapsed_days(analyzed_at: Column, pushed_at: Column) -> Column:
     return F.coalesce(days, F.lit(float(st.SAFE_INTEGER)))
 
 
-def rule_results(metrics: DataFrame) -> DataFrame:
-    """(repo_id, rule_id, dimension, ordinal, state, earned, available): 39 rows for each metric row, without a join.
+ARGUMENTS = "map<string,struct<flag:boolean,number:double>>"
+
+
+def columns_of(rule: tuple) -> list[str]:
+    """The metric columns that a rule's conditions name, in order."""
+    words = re.findall(r"[a-z_][a-z0-9_]*", " ".join(str(part) for k, part in enumerate(rule) if k in (2, 3, 5, 6)))
+    return [w for w in dict.fromkeys(words) if w not in ("and", "or", "not", "case", "when", "then", "else", "end", "cast", "as", "double", "abs", "true", "false", "least")]
+
+
+def arguments(metrics: DataFrame, rule: tuple) -> Column:
+    """What a rule saw, as a typed map: flags and finite numbers of its metric columns; others are left out."""
+    kinds = dict(metrics.dtypes)
+    pairs = []
+    for c in columns_of(rule):
+        if kinds.get(c) == "boolean":
+            flag, number = F.col(c), F.lit(None).cast("double")
+        elif c in kinds:
+            value = F.col(c).cast("double")
+            flag, number = F.lit(None).cast("boolean"), F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+        else:
+            continue
+        pairs.append(F.struct(F.lit(c).alias("key"), F.struct(flag.alias("flag"), number.alias("number")).alias("value")))
+    some = F.filter(F.array(*pairs), lambda p: p["value"]["flag"].isNotNull() | p["value"]["number"].isNotNull())
+    return F.map_from_entries(some).cast(ARGUMENTS)
+
+
+def rule_results(metrics: DataFrame, with_arguments: bool = False) -> DataFrame:
+    """(repo_id, rule_id, dimension, ordinal, state, earned, available): 39 rows for each metric row, without a join; with_arguments adds `args`, what each rule saw.
 
     A rule that doesn't apply is worth nothing; invalid numbers fail it.
     """
@@ -68,11 +96,11 @@ def rule_results(metrics: DataFrame) -> DataFrame:
     rows = []
     for k, (rule, points, passed, partial, worth, applies, valid) in enumerate(st.RULES):
         state = F.when(~yes(applies), "not-applicable").when(~yes(valid), "failed").when(yes(passed), "passed").when(yes(partial), "partial").otherwise("failed")
-        rows.append(F.struct(F.lit(rule).alias("rule_id"), F.lit(rule.split(".")[0]).alias("dimension"), F.lit(k).alias("ordinal"), F.lit(points).alias("points"), F.lit(worth).alias("worth"), state.alias("state")))
+        rows.append(F.struct(F.lit(rule).alias("rule_id"), F.lit(rule.split(".")[0]).alias("dimension"), F.lit(k).alias("ordinal"), F.lit(points).alias("points"), F.lit(worth).alias("worth"), state.alias("state"), *([arguments(metrics, st.RULES[k]).alias("args")] if with_arguments else [])))
     out = metrics.select("repo_id", F.explode(F.array(*rows)).alias("r")).select("repo_id", "r.*")
     earned = F.when(F.col("state") == "passed", F.col("points")).when(F.col("state") == "partial", F.col("worth")).otherwise(0)
     available = F.when(F.col("state") == "not-applicable", 0).otherwise(F.col("points"))
-    return out.select("repo_id", "rule_id", "dimension", "ordinal", "state", earned.alias("earned"), available.alias("available"))
+    return out.select("repo_id", "rule_id", "dimension", "ordinal", "state", earned.alias("earned"), available.alias("available"), *(["args"] if with_arguments else []))
 
 
 def dimensions(rules: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions.markdown import markdown_evidence
-from ..operators import brief, duplicates, findings, general, imports, python_code, report, rules, script_code, select, tree
+from ..operators import brief, coverage, duplicates, findings, general, imports, python_code, report, rules, script_code, select, tree
 
 
 @dataclass
@@ -32,10 +33,11 @@ class Analysis:
     excerpts: DataFrame
     kinds: DataFrame
     cautions: DataFrame
+    coverage: DataFrame
 
     def reports(self) -> DataFrame:
         top = self.overall.join(self.confidence, "repo_id").withColumn("preliminary", F.col("general_only") | (F.col("confidence") == "low"))
-        return report.reports(top, self.dimensions, self.rules, self.strengths, self.weaknesses)
+        return report.reports(top, self.dimensions, self.rules, self.strengths, self.weaknesses, self.coverage)
 
 
 def _flags(df: DataFrame, *names: str) -> list[Column]:
@@ -44,12 +46,14 @@ def _flags(df: DataFrame, *names: str) -> list[Column]:
 
 def analyze(repositories: DataFrame, files: DataFrame, texts: DataFrame, analyzed_at: Column) -> Analysis:
     imports.ensure_checkpoints(repositories.sparkSession)
-    listed, _, _ = tree.normalize(files)
-    listed, _ = tree.safe_only(listed)
+    listed, tree_skips, _ = tree.normalize(files)
+    listed, unsafe = tree.safe_only(listed)
     listed = listed.checkpoint()
     selection = select.select(tree.classified(listed)).checkpoint()
     fetched = texts.join(selection.where("selected").select("repo_id", "path", "is_test", "deep", "language"), ["repo_id", "path"])
-    code = python_code.analyze_files(fetched).unionByName(script_code.analyze_files(fetched)).where("parsed")
+    read = python_code.analyze_files(fetched).unionByName(script_code.analyze_files(fetched))
+    unread = read.where("not parsed").select("repo_id", "path", F.lit("parse").alias("stage"), F.lit("syntax").alias("reason"))
+    code = read.where("parsed")
     code = code.join(fetched.select("repo_id", "path", "is_test"), ["repo_id", "path"]).checkpoint()
 
     per_file = rules.file_metrics(code)
@@ -69,7 +73,7 @@ def analyze(repositories: DataFrame, files: DataFrame, texts: DataFrame, analyze
     readmes = general.preferred_readme(fetched)
     marks = readmes.select("repo_id", markdown_evidence("text").alias("m")).select("repo_id", "m.*")
     commands = general.command_facts(marks.select("repo_id", F.explode("invocations").alias("command")))
-    areas = selection.where("eligible and language <> 'none' and path like '%/%'").select("repo_id", F.lower(F.split("path", "/")[0]).alias("folder")).distinct()
+    areas = listed.where(~paths.is_excluded(F.col("path")) & F.col("path").contains("/")).select("repo_id", F.lower(F.split("path", "/")[0]).alias("folder")).distinct()
     named = general.mentioned_areas(areas, readmes)
 
     wide = repositories.select("repo_id", "archived", rules.elapsed_days(analyzed_at, F.col("pushed_at")).alias("elapsed_days"), general.license_detected(F.col("license")).alias("license_metadata"))
@@ -91,14 +95,14 @@ def analyze(repositories: DataFrame, files: DataFrame, texts: DataFrame, analyze
     )
     metrics = metrics.withColumn("check_structured", either("check_structured", "check_configured")).withColumn("test_configuration", either("test_configuration", "test_configuration_structured"))
     metrics = metrics.checkpoint()
-    results = rules.rule_results(metrics).checkpoint()
+    results = rules.rule_results(metrics, with_arguments=True).checkpoint()
     dims = rules.dimensions(results).checkpoint()
-    totals = select.stats(selection)
-    parsed = code.join(texts.select("repo_id", "path", F.octet_length("text").alias("bytes")), ["repo_id", "path"]).groupBy("repo_id").agg(F.sum("bytes").alias("parsed_bytes"))
-    got = fetched.groupBy("repo_id").agg(F.sum(F.octet_length("text")).alias("fetched_bytes"))
-    coverage = repositories.select("repo_id", "tree_complete").join(totals, "repo_id", "left").join(parsed, "repo_id", "left").join(got, "repo_id", "left")
+    size = F.octet_length("text").cast("long").alias("bytes")
+    parsed = code.select("repo_id", "path").join(texts.select("repo_id", "path", size), ["repo_id", "path"])
+    covered = coverage.assemble(repositories, selection, tree_skips, unsafe, fetched.select("repo_id", "path", size), parsed, unread).checkpoint()
+    fine = findings.concrete(F.col("args"))
     excerpts = brief.excerpts(repositories, readmes)
     kinds = brief.kinds(fetched, listed, repositories, metrics.select("repo_id", "entry_conventional", "has_readme", "source_count"))
     told = metrics.join(excerpts.select("repo_id").distinct().withColumn("told", F.lit(True)), "repo_id", "left")
     cautions = told.select("repo_id", brief.cautions(F.col("archived"), F.coalesce("told", F.lit(False)), either("has_license_file", "license_metadata"), either("entry_structured", "entry_conventional")).alias("cautions"))
-    return Analysis(selection, metrics, results, dims, rules.overall(dims), rules.confidence(coverage), findings.strengths(results), findings.weaknesses(results), excerpts, kinds, cautions)
+    return Analysis(selection, metrics, results, dims, rules.overall(dims), rules.confidence(covered), findings.strengths(results, fine), findings.weaknesses(results, fine), excerpts, kinds, cautions, covered)

@@ -574,6 +574,24 @@ def latest_run_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(spark.read.parquet(f"{out}/rows").drop("batch")).select("repo_id", "request_id", "event", "value")
 
 
+STATE_TTL_MS, STATE_BYTES = 6 * 3_600_000, 16
+
+
+@query(f"""with e as (select event_id, user_id, epoch_ms(ts) as ms, event_type in ('purchase', 'signup') as put, strlen(props || event_type) <= {STATE_BYTES} as fits from events),
+known as (select *, last_value(case when put then {{'ms': ms, 'fits': fits}} end ignore nulls) over (partition by user_id order by ms, event_id rows between unbounded preceding and current row) as entry from e)
+select event_id, case when put then case when fits then 'saved' else 'refused' end when entry is not null and entry.fits and ms - entry.ms <= {STATE_TTL_MS} then 'hit' else 'miss' end as outcome from known""")
+def cache_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports saved and asked for over the events table as a stream, through keyed state with timers."""
+    from ..sources.folders import scratch
+    from ..streaming import state
+
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    order = F.unix_millis(F.col("ts").cast("timestamp")) * 1_000_000 + F.col("event_id")  # requests come in order of time here
+    rows = stream.select(F.col("user_id").cast("string").alias("repo_id"), order.alias("request_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type").isin("purchase", "signup"), state.PUT).otherwise(state.GET).alias("kind"), F.concat("props", "event_type").alias("report"))
+    out = state.run_once(spark, state.keyed(rows, state.CachedReports(STATE_TTL_MS, STATE_BYTES)), scratch(spark, "state"))
+    return out.where(F.col("outcome") != state.EXPIRED).select((F.col("request_id") % 1_000_000).alias("event_id"), "outcome")
+
+
 @query("""with p as (select doc_id, case doc_id % 7 when 0 then '/' when 1 then '../' when 2 then './' when 3 then '' when 4 then 'a//' when 5 then 'a\\' else 'x/../' end || 'f' || doc_id || repeat('y', (doc_id % 1200)::int) as path from documents)
 select doc_id, doc_id % 7 = 3 as safe, doc_id % 7 = 3 and length(path) <= 1024 as brief_safe from p""")
 def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
