@@ -91,49 +91,92 @@ def documented(node: ast.AST) -> bool:
 
 
 class Bindings(ast.NodeVisitor):
-    """Declared names: parameters everywhere; assignments, loops, imports and the like within functions; imports and loops anywhere."""
+    """Declared names: functions, classes, parameters and imports anywhere, comprehension targets anywhere, other targets inside functions and lambdas only.
+
+    A function's own global and nonlocal names aren't its names; those of classes,
+    lambdas and functions inside it are another matter. What stands in a signature
+    belongs to the scope around it.
+    """
 
     def __init__(self) -> None:
         self.names: list[str] = []
-        self.inside = 0
-        self.outer: list[set[str]] = [set()]
+        self.scopes: list[set[str] | None] = [None]  # names that aren't local; None where nothing is
+
+    def add(self, name: str) -> None:
+        if self.scopes[-1] is not None and name not in self.scopes[-1]:
+            self.names.append(name)
+
+    def _signature(self, a: ast.arguments) -> None:
+        own = (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))
+        self.names += [x.arg for x in own]
+        for part in (*(x.annotation for x in own), *a.defaults, *a.kw_defaults):
+            if part is not None:
+                self.visit(part)
+
+    def _inside(self, scope: set[str] | None, nodes: list) -> None:
+        self.scopes.append(scope)
+        for n in nodes:
+            self.visit(n)
+        self.scopes.pop()
 
     def visit_FunctionDef(self, node) -> None:
-        a = node.args
-        self.names += [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))]
-        self.inside += 1
-        self.outer.append({n for s in ast.walk(node) if isinstance(s, (ast.Global, ast.Nonlocal)) for n in s.names})
-        self.generic_visit(node)
-        self.outer.pop()
-        self.inside -= 1
+        self.names.append(node.name)
+        for part in (*node.decorator_list, *filter(None, (node.returns,))):
+            self.visit(part)
+        self._signature(node.args)
+        own, todo = set(), list(node.body)
+        while todo:
+            s = todo.pop()
+            if isinstance(s, (ast.Global, ast.Nonlocal)):
+                own.update(s.names)
+            elif not isinstance(s, (*FUNCTIONS, ast.ClassDef, ast.Lambda)):
+                todo += ast.iter_child_nodes(s)
+        self._inside(own, node.body)
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
     def visit_Lambda(self, node) -> None:
-        a = node.args
-        self.names += [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))]
-        self.generic_visit(node)
+        self._signature(node.args)
+        self._inside(set(), [node.body])
 
     def visit_ClassDef(self, node) -> None:
-        inside, self.inside = self.inside, 0
-        self.generic_visit(node)
-        self.inside = inside
+        self.names.append(node.name)
+        for part in (*node.decorator_list, *node.bases, *node.keywords):
+            self.visit(part)
+        self._inside(None, node.body)
 
     def visit_Name(self, node) -> None:
-        if isinstance(node.ctx, ast.Store) and self.inside and node.id not in self.outer[-1]:
-            self.names.append(node.id)
+        if isinstance(node.ctx, ast.Store):
+            self.add(node.id)
+
+    def visit_AugAssign(self, node) -> None:
+        self.visit(node.value)
+
+    def visit_TypeAlias(self, node) -> None:
+        pass
+
+    def visit_comprehension(self, node) -> None:
+        self.names += [n.id for n in ast.walk(node.target) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)]
+        for part in (node.iter, *node.ifs):
+            self.visit(part)
 
     def visit_MatchAs(self, node) -> None:
-        name = node.rest if isinstance(node, ast.MatchMapping) else node.name
-        if name and self.inside and name not in self.outer[-1]:
-            self.names.append(name)
+        if node.pattern is None and node.name:
+            self.add(node.name)
         self.generic_visit(node)
 
-    visit_MatchStar = visit_MatchMapping = visit_MatchAs
+    def visit_MatchStar(self, node) -> None:
+        if node.name:
+            self.add(node.name)
+
+    def visit_MatchMapping(self, node) -> None:
+        if node.rest:
+            self.add(node.rest)
+        self.generic_visit(node)
 
     def visit_ExceptHandler(self, node) -> None:
         if node.name:
-            self.names.append(node.name)
+            self.add(node.name)
         self.generic_visit(node)
 
     def visit_Import(self, node) -> None:

@@ -151,7 +151,7 @@ class Script:
                 out.append((self.given(start - (self.at(start - 1) == "async")), start, i + 1, end))
             elif word == "(" and kind == "op" and i and (self.t[i - 1][0] in ("name", "string") or self.at(i - 1) == "]"):
                 name, before = self.t[i - 1][1], self.at(i - 2)
-                if name in HEADED or name in ("function", "super", "return", "typeof", "await", "import") or before in ("function", ".", "new", "?.", "=>", "=", "return") or before == "*" and self.at(i - 3) == "function":
+                if name in HEADED and not self.in_class(i - 1) or name in ("function", "super", "return", "typeof", "await", "import") or before in ("function", ".", "new", "?.", "=>", "=", "return") or before == "*" and self.at(i - 3) == "function":
                     continue
                 if before not in ("{", "}", ";", ",", "async", "static", "get", "set", "*", "public", "private", "protected", "override", "readonly", "abstract", "]", ")", "") and self.t[i - 1][2] == self.t[i - 2][3]:
                     continue
@@ -243,39 +243,71 @@ class Script:
             return False
         return self.at(self.pair[i - 1] - 1) == "do"
 
+    def declares(self, i: int, last: int) -> bool:
+        """Whether another declarator begins at i, after a comma."""
+        if i > last or not (self.t[i][0] == "name" or self.at(i) in ("{", "[")):
+            return False
+        after = (self.pair[i] if self.pair[i] > i else i) + 1
+        return after > last or self.at(after) in ("=", ":", ",", ";", "!")
+
+    def in_class(self, i: int) -> bool:
+        """Whether the innermost braces around i are a class's."""
+        while i >= 0 and not (self.at(i) == "{" and self.pair[i] > i):
+            i = self.pair[i] - 1 if self.at(i) in PAIRS and self.pair[i] >= 0 else i - 1
+        j = i - 1
+        while j >= 0 and self.at(j) not in ("{", "}", ";", ")", "=>"):
+            if self.at(j) == "class":
+                return True
+            j -= 1
+        return False
+
     def names(self) -> list[str]:
-        """Declared names: variables and their patterns, functions, classes, parameters, imports, catch bindings."""
+        """Declared names: variables and their patterns, functions, methods, classes, parameters, imports, catch bindings."""
         out = []
 
         def pattern(a: int, b: int) -> None:
             skip = 0
+            braces: list[bool] = []  # whether they are a pattern's; others are a type's or a value's
             for j in range(a, b):
                 word = self.at(j)
-                if word in ("=", ":") and not skip:
+                renamed = self.at(j - 1) == ":" and self.at(j + 1) in ("}", ",", "=") and bool(braces) and braces[-1]
+                if word == "{":
+                    braces.append(not skip or self.at(j - 1) == ":" and bool(braces) and braces[-1])
+                elif word == "}" and braces:
+                    braces.pop()
+                elif word in ("=", ":") and not skip:
                     skip = 1
                 elif word == ",":
                     skip = 0
-                if self.t[j][0] == "name" and word not in RESERVED and not skip and self.at(j + 1) != ":" or self.t[j][0] == "name" and self.at(j - 1) == ":" and self.at(j + 1) in ("}", ",") and self.at(a - 1) in ("const", "let", "var"):
+                if self.t[j][0] == "name" and word not in RESERVED and (renamed or not skip and self.at(j + 1) != ":" or not skip and not braces and self.at(j + 1) == ":"):
                     out.append(word)
 
         for i, (kind, word, *_) in enumerate(self.t):
             if kind != "name":
                 continue
             if word in ("const", "let", "var"):
+                last = self.end_of(i)
                 j = i + 1
-                stop = self.pair[j] + 1 if self.pair[j] > j else j + 1
-                pattern(j, stop)
+                while j <= last:  # a declarator each
+                    stop = self.pair[j] + 1 if self.pair[j] > j else j + 1
+                    pattern(j, stop)
+                    j = stop
+                    while j <= last and not (self.at(j) == "," and self.declares(j + 1, last)):
+                        j = self.pair[j] + 1 if self.pair[j] > j else j + 1
+                    j += 1
             elif word in ("function", "class") and i + 1 < len(self.t) and self.t[i + 1][0] == "name" and self.at(i + 1) != "extends":
                 out.append(self.at(i + 1))
             elif word == "catch" and self.at(i + 1) == "(":
                 pattern(i + 2, self.pair[i + 1])
-            elif word == "import" and self.at(i + 1) not in ("(", ".", "type"):
-                j = i + 1
-                while j < len(self.t) and self.at(j) != "from" and self.t[j][0] != "string":
+            elif word == "import" and self.at(i + 1) not in ("(", "."):
+                j = i + 1 + (self.at(i + 1) == "type" and self.at(i + 2) not in ("from", "=", ","))
+                while j < len(self.t) and self.at(j) not in ("from", "=", ";") and self.t[j][0] != "string":
                     if self.t[j][0] == "name" and self.at(j + 1) != "as" and self.at(j) not in ("as", "type"):
                         out.append(self.at(j))
                     j += 1
         for _, first, start, _ in self.functions:
+            if self.t[first][0] == "name" and self.at(first) != "function" and self.at(first + 1) in ("(", "<") and self.at(first - 1) != "function":
+                out.append(self.at(first))  # a method's
             j = next((k for k in range(first, start) if self.at(k) == "("), None)
             if j is not None and self.pair[j] > j:
                 pattern(j + 1, self.pair[j])

@@ -317,8 +317,8 @@ def purpose_cases(rows: DataFrame) -> DataFrame:
 
 #: Python texts and (parsed, identifiers, ambiguous, exported, documented, defined, tokens).
 PYTHON = [
-    ('def f(a, xx):\n    """Doc."""\n    b = a\n    return b\n', (Y, 3, 3, 1, 1, "f", 14)), ("class C:\n    def m(self):\n        pass\n    def _p(self):\n        pass\n", (Y, 2, 0, 2, 0, "C", 17)), ("def (:", (N, 0, 0, 0, 0, "", 0)),
-    ("import os\nfor i in os.x:\n    y1 = f'{i}'\nelse:\n    z = 1\n", (Y, 1, 0, 0, 0, "os|z", 18)), ("try:\n    a = 1\nexcept E as e:\n    a = 2\nfinally:\n    c = 3\n", (Y, 1, 1, 0, 0, "a|c", 18)), ("def g(v):\n    match v:\n        case {'k': kk, **rest}:\n            return kk\n        case [first, *more] as whole:\n            return first\n", (Y, 6, 2, 1, 0, "g", 33)), ("", (Y, 0, 0, 0, 0, "", 0)),
+    ('def f(a, xx):\n    """Doc."""\n    b = a\n    return b\n', (Y, 4, 4, 1, 1, "f", 14)), ("class C:\n    def m(self):\n        pass\n    def _p(self):\n        pass\n", (Y, 5, 3, 2, 0, "C", 17)), ("def (:", (N, 0, 0, 0, 0, "", 0)),
+    ("import os\nfor i in os.x:\n    y1 = f'{i}'\nelse:\n    z = 1\n", (Y, 1, 0, 0, 0, "os|z", 18)), ("try:\n    a = 1\nexcept E as e:\n    a = 2\nfinally:\n    c = 3\n", (Y, 0, 0, 0, 0, "a|c", 18)), ("def g(v):\n    match v:\n        case {'k': kk, **rest}:\n            return kk\n        case [first, *more] as whole:\n            return first\n", (Y, 6, 3, 1, 0, "g", 33)), ("", (Y, 0, 0, 0, 0, "", 0)),
 ]
 
 
