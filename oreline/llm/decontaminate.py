@@ -221,11 +221,50 @@ def _windows(block: Block, win_lo: np.ndarray, win_hi: np.ndarray) -> tuple[np.n
     return rows[new, 0], rows[new, 1], rows[new, 2], of, sets
 
 
-def _search(column: pa.Array, each: list) -> tuple[Shard, np.ndarray, list[set[str]], np.ndarray]:
+class Items:
+    """Which items each document has, kept as numbers of item sets: windows that the same items hold share a set, so thousands of items of one passage are one number for each document."""
+
+    def __init__(self, n: int):
+        self.pool: list[tuple[list[str], np.ndarray]] = []  # a block's ids in order of text, and the set as places in them
+        self.of: list[tuple[int, ...]] = [()] * n
+
+    def add(self, ids: list[str], sets: list[np.ndarray], docs: np.ndarray, which: np.ndarray) -> None:
+        """Document docs[k] has sets[which[k]]; each pair is there once, documents ascend."""
+        first, ordered = len(self.pool), sorted(set(ids))
+        place = {name: k for k, name in enumerate(ordered)}
+        number = np.array([place[name] for name in ids], np.int64)
+        self.pool += [(ordered, np.unique(number[own])) for own in sets]
+        if len(docs):
+            cut = np.flatnonzero(np.diff(docs)) + 1
+            for d, own in zip(docs[np.concatenate(([0], cut))].tolist(), np.split(which, cut), strict=True):
+                self.of[d] += tuple((own + first).tolist())
+
+    def names(self, doc: int) -> list[str]:
+        """The document's item ids, in order of text."""
+        blocks: dict[int, tuple[list[str], list[np.ndarray]]] = {}
+        for k in self.of[doc]:
+            ids, own = self.pool[k]
+            blocks.setdefault(id(ids), (ids, []))[1].append(own)
+        lists = [[ids[i] for i in (own[0] if len(own) == 1 else np.unique(np.concatenate(own))).tolist()] for ids, own in blocks.values()]
+        return lists[0] if len(lists) == 1 else sorted(set().union(*lists))
+
+    def digests(self) -> tuple[np.ndarray, list[str]]:
+        """Number of items and digest of their ids for each document, made once for each different combination of sets."""
+        known: dict[tuple[int, ...], tuple[int, str]] = {}
+        out = []
+        for d, key in enumerate(self.of):
+            if (told := known.get(key)) is None:
+                names = self.names(d)
+                told = known[key] = (len(names), hashlib.sha256(",".join(names).encode()).hexdigest())
+            out.append(told)
+        return np.array([n for n, _ in out], np.int64), [h for _, h in out]
+
+
+def _search(column: pa.Array, each: list) -> tuple[Shard, np.ndarray, Items, np.ndarray]:
     """The shard, which of its words are hit, and each document's items and longest match."""
     shard = Shard(column)
     edge = np.zeros(shard.n + 1, np.int64)
-    items: list[set[str]] = [set() for _ in shard.counts]
+    items = Items(len(shard.counts))
     longest = np.zeros(len(shard.counts), np.int64)
     for held in each:
         block = held.value if hasattr(held, "value") else held
@@ -242,8 +281,7 @@ def _search(column: pa.Array, each: list) -> tuple[Shard, np.ndarray, list[set[s
         which, place = _spread(lo, hi)  # windows of one length don't share places
         if len(which):
             pairs = np.unique(shard.doc[word[place]] * len(sets) + of[which])
-            for d, k in zip(*np.divmod(pairs, len(sets)), strict=True):
-                items[d].update(block.ids[i] for i in sets[k])
+            items.add(block.ids, sets, *np.divmod(pairs, len(sets)))
         far = np.flatnonzero((deep >= block.need) & (at_hi > at_lo))
         best = covering(at_lo[far], at_hi[far], deep[far], len(order))
         at = np.flatnonzero(best)
@@ -254,9 +292,9 @@ def _search(column: pa.Array, each: list) -> tuple[Shard, np.ndarray, list[set[s
 def _judge(column: pa.Array, each: list) -> dict[str, np.ndarray | list]:
     shard, hit, items, longest = _search(column, each)
     n_hit = np.bincount(shard.doc[hit], minlength=len(shard.counts))
+    n_items, digests = items.digests()
     return {
-        "n_words": shard.counts.astype(np.int64), "n_hit": n_hit.astype(np.int64), "n_items": np.array([len(x) for x in items], np.int64),
-        "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items],
+        "n_words": shard.counts.astype(np.int64), "n_hit": n_hit.astype(np.int64), "n_items": n_items, "items_sha256": digests,
         "contaminated": (n_hit > 0) & (20 * n_hit >= shard.counts), "longest_match": longest,
     }
 
@@ -291,7 +329,7 @@ def _in_groups(rows: DataFrame, first: list, rest: Iterator[tuple[list, bool]])
                         places[shard.doc[a]].append({"a": int(a - start[shard.doc[a]]), "b": int(b - start[shard.doc[a]])})
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2), pa.array(shard.counts.astype(np.int64)), pa.array(places, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(longest),
+                    pa.array([items.names(d) for d in range(len(items.of))], pa.list_(pa.string())), pa.array(longest),
                 ], names=["doc_id", "mark", "n", "hits", "items", "longest"])
 
         marked = rows.withColumn("mark", F.sha2(F.coalesce("text", F.lit("")), 256))

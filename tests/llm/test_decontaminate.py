@@ -105,3 +105,22 @@ def test_longest_matches(spark):
     b = spark.createDataFrame([(5, "q " + body)], "item_id long, text string")
     top = dc.longest_matches(d, b).orderBy(F.desc("n_words")).first()
     assert (top.doc_id, top.item_id, top.item_word, top.doc_word, top.n_words) == (1, "5", 1, 2, 30)
+
+
+def test_many_documents_with_one_passage_of_many_items():
+    """4,000 documents share a passage of 40 words that 20,000 items hold."""
+    passage = " ".join(f"w{k}" for k in range(40))
+    items = [f"head{k} {passage} tail{k}" for k in range(20_000)]
+    docs = [f"{passage} own{k}" if k % 7 else f"own{k} {passage} tail{k}" for k in range(4_000)]
+    block = dc.Block([f"i{k}" for k in range(20_000)], items, 13)
+    tracemalloc.start()
+    began = time.time()
+    out = dc._judge(pa.array(docs), [block])
+    took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 60  # under the tracer, on a busy machine
+    assert peak < 1 << 30
+    assert set(out["n_items"].tolist()) == {20_000}
+    assert set(out["items_sha256"]) == {hashlib.sha256(",".join(sorted(block.ids)).encode()).hexdigest()}
+    assert out["contaminated"].all()
+    assert set(out["n_hit"].tolist()) == {40, 41}
