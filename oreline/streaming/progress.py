@@ -8,6 +8,7 @@ pass over the data is made for them.
 from __future__ import annotations
 
 import threading
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -33,6 +34,11 @@ class Progress:
         self.tell = tell
         self.totals: dict[str, tuple[int, int]] = {}
         self.lock = threading.Lock()
+        self.heard: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def settle(self, phase: str, seconds: float = 30) -> bool:
+        """Waits until something was told of a phase: a listener hears of a batch a little after its end."""
+        return self.heard[phase].wait(seconds)
 
     def add(self, phase: str, files: int, size: int) -> None:
         """files and bytes that a phase has done since it was last told."""
@@ -48,6 +54,7 @@ class Progress:
             self.steps.append(step)
         if self.tell is not None:
             self.tell(step)
+        self.heard[phase].set()
 
 
 def _measures(size: Column) -> list[Column]:

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from oreline.plans import cases  # noqa: F401
+from oreline.plans import cases, evidence  # noqa: F401
 from oreline.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
