@@ -51,7 +51,8 @@ def _buckets(spark: SparkSession, index: str) -> int:
 def append(index: str, delivered: DataFrame) -> None:
     """Adds the digests of (digest, doc_id) that the index lacks."""
     spark = delivered.sparkSession
-    groups = delivered.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+    # written first: Spark would move the anti-join below the aggregation where the index is small, and so deal all copies by digest
+    groups = saved(delivered.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "delivered")
     fresh = groups.join(spark.table(index).select("digest").hint("merge"), "digest", "left_anti")
     fresh.repartition(_buckets(spark, index), "digest").select("digest", "keep_id").write.mode("append").insertInto(index)
     spark.catalog.refreshTable(index)
@@ -71,7 +72,7 @@ def add(index: str, docs: DataFrame, id_column: str = "doc_id", text_column: str
     key, mark = "__digest", "__old"
     rows = docs.withColumn(key, digest(F.col(text_column)))
     delivered = saved(rows.select(F.col(key).alias("digest"), F.col(id_column).cast("bigint").alias("doc_id")), "delivery")
-    groups = delivered.groupBy("digest").agg(F.max("doc_id").alias("__keep")).withColumnRenamed("digest", key)
+    groups = saved(delivered.groupBy("digest").agg(F.max("doc_id").alias("__keep")), "delivered").withColumnRenamed("digest", key)
     known = docs.sparkSession.table(index).select(F.col("digest").alias(key))
     winners = saved(groups.join(known.hint("merge"), key, "left_anti"), "winners")
     # one row for each digest meets the row of that id; equal rows are one after partial aggregation
