@@ -20,8 +20,9 @@ candidates are met in two ways:
    the centre's set say everything, as |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|. Those near
    the centre are linked with it; the others link only if their differences share
    enough tokens, so they are joined on prefixes of D, rare first within the group,
-   with one prefix for each class of sizes of the other side. Edits are rare tokens, so
-   a crowd of copies that are all just below the threshold meets in few pairs.
+   with one prefix for each class of sizes of the other side. Edits that
+   are rare tokens meet in few pairs; a crowd of copies that are all just below the
+   threshold and share common differences still makes pairs by the square.
 3. a closing join: all other candidate pairs whose members are still in different
    components are verified. Together with the lemma above this loses no link that
    would unite anything.

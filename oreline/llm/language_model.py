@@ -23,7 +23,9 @@ next round starts from the average. Each training document is used once.
 
 Counts cover the whole corpus and are made by pre-aggregated sums. Words with a
 count of N / 2**18 or more (2**18 of them at most) are broadcast; the others, whose
-counts are small by that choice and so never a hot key, meet their counts in a join.
+counts are small by that choice, meet their counts in a join. A word that only rows
+outside the training have many times is one key of that join, which adaptive execution
+may split but nothing here does.
 
 Defined results: null texts are empty, and an empty text is one end. Without any
 training document every count is 0, everything is unknown and scores 0. Equal rows

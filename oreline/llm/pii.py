@@ -8,9 +8,9 @@ candidate: its shape, its check digits or counts, a gazetteer (top-level domains
 issuer prefixes, reserved networks, area codes), words of the context before it,
 and its edges. From counted votes expectation-maximisation estimates how reliable
 each labeler is for each kind. The posteriors train the final span classifier, a
-logistic model that sees no votes but the span itself: the pattern it comes from, its
-length, its separators, the characters beside it, its check and its context. Its
-weights go back into the plan as literals, and it alone decides on added spans.
+logistic model of the span: the pattern it comes from, its length, its separators, the
+characters beside it, and what the check, the gazetteer and the context labeler say of
+it, which so count as features as well as votes. Its weights go back into the plan as literals, and it alone decides on added spans.
 The driver gets counts of votes and traits: at most 972 vote patterns times 1344
 traits, whatever the corpus.
 

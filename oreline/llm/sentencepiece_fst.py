@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled into three machines: the normaliser (prefix, space
-escapes, optional folding of spaces), the lexicon (a trie of pieces, closed under
-concatenation), and byte fallback for characters outside the lexicon. An encoding
-is the tropical-semiring shortest path of input o normaliser o lexicon.
+The model file is compiled into a lexicon machine (a trie of pieces, closed under
+concatenation) with byte fallback for characters outside it. The normaliser (prefix,
+space escapes, optional folding of spaces) is vectorised code over the input, not a
+machine. An encoding is the tropical-semiring shortest path of the normalised input
+through the lexicon.
 
 Unigram models weigh a piece by its negated score. A merge (BPE) model has no
 additive weights that give its result, so its lexicon is composed with one more
