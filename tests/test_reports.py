@@ -127,6 +127,6 @@ def test_coverage_counts_all_and_lists_the_first(spark):
 
 
 def test_lists_are_cut_before_they_are_shuffled(spark):
-    rows = spark.range(10).selectExpr("id % 3 as repo_id", "id")
+    rows = spark.range(10_000).selectExpr("id % 3 as repo_id", "id")
     plan = coverage.first(rows, [F.col("id")])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
