@@ -586,10 +586,9 @@ def cache_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import state
 
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    order = F.unix_millis(F.col("ts").cast("timestamp")) * 1_000_000 + F.col("event_id")  # requests come in order of time here
-    rows = stream.select(F.col("user_id").cast("string").alias("repo_id"), order.alias("request_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type").isin("purchase", "signup"), state.PUT).otherwise(state.GET).alias("kind"), F.concat("props", "event_type").alias("report"))
-    out = state.run_once(spark, state.keyed(rows, state.CachedReports(STATE_TTL_MS, STATE_BYTES)), scratch(spark, "state"))
-    return out.where(F.col("outcome") != state.EXPIRED).select((F.col("request_id") % 1_000_000).alias("event_id"), "outcome")
+    rows = stream.select(F.col("user_id").cast("string").alias("repo_id"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type").isin("purchase", "signup"), state.PUT).otherwise(state.GET).alias("kind"), F.concat("props", "event_type").alias("report"))
+    out = state.run_once(spark, state.keyed(rows, state.CachedReports(STATE_TTL_MS, STATE_BYTES, by_time=True)), scratch(spark, "state"))  # requests come in order of time here
+    return out.where(F.col("outcome") != state.EXPIRED).select(F.col("request_id").alias("event_id"), "outcome")
 
 
 @query("""with p as (select doc_id, case doc_id % 7 when 0 then '/' when 1 then '../' when 2 then './' when 3 then '' when 4 then 'a//' when 5 then 'a\\' else 'x/../' end || 'f' || doc_id || repeat('y', (doc_id % 1200)::int) as path from documents)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,11 +28,16 @@ PUT, GET = "put", "get"
 SAVED, STALE, REFUSED, HIT, MISS, EXPIRED = "saved", "stale", "refused", "hit", "miss", "expired"
 
 
+def millis(at: datetime) -> int:
+    """Whole milliseconds since 1970, without the rounding of a float."""
+    return int(at.replace(microsecond=0).timestamp()) * 1000 + at.microsecond // 1000
+
+
 class CachedReports(StatefulProcessor):
-    """put keeps the report of the newest request; get answers with it while it is fresh."""
+    """put keeps the report of the newest request; get answers with it while it is fresh. With by_time requests are ordered by their time, then by id, else by id alone."""
 
-    def __init__(self, ttl_ms: int = st.CACHE_TTL_MS, max_bytes: int = st.CACHE_BYTES):
-        self.ttl_ms, self.max_bytes = ttl_ms, max_bytes
+    def __init__(self, ttl_ms: int = st.CACHE_TTL_MS, max_bytes: int = st.CACHE_BYTES, by_time: bool = False):
+        self.ttl_ms, self.max_bytes, self.by_time = ttl_ms, max_bytes, by_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,13 +49,12 @@ class CachedReports(StatefulProcessor):
         self.entry.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        ms = lambda r: int(r.at.timestamp() * 1000)
-        for row in sorted(rows, key=lambda r: (ms(r), r.request_id)):
-            now = ms(row)
+        for row in sorted(rows, key=lambda r: (millis(r.at), r.request_id)):
+            now = millis(row.at)
             have = self.entry.get() if self.entry.exists() else None
             outcome, report = MISS, None
             if row.kind == PUT:
-                if have is not None and row.request_id < have[0]:
+                if have is not None and (now if self.by_time else 0, row.request_id) < (have[1] if self.by_time else 0, have[0]):
                     outcome = STALE
                 elif row.report is None or len(row.report.encode()) > self.max_bytes:
                     self._drop()
@@ -89,7 +94,7 @@ class NewestRequest(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         newest, seen = self.newest.get() if self.newest.exists() else (None, 0)
         for row in sorted(rows, key=lambda r: (r.at, r.request_id)):
-            now = int(row.at.timestamp() * 1000)
+            now = millis(row.at)
             if newest is None or row.request_id >= newest or now - seen > self.ttl_ms:
                 newest = row.request_id
                 yield Row(repo_id=key[0], request_id=row.request_id, outcome=row.kind, report=row.report)

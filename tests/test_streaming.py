@@ -2,9 +2,11 @@ import threading
 import time
 from datetime import datetime, timedelta, timezone
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from oreline.plans.queries import ORACLES, QUERIES
 from oreline.streaming import control, progress, state
 
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -136,3 +138,20 @@ def test_progress_of_a_stream(spark, tmp_path):
     assert own.totals == {"validating": (0, 0), "fetching": (15, 30), "parsing": (6, 6)}
     order = [(progress.PHASES.index(s.phase), s.files) for s in own.steps]
     assert order == sorted(order)
+
+
+def test_events_with_large_ids_keep_their_own_answers(spark, tmp_path):
+    """Ids beyond a million, ids against the order of time, and equal times; times on whole milliseconds."""
+    start = datetime(2024, 1, 1)
+    rows = [(10_000_000 - 999_983 * n if n % 2 else 7 + n, start + timedelta(milliseconds=100_000 * (n // 3) + n % 2), n % 2, "purchase" if n % 4 < 2 else "view", 1.0, '{"k": 1}') for n in range(18)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as duck:
+        duck.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+        want = sorted(duck.execute(ORACLES["cache_state_stream"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["cache_state_stream"](spark, str(tmp_path)).collect()) == want
+
+
+def test_whole_milliseconds_are_not_rounded():
+    moments = [datetime(2024, 1, 1) + timedelta(milliseconds=n) for n in range(2000)]
+    first = state.millis(moments[0])
+    assert [state.millis(m) - first for m in moments] == list(range(2000))
