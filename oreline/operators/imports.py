@@ -41,9 +41,12 @@ def family(path: Column) -> Column:
 
 
 def resolved(imports: DataFrame, known: DataFrame) -> DataFrame:
-    """imports (repo_id, src, kind, target, bare) with dst, the first candidate that is a known file (repo_id, low, kind, dst) of the same family."""
+    """imports (repo_id, src, kind, target, bare) with dst, the first candidate that is a known file (repo_id, low, kind, dst) of the same family.
+
+    Files are never broadcast: their columns are small on disk and many times that in memory.
+    """
     rows = imports.select("*", F.posexplode(candidates(F.col("target"), F.col("kind"), F.col("bare"))).alias("place", "low"))
-    hit = rows.withColumn("low", F.lower("low")).join(known, ["repo_id", "low", "kind"])
+    hit = rows.withColumn("low", F.lower("low")).join(known.hint("merge"), ["repo_id", "low", "kind"])
     return hit.groupBy(*imports.columns).agg(F.min_by("dst", "place").alias("dst"))
 
 
@@ -67,8 +70,8 @@ def edges(imports: DataFrame, files: DataFrame, submodules: DataFrame | None = N
     if submodules is not None:
         rows = asked(submodules).where("kind = 'python'").withColumn("name", paths.basename(F.col("target"))).withColumn("package", paths.directory(F.col("target"))).where("package <> ''")
         package = resolved(rows.select("repo_id", "src", "kind", F.col("package").alias("target"), F.lit(True).alias("bare")).distinct(), names)
-        own = package.select("repo_id", "src", F.col("target").alias("package"), F.col("dst").alias("init")).join(known.select("repo_id", F.col("dst").alias("init"), "defined"), ["repo_id", "init"])
-        rows = rows.join(own, ["repo_id", "src", "package"], "left")
+        own = package.select("repo_id", "src", F.col("target").alias("package"), F.col("dst").alias("init")).join(known.select("repo_id", F.col("dst").alias("init"), "defined").hint("merge"), ["repo_id", "init"])
+        rows = rows.join(own.hint("merge"), ["repo_id", "src", "package"], "left")
         shadowed = (F.lower("init") != F.lower("src")) & F.array_contains("defined", F.col("name"))
         free = rows.where(~F.coalesce(shadowed, F.lit(False))).select("repo_id", "src", "specifier", "kind", "target", F.lit(False).alias("bare"))
         out = out.unionByName(resolved(free, names))
@@ -100,14 +103,14 @@ def _spread(graph: DataFrame, rounds: int) -> DataFrame:
     labels = saved(nodes.select(*on, "node", F.col("node").alias("label"), F.coalesce("at", "node").alias("at")), "labels")
     phase = labels.count().bit_length() + 1
     for turn in range(1, rounds + 1):
-        step = both.join(labels.select(*on, F.col("node").alias("u"), "label"), [*on, "u"]).select(*on, F.col("v").alias("node"), "label", "u")
+        step = both.join(labels.select(*on, F.col("node").alias("u"), "label").hint("merge"), [*on, "u"]).select(*on, F.col("v").alias("node"), "label", "u")
         nothing = F.lit(None).cast("long")
         least = labels.select(*on, "node", "label", F.col("label").alias("old"), "at", nothing.alias("u")).unionByName(step.withColumn("old", nothing).withColumn("at", nothing))
         at = F.coalesce(F.min_by("u", F.when(F.col("u").isNotNull(), F.col("label"))), F.max("at")) if turn % phase == 0 else F.max("at")
         least = least.groupBy(*on, "node").agg(F.min("label").alias("label"), F.max("old").alias("old"), at.alias("at"))
         by_label = labels.select(*on, F.col("node").alias("label"), F.col("label").alias("beyond"))
         by_pointer = labels.select(*on, F.col("node").alias("at"), F.col("label").alias("there"), F.col("at").alias("next"))
-        new = least.join(by_label, [*on, "label"]).join(by_pointer, [*on, "at"])
+        new = least.join(by_label.hint("merge"), [*on, "label"]).join(by_pointer.hint("merge"), [*on, "at"])
         new = saved(new.select(*on, "node", F.least("label", "beyond", "there").alias("label"), F.col("at" if turn % phase == 0 else "next").alias("at"), "old"), "labels")
         labels = new.drop("old")
         if new.where("label <> old").isEmpty():
@@ -136,10 +139,10 @@ def cycles(graph: DataFrame, rounds: int = 60) -> DataFrame:
         code = lambda c: F.xxhash64(F.lit(turn), "repo_id", c)  # noqa: E731, B023
         marks = _spread(edges.select("repo_id", code("src").alias("u"), code("dst").alias("v")), rounds)
         names = edges.select("repo_id", F.col("src").alias("node")).unionByName(edges.select("repo_id", F.col("dst").alias("node"))).distinct()
-        marks = saved(names.select("repo_id", F.col("node").alias("name"), code("node").alias("node")).join(marks, ["repo_id", "node"]), "marks")
+        marks = saved(names.select("repo_id", F.col("node").alias("name"), code("node").alias("node")).join(marks.hint("merge"), ["repo_id", "node"]), "marks")
         whole = marks.where("f = b").select("repo_id", F.col("name").alias("node"), F.concat(F.lit(f"{turn}:"), F.col("f")).alias("component"))
         found = found.unionByName(whole)
-        side = lambda c: marks.where("f <> b").select("repo_id", F.col("name").alias(c), F.struct("f", "b").alias(f"{c}_mark"))  # noqa: E731, B023
+        side = lambda c: marks.where("f <> b").select("repo_id", F.col("name").alias(c), F.struct("f", "b").alias(f"{c}_mark")).hint("merge")  # noqa: E731, B023
         edges = saved(edges.join(side("src"), ["repo_id", "src"]).join(side("dst"), ["repo_id", "dst"]).where("src_mark = dst_mark").select("repo_id", "src", "dst"), "cycle-graph")
     else:
         raise RuntimeError("components did not settle")

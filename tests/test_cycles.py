@@ -53,3 +53,13 @@ def test_ring_of_many_files_takes_few_rounds(spark):
     path = spark.range(2_000).selectExpr("'r' as repo_id", "format_string('p%05d', id) as src", "if(id = 1999, 'f00000', format_string('p%05d', id + 1)) as dst")
     out = imports.cycles(ring.unionByName(path), rounds=40).collect()
     assert [(r.component, r.size, len(r.members)) for r in out] == [("f00000", 10_000, 10_000)]
+
+
+def test_files_are_not_broadcast(spark, tmp_path):
+    """Joins go by sorted shuffles however small the tables are on disk."""
+    spark.range(20).selectExpr("'r' as repo_id", "concat('src/a', id, '.ts') as path", "concat('./a', (id + 1) % 20) as specifier").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    out = imports.edges(files, files.select("repo_id", "path"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert out.count() == 20
