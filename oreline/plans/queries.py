@@ -484,7 +484,8 @@ def script_function_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('import "./x'), k, F.lit('"; export function f'), k, F.lit("(a) {\n"), F.repeat(F.lit("  if (a) { a++; }\n"), (k % 5).cast("int")), F.lit("  return a"), F.repeat(F.lit(" && a"), (k % 3).cast("int")), F.lit(";\n}\n"))
     files = table(spark, sf_dir, "part").select(k.cast("string").alias("repo_id"), F.lit("m.ts").alias("path"), text.alias("text"))
     out = script_code.analyze_files(files)
-    return python_code.function_rows(out).join(out.select("repo_id", F.col("imports")[0].alias("imported")), "repo_id").select("repo_id", "name", "cyclomatic", "max_nesting", "logical_lines", "imported")
+    rows = out.select("repo_id", F.explode("functions").alias("f"), F.col("imports")[0].alias("imported"))  # one file a repository
+    return rows.select("repo_id", "f.name", "f.cyclomatic", "f.max_nesting", "f.logical_lines", "imported")
 
 
 @query("select s_suppkey as repo_id, s_suppkey % 2 = 0 as install_heading, s_suppkey % 2 = 0 and s_suppkey % 3 = 0 as install_command, s_suppkey % 5 <> 0 as usage_heading, s_suppkey % 5 <> 0 and s_suppkey % 7 = 0 as usage_concrete, s_suppkey % 5 <> 0 as usage_prose from supplier")
