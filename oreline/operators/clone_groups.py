@@ -1,4 +1,4 @@
-"""The greedy choice of clones within one group of files that share windows, in memory.
+"""All clones, and the greedy choice of them, within one group of files that share windows, in memory.
 
 Runs of shared windows are sorted by their suffixes (prefix doubling); a content that
 two places have is an interval of that order whose least common prefix is its length.
@@ -10,12 +10,14 @@ is free, so a visit is one comparison of a slice; no pair that isn't looked at i
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 
 FREE = 1 << 40
 LOOKS = 16
+BLOCK = 1 << 18
 
 
 class Suffixes:
@@ -99,11 +101,10 @@ class Content:
         return len(some) > 1 and (self.prev[some] != self.prev[some[0]]).any() and (self.child[some] != self.child[some[0]]).any()
 
 
-class Group:
-    """Runs of shared windows (fid, first place, token before or None, codes) of files fid: (size, paths, whether it is one class of copies covered by a run)."""
+class Places:
+    """Where matches may start, in order of their suffixes, from runs of shared windows (fid, first place, token before or None, codes) of files of sizes[fid]."""
 
-    def __init__(self, runs: list[tuple], files: dict[int, tuple], window: int):
-        self.window, self.taken = window, []
+    def __init__(self, runs: list[tuple], sizes: dict[int, int], window: int):
         befores = np.array([r[2] or 0 for r in runs], np.int64)
         s = Suffixes([r[3] for r in runs], befores)
         prev = np.empty(len(s.ids), np.int64)
@@ -116,11 +117,77 @@ class Group:
         heads = np.flatnonzero(lcp < window)
         several = np.minimum.reduceat(prev[at], heads) < np.maximum.reduceat(prev[at], heads)
         keep = np.repeat(several, np.diff(np.append(heads, len(at))))  # places with one window and one token before it start no match
-        at, lcp = at[keep], lcp[keep]
-        fid, pos = np.array([r[0] for r in runs])[s.run[at]], np.array([r[1] for r in runs])[s.run[at]] + at - s.begin[s.run[at]]
-        size = np.array([files[r[0]][0] for r in runs])[s.run[at]]
+        at, self.lcp = at[keep], lcp[keep]
+        self.fid, self.pos = np.array([r[0] for r in runs])[s.run[at]], np.array([r[1] for r in runs])[s.run[at]] + at - s.begin[s.run[at]]
+        self.size = np.array([sizes[r[0]] for r in runs])[s.run[at]]
+        self.prev, self.left = prev[at], s.left[at]
+
+
+def every(runs: list[tuple], files: dict[int, tuple], window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(left, right, lstart, rstart, length) of all maximal matches of two paths of files fid: (size, paths), left and right as numbers in the order of all paths; in parts.
+
+    Not the whole matches of equal files.
+    """
+    p = Places(runs, {f: x[0] for f, x in files.items()}, window)
+    of, number = {}, 0
+    paths = sorted((path, f) for f, x in files.items() for path in x[1])
+    mine: dict[int, list[int]] = {f: [] for f in files}
+    for n, (_, f) in enumerate(paths):
+        mine[f].append(n)
+    for f, own in mine.items():
+        of[f] = (number, len(own))
+        number += len(own)
+    names = np.array([n for own in mine.values() for n in own], np.int64)
+    first, times = (np.array([of[f][k] for f in p.fid.tolist()], np.int64) for k in (0, 1))
+    parts, ready = [], 0
+    for length, a, b in intervals(p.lcp.tolist(), window):
+        cuts = [*(np.flatnonzero(p.lcp[a + 1 : b] == length) + a + 1).tolist(), b]
+        for c, d in zip(cuts[:-1], cuts[1:], strict=True):
+            step = max(1, BLOCK // (c - a))
+            for e in range(c, d, step):  # places from e on, of one child, with all of the children before
+                x, y = np.arange(a, c), np.arange(e, min(e + step, d))[:, None]
+                fine = (p.prev[x] != p.prev[y]) & ((p.fid[x] != p.fid[y]) | ((times[x] > 1) & (p.pos[x] != p.pos[y])))
+                y, x = np.nonzero(fine)
+                for part in _expanded(x + a, y + e, first, times):
+                    x, y, l, r = part  # noqa: E741
+                    l, r = names[l], names[r]  # noqa: E741
+                    some = l != r
+                    x, y, l, r = x[some], y[some], l[some], r[some]  # noqa: E741
+                    turn = l > r
+                    parts.append((np.where(turn, r, l), np.where(turn, l, r), np.where(turn, p.pos[y], p.pos[x]), np.where(turn, p.pos[x], p.pos[y]), np.full(len(x), length)))
+                    ready += len(x)
+                    if ready >= BLOCK:
+                        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+                        parts, ready = [], 0
+    if ready:
+        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _expanded(x: np.ndarray, y: np.ndarray, first: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(x, y, left, right) for each member of x with each of y, in parts."""
+    n = times[x] * times[y]
+    ends = np.cumsum(n)
+    begin = 0
+    while begin < len(x):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+        for k in range(0, int(ends[end - 1]) - done, BLOCK):
+            place = np.arange(done + k, min(done + k + BLOCK, int(ends[end - 1])))
+            i = np.searchsorted(ends, place, "right")
+            within = place - (ends[i] - n[i])
+            yield x[i], y[i], first[x[i]] + within // times[y[i]], first[y[i]] + within % times[y[i]]
+        begin = end
+
+
+class Group:
+    """What the greedy scan keeps of runs, as in Places, of files fid: (size, paths, whether it is one class of copies covered by a run)."""
+
+    def __init__(self, runs: list[tuple], files: dict[int, tuple], window: int):
+        self.window, self.taken = window, []
+        p = Places(runs, {f: x[0] for f, x in files.items()}, window)
+        lcp, fid, pos, size, prev, left = p.lcp, p.fid, p.pos, p.size, p.prev, p.left
         both = np.maximum(lcp, np.append(lcp[1:], 0))
-        held = set(fid[(pos == 1) & (s.left[at] == size) & (both == size)].tolist())
+        held = set(fid[(pos == 1) & (left == size) & (both == size)].tolist())
         self.paths, self.pairs, of = [], [], {}
         for f, (length, paths, covered) in files.items():
             paths = sorted(paths)
@@ -134,12 +201,12 @@ class Group:
         if not len(some):
             return
         lcp = np.minimum.reduceat(lcp[: some[-1] + 1], np.append(0, some[:-1] + 1))
-        at, fid, pos, size, first, times = (x[some] for x in (at, fid, pos, size, first, times))
-        row = np.repeat(np.arange(len(at)), times)
+        left, prev, fid, pos, size, first, times = (x[some] for x in (left, prev, fid, pos, size, first, times))
+        row = np.repeat(np.arange(len(fid)), times)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-        self.lcp = np.where(nth == 0, lcp[row], s.left[at][row])
+        self.lcp = np.where(nth == 0, lcp[row], left[row])
         self.fid, self.pos, self.size, own = fid[row], pos[row], size[row], first[row] + nth
-        self.prev = prev[at][row]
+        self.prev = prev[row]
         self.prev = np.where(self.prev < 0, -1 - np.arange(len(row)), self.prev)
         rank = np.empty(len(self.paths), np.int64)
         rank[sorted(range(len(self.paths)), key=self.paths.__getitem__)] = np.arange(len(self.paths))
