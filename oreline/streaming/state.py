@@ -24,6 +24,7 @@ TEXT, LONG = StringType(), LongType()
 EVENT = StructType([StructField("repo_id", TEXT), StructField("request_id", LONG), StructField("at", TimestampType()), StructField("kind", TEXT), StructField("report", TEXT)])
 ANSWER = StructType([StructField("repo_id", TEXT), StructField("request_id", LONG), StructField("outcome", TEXT), StructField("report", TEXT)])
 STATE = StructType([StructField("request_id", LONG), StructField("saved_ms", LONG), StructField("report", TEXT)])
+TOLD = Row(*ANSWER.fieldNames())
 PUT, GET = "put", "get"
 SAVED, STALE, REFUSED, HIT, MISS, EXPIRED = "saved", "stale", "refused", "hit", "miss", "expired"
 
@@ -43,33 +44,34 @@ class CachedReports(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", STATE)
 
-    def _drop(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.entry.clear()
-
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        for row in sorted(rows, key=lambda r: (millis(r.at), r.request_id)):
-            now = millis(row.at)
-            have = self.entry.get() if self.entry.exists() else None
+        """State is read and written once for all rows of a batch: each access is a call to the JVM."""
+        before = have = self.entry.get() if self.entry.exists() else None
+        told = sorted(((millis(at), request, kind, new) for _, request, at, kind, new in rows), key=lambda x: x[:2])  # columns of EVENT; a Row's names cost more than its values
+        for now, request, kind, new in told:
             outcome, report = MISS, None
-            if row.kind == PUT:
-                if have is not None and (now if self.by_time else 0, row.request_id) < (have[1] if self.by_time else 0, have[0]):
+            if kind == PUT:
+                if have is not None and (now if self.by_time else 0, request) < (have[1] if self.by_time else 0, have[0]):
                     outcome = STALE
-                elif row.report is None or len(row.report.encode()) > self.max_bytes:
-                    self._drop()
-                    outcome = REFUSED
+                elif new is None or len(new.encode()) > self.max_bytes:
+                    have, outcome = None, REFUSED
                 else:
-                    self._drop()
-                    self.entry.update((row.request_id, now, row.report))
-                    self.handle.registerTimer(now + self.ttl_ms + 1)
-                    outcome = SAVED
+                    have, outcome = (request, now, new), SAVED
             elif have is not None:
                 if 0 <= now - have[1] <= self.ttl_ms:
                     outcome, report = HIT, have[2]
                 else:
-                    self._drop()
-            yield Row(repo_id=key[0], request_id=row.request_id, outcome=outcome, report=report)
+                    have = None
+            yield TOLD(key[0], request, outcome, report)
+        if have is not before:
+            if before is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+            if have is None:
+                self.entry.clear()
+            else:
+                self.entry.update(have)
+                self.handle.registerTimer(have[1] + self.ttl_ms + 1)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         if self.entry.exists():

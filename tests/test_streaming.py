@@ -4,6 +4,7 @@ from datetime import datetime, timedelta, timezone
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from oreline.plans.queries import ORACLES, QUERIES
@@ -155,3 +156,51 @@ def test_whole_milliseconds_are_not_rounded():
     moments = [datetime(2024, 1, 1) + timedelta(milliseconds=n) for n in range(2000)]
     first = state.millis(moments[0])
     assert [state.millis(m) - first for m in moments] == list(range(2000))
+
+
+class Counted:
+    """A handle whose state is a value here, and which counts accesses."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def _told(self, value=None):
+        self.calls += 1
+        return value
+
+    def exists(self):
+        return self._told(self.value is not None)
+
+    def get(self):
+        return self._told(self.value)
+
+    def update(self, value):
+        self.value = self._told(value)
+
+    def clear(self):
+        self.value = self._told()
+
+    def listTimers(self):
+        return iter(self._told(list(self.timers)))
+
+    def registerTimer(self, at):
+        self._told(self.timers.append(at))
+
+    def deleteTimer(self, at):
+        self._told(self.timers.remove(at))
+
+
+def test_state_is_touched_once_for_all_rows_of_a_batch():
+    handle, reports = Counted(), state.CachedReports(60_000, 20)
+    reports.init(handle)
+    event = Row(*state.EVENT.fieldNames())
+    for n in range(2):
+        rows = [event("a", 100 * n + k, T0 + timedelta(seconds=100 * n + k), "get" if k % 2 else "put", f"{k}") for k in range(100)]
+        told = list(reports.handleInputRows(("a",), iter(rows), None))
+        assert [(r.outcome, r.report) for r in told] == [("hit", f"{k - 1}") if k % 2 else ("saved", None) for k in range(100)]
+        last = state.millis(T0 + timedelta(seconds=100 * n + 98))
+        assert handle.value == (100 * n + 98, last, "98") and handle.timers == [last + 60_001]
+    assert handle.calls <= 10  # some for each row before
